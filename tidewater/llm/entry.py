@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.op10_packing import op10_packing
 from tidewater.llm.op4_backtrack_bpe import op4_bpe_codec
 from tidewater.llm.op7_rans_files import op7_token_files
+from tidewater.llm.op8_quality import op8_quality
 
-_QUERIES = (op4_bpe_codec, op7_token_files, op10_packing)
+_QUERIES = (op4_bpe_codec, op7_token_files, op8_quality, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
