@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewater.llm.common import chunks, documents, n_partitions, text_bytes, windows, words, written
+from tidewater.llm.common import chunks, documents, mix, n_partitions, text_bytes, windows, words, written
 
 WINDOW = 50
 _LAST = (1 << 63) - 1
@@ -46,21 +46,25 @@ def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column("doc_id").to_numpy(), part.column("key").to_numpy()
 
 
-def _pack(ids, keys, owner, place, h, buckets: int):
+def _pack(ids, keys, owner, place, h, bucket):
     """Rows of _PACKED from windows in the order of their documents; owner: each window's document by number."""
-    bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else [0]
     rows = []
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        at = order[edges[b] : edges[b + 1]]
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        at = order[x:y]
         own = owner[at]
         new = np.flatnonzero(np.diff(own, prepend=-1))
         docs = own[new]
-        rows.append((b, ids[docs].tobytes(), keys[docs].tobytes(), np.diff(np.append(new, len(at))).astype("<u4").tobytes(), h[at].astype("<u4").tobytes(), (h[at] >> np.uint64(32)).astype("<u2").tobytes(), place[at].astype("<u2").tobytes(), (place[at] >> 16).astype("<u2").tobytes()))
+        hashes = (b"", b"") if h is None else (h[at].astype("<u4").tobytes(), (h[at] >> np.uint64(32)).astype("<u2").tobytes())
+        rows.append((int(bucket[at[0]]), ids[docs].tobytes(), keys[docs].tobytes(), np.diff(np.append(new, len(at))).astype("<u4").tobytes(), *hashes, place[at].astype("<u2").tobytes(), (place[at] >> 16).astype("<u2").tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, _PACKED_ARROW.types, strict=True)], schema=_PACKED_ARROW)
 
 
+def _of_hash(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+
+
 def _unpack(table: pa.Table):
     col = {n: b"".join(table.column(n).to_pylist()) for n in table.column_names if n != "bucket"}
     ids, keys = np.frombuffer(col["ids"], np.int64), np.frombuffer(col["keys"], np.int64)
@@ -69,14 +73,6 @@ def _unpack(table: pa.Table):
     return ids, keys, owner, np.frombuffer(col["place_low"], "<u2").astype(np.int32) | np.frombuffer(col["place_high"], "<u2").astype(np.int32) << 16, h
 
 
-def _by_document(ids, keys, owner, place) -> pa.Table:
-    """Rows of _STARTS; owner ascends."""
-    new = np.flatnonzero(np.diff(owner, prepend=-1))
-    docs = owner[new]
-    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(owner)), pa.int32()), pa.array(place, pa.int32()))
-    return pa.Table.from_arrays([pa.array(ids[docs]), pa.array(keys[docs]), lists], schema=_STARTS_ARROW)
-
-
 def _grouped(h: np.ndarray):
     """Order that brings equal hashes together, where each run begins, and each sorted row's run."""
     order = np.argsort(h, kind="stable")
@@ -86,15 +82,27 @@ def _grouped(h: np.ndarray):
 
 
 def _found(packed: DataFrame, choose) -> DataFrame:
-    """Places per document that `choose` keeps within each bucket."""
+    """Places per document that `choose` keeps within each bucket; they go back to their documents packed by document hash."""
+    parts = n_partitions(packed.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
         ids, keys, owner, place, h = _unpack(table)
         take = np.sort(choose(ids[owner], h))
-        return _by_document(ids, keys, owner[take], place[take])
+        home = _of_hash(mix(mix(ids.view(np.uint64)) ^ keys.view(np.uint64)), parts)
+        return pa.Table.from_batches([_pack(ids, keys, owner[take], place[take], None, home[owner[take]])])
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids, keys, owner, place, _ = _unpack(table)
+        order = np.lexsort((keys, ids))
+        new = np.append(True, (np.diff(ids[order]) != 0) | (np.diff(keys[order]) != 0))
+        number = np.empty(len(ids), np.int64)
+        number[order] = np.cumsum(new) - 1
+        docs, by = order[new], number[owner]
+        at = np.append(0, np.cumsum(np.bincount(by, minlength=len(docs))))
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(place[np.argsort(by, kind="stable")], pa.int32()))
+        return pa.Table.from_arrays([pa.array(ids[docs]), pa.array(keys[docs]), lists], schema=_STARTS_ARROW)
 
-    got = packed.groupBy("bucket").applyInArrow(run, _STARTS)
-    return got.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    return packed.groupBy("bucket").applyInArrow(run, _PACKED).groupBy("bucket").applyInArrow(gather, _STARTS)
 
 
 def _hits(ids: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -132,7 +140,7 @@ def repeat_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 h, _, _, at = words(*text_bytes(part.column("text")))
                 first, owner, place = _inside(at, half)
                 got = windows(h, half)[first]
-                yield _pack(*_ids(part), owner, place, got & ~np.uint64(1) | (place % half == 0).astype(np.uint64), buckets)
+                yield _pack(*_ids(part), owner, place, got & ~np.uint64(1) | (place % half == 0).astype(np.uint64), _of_hash(got, buckets))
 
     hits = written(_found(docs.mapInArrow(probes, _PACKED), _hits), "anchor-hits")
 
@@ -147,7 +155,7 @@ def repeat_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 edge[: len(h) + 1] -= np.bincount(hit + 1, minlength=len(h) + 1)[: len(h) + 1]
                 near = (np.cumsum(edge) > 0)[first]
                 got = windows(h, window)[first[near]] if len(first) else np.zeros(0, np.uint64)
-                yield _pack(*_ids(part), owner[near], place[near], got, buckets)
+                yield _pack(*_ids(part), owner[near], place[near], got, _of_hash(got, buckets))
 
     return _found(docs.join(hits, ["doc_id", "key"]).mapInArrow(extended, _PACKED), _later)
 
