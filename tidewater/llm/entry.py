@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.op9_embeddings import op9_embeddings
 from tidewater.llm.op10_packing import op10_packing
 from tidewater.llm.op1_jaccard import op1_jaccard
+from tidewater.llm.op2_hmm import op2_hmm
 from tidewater.llm.op3_repeats import op3_repeats
 from tidewater.llm.op4_backtrack_bpe import op4_bpe_codec
 from tidewater.llm.op7_rans_files import op7_token_files
 from tidewater.llm.op8_quality import op8_quality
 
-_QUERIES = (op1_jaccard, op3_repeats, op4_bpe_codec, op7_token_files, op8_quality, op9_embeddings, op10_packing)
+_QUERIES = (op1_jaccard, op2_hmm, op3_repeats, op4_bpe_codec, op7_token_files, op8_quality, op9_embeddings, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
