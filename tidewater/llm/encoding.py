@@ -64,6 +64,56 @@ class Ragged:
         return self.flat[index], lens
 
 
+def runs(buf: np.ndarray, offsets: np.ndarray):
+    """Letter runs (with the one space before) and gaps that tile the texts: starts, lengths, what follows a gap within its
+    text (1: a run, 2: a run with a space, 0: nothing, or it is no gap), and the places of runs' first and last letters."""
+    letter = _LETTER[buf]
+    first = np.zeros(len(buf) + 1, bool)  # a text begins here
+    first[offsets] = True
+    begin = letter.copy()
+    begin[1:] &= ~letter[:-1] | first[1:-1]
+    heads = np.flatnonzero(begin)
+    end = np.zeros(len(buf) + 1, bool)
+    end[1:] = letter
+    end[1:-1] &= ~letter[1:] | first[1:-1]
+    ends = np.flatnonzero(end)
+    edges = np.concatenate([heads, ends - 1])
+    spaced = (heads > 0) & (buf[heads - 1] == 0x20) & ~first[heads]
+    heads = heads - spaced
+    cut = first
+    cut[heads] = cut[ends] = True
+    cuts = np.flatnonzero(cut)
+    kind = np.zeros(len(buf) + 1, np.uint8)
+    kind[heads] = 1 + spaced
+    ahead = kind[cuts[1:]]
+    ahead[(kind[cuts[:-1]] > 0) | np.isin(cuts[1:], offsets)] = 0
+    return cuts[:-1], np.diff(cuts), ahead, edges
+
+
+def run_keys(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run's bytes and of what follows."""
+    place = np.arange(len(buf)) - np.repeat(starts, lens)
+    h = _BYTE[buf]
+    h *= _places(int(lens.max()))[place]
+    return mix(np.add.reduceat(h, starts) + lens.astype(np.uint64) * _FOLLOWED[0]) ^ (_FOLLOWED[1] * ahead)
+
+
+def odd_texts(buf: np.ndarray, offsets: np.ndarray, edges: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Texts that must not be cut into runs: special tokens, letters outside Latin, apostrophes at the edge of a run."""
+    lead = buf >= 0xC0
+    bad = np.flatnonzero(lead & ((buf < 0xC3) | (buf > 0xC9)))
+    times = np.flatnonzero(buf == 0xC3)
+    times = times[np.isin(buf[np.minimum(times + 1, len(buf) - 1)], (0x97, 0xB7))]
+    found = [bad, times, edges[buf[edges] == 0x27]]
+    raw = buf.tobytes()
+    for s in special:
+        at = raw.find(s)
+        while at >= 0:
+            found.append(np.array([at]))
+            at = raw.find(s, at + 1)
+    return np.unique(np.searchsorted(offsets, np.concatenate(found), side="right") - 1)
+
+
 class RunEncoder:
     """ids(buf, offsets): ids of concatenated UTF-8 texts and n + 1 offsets, equal to encode(text, add_special_tokens=False)."""
 
@@ -86,53 +136,15 @@ class RunEncoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _odd(self, buf: np.ndarray, offsets: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Texts for the library; edges: places of the first and last byte of letter runs."""
-        lead = buf >= 0xC0
-        bad = np.flatnonzero(lead & ((buf < 0xC3) | (buf > 0xC9)))
-        times = np.flatnonzero(buf == 0xC3)
-        times = times[np.isin(buf[np.minimum(times + 1, len(buf) - 1)], (0x97, 0xB7))]
-        found = [bad, times, edges[buf[edges] == 0x27]]
-        raw = buf.tobytes()
-        for s in self.special:
-            at = raw.find(s)
-            while at >= 0:
-                found.append(np.array([at]))
-                at = raw.find(s, at + 1)
-        return np.unique(np.searchsorted(offsets, np.concatenate(found), side="right") - 1)
-
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         if len(self.kept.lens) > CACHE_RUNS:
             self.kept = Ragged()
-        letter = _LETTER[buf]
-        first = np.zeros(len(buf) + 1, bool)  # a text begins here
-        first[offsets] = True
-        begin = letter.copy()
-        begin[1:] &= ~letter[:-1] | first[1:-1]
-        runs = np.flatnonzero(begin)
-        end = np.zeros(len(buf) + 1, bool)
-        end[1:] = letter
-        end[1:-1] &= ~letter[1:] | first[1:-1]
-        ends = np.flatnonzero(end)
-        odd = self._odd(buf, offsets, np.concatenate([runs, ends - 1]))
-        spaced = (runs > 0) & (buf[runs - 1] == 0x20) & ~first[runs]
-        heads = runs - spaced
-        cut = first
-        cut[heads] = cut[ends] = True
-        cuts = np.flatnonzero(cut)
-        starts = cuts[:-1]
-        lens = np.diff(cuts)
-        kind = np.zeros(len(buf) + 1, np.uint8)  # 1: a run without space before, 2: with one, 0: a gap or the end
-        kind[heads] = 1 + spaced
-        ahead = kind[cuts[1:]]
-        ahead[(kind[starts] > 0) | np.isin(cuts[1:], offsets)] = 0
-        place = np.arange(len(buf)) - np.repeat(starts, lens)
-        h = _BYTE[buf]
-        h *= _places(int(lens.max()))[place]
-        h = mix(np.add.reduceat(h, starts) + lens.astype(np.uint64) * _FOLLOWED[0]) ^ (_FOLLOWED[1] * ahead)
+        starts, lens, ahead, edges = runs(buf, offsets)
+        odd = odd_texts(buf, offsets, edges, self.special)
+        h = run_keys(buf, starts, lens, ahead)
         keys, at, back = np.unique(h, return_index=True, return_inverse=True)
         row = self.kept.find(keys)
         if len(new := np.flatnonzero(row < 0)):

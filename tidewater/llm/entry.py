@@ -12,11 +12,12 @@ from tidewater.llm.op1_jaccard import op1_jaccard
 from tidewater.llm.op2_hmm import op2_hmm
 from tidewater.llm.op3_repeats import op3_repeats
 from tidewater.llm.op4_backtrack_bpe import op4_bpe_codec
+from tidewater.llm.op5_trie_counts import op5_token_counts
 from tidewater.llm.op6_fingerprints import op6_fingerprints
 from tidewater.llm.op7_rans_files import op7_token_files
 from tidewater.llm.op8_quality import op8_quality
 
-_QUERIES = (op1_jaccard, op2_hmm, op3_repeats, op4_bpe_codec, op6_fingerprints, op7_token_files, op8_quality, op9_embeddings, op10_packing)
+_QUERIES = (op1_jaccard, op2_hmm, op3_repeats, op4_bpe_codec, op5_token_counts, op6_fingerprints, op7_token_files, op8_quality, op9_embeddings, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
