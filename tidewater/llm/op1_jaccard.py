@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import chunks, documents, mix, n_partitions, text_bytes, windows, words, written
@@ -317,7 +317,7 @@ def _best(found: DataFrame, *by: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id per row, and class (equal sets)."""
+    """doc_id, text_key, class (equal sets), n_shingles, component_id and group (a component's number, null if empty) per row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("row_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(sets(own, frequent(own)), "sets")
     classes = rows.where("class is not null").groupBy("class").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("row_id"), "text_key")).alias("r"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("scale").alias("scale"), F.first("counts").alias("counts"), F.first("listed").alias("listed"))
@@ -336,8 +336,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = written(components(links), "labels")
     held = classes.select("class", "least").join(labels.withColumnsRenamed({"node": "class"}), "class", "left").withColumn("label", F.coalesce("label", "class"))
     first = held.groupBy("label").agg(F.min("least").alias("component_id"))
-    held = held.join(first, "label").select("class", "component_id")
-    return rows.select("doc_id", "text_key", "class", F.col("n").alias("n_shingles")).join(held, "class", "left").select("doc_id", "text_key", "class", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    held = held.join(first, "label").select("class", "component_id", F.col("label").alias("group"))
+    return rows.select("doc_id", "text_key", "class", F.col("n").alias("n_shingles")).join(held, "class", "left").select("doc_id", "text_key", "class", "n_shingles", "group", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id (then of the smallest text key). Empty texts stay."""
+    found = near_duplicates(docs)
+    grouped = found.where("group is not null")
+    kept = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("k")).select("k.doc_id", "k.text_key")
+    kept = kept.select(F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_none"), F.col("text_key").alias("k_text"))
+    lone = found.where("group is null").select(F.coalesce("doc_id", F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_none"), F.col("text_key").alias("k_text")).distinct()
+    kept = written(kept.withColumn("k_one", F.lit(True)).unionByName(lone.withColumn("k_one", F.lit(False))), "kept")
+    names = docs.columns
+    own = docs.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(names)], F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k_id"), F.col("doc_id").isNull().alias("k_none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_text"))
+    own = own.join(kept, ["k_id", "k_none", "k_text"])
+    copies = Window.partitionBy("k_id", "k_none", "k_text").orderBy(F.lit(0))
+    own = own.withColumn("k_place", F.row_number().over(copies)).where("k_place = 1 or not k_one")
+    return own.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
