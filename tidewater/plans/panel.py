@@ -137,7 +137,7 @@ def state_runs(spark, sf_dir):
 
 
 def sojourn_moments(spark, sf_dir):
-    return rounded(stats.sojourn_moments(stats.state_runs(_binned(spark, sf_dir))), 5)
+    return rounded(stats.sojourn_moments(stats.state_runs(_binned(spark, sf_dir))), 9)
 
 
 def within_state_ar1(spark, sf_dir):
@@ -273,8 +273,8 @@ runs AS (SELECT ticker, CAST(run AS BIGINT) AS run, any_value(bin) AS state, cou
 ORACLES |= {
     "state_runs": f"WITH {_RUNS_SQL} SELECT * FROM runs",
     "sojourn_moments": f"""WITH {_RUNS_SQL}, m AS (SELECT ticker, state, count(*) AS n_runs, avg(length) AS mean_len, var_samp(length) AS v, min(length) AS d, sum(ln(length)) AS s FROM runs GROUP BY 1, 2)
-SELECT ticker, state, n_runs, round(mean_len, 5) AS mean_len, round(v, 5) AS var_len, round(CASE WHEN v > mean_len - 1 THEN (mean_len - 1) ** 2 / nullif(v - mean_len + 1, 0) END, 5) AS nb_r,
-       round(least(5.0, greatest(0.3, n_runs / nullif(s - n_runs * ln(d), 0))), 5) AS pareto_alpha FROM m""",
+SELECT ticker, state, n_runs, round(mean_len, 9) AS mean_len, round(v, 9) AS var_len, round(CASE WHEN v > mean_len - 1 THEN (mean_len - 1) ** 2 / nullif(v - mean_len + 1, 0) END, 9) AS nb_r,
+       round(least(5.0, greatest(0.3, n_runs / nullif(s - n_runs * ln(d), 0))), 9) AS pareto_alpha FROM m""",
     "within_state_ar1": f"""WITH {BINS_SQL}, p AS (SELECT ticker, bin, g, lag(g) OVER w AS x, lag(bin) OVER w AS b FROM binned WINDOW w AS (PARTITION BY ticker ORDER BY idx))
 SELECT ticker, bin AS state, count(*) AS n, round(least(0.999, greatest(-0.999, regr_slope(g, x))), 5) AS phi, round(regr_intercept(g, x), 5) AS intercept FROM p WHERE b = bin GROUP BY 1, 2""",
     "em_init_chunks": f"""WITH {RETURNS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY g, idx) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM returns),

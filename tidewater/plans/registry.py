@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import panel
+from tidewater.plans import panel, validation
 
-_MODULES = (panel,)
+_MODULES = (panel, validation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
