@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import panel, validation
+from tidewater.plans import models, panel, validation
 
-_MODULES = (panel, validation)
+_MODULES = (panel, validation, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
