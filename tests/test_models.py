@@ -68,3 +68,37 @@ def test_distributions():
     for family, shape in (("normal", 0), ("t", 5.0), ("laplace", 1.0), ("ged", 1.4)):
         for p in (0.01, 0.3, 0.9):
             assert math.isclose(dists.cdf(family, dists.quantile(family, p, shape), shape), p, abs_tol=1e-9)
+
+
+def test_copula_profile_finds_the_degrees_of_freedom(spark):
+    from tidewater.operators import dependence
+
+    rng = np.random.default_rng(11)
+    c = np.linalg.cholesky([[1, 0.6], [0.6, 1]])
+    x = rng.standard_normal((1500, 2)) @ c.T / np.sqrt(rng.chisquare(4, (1500, 1)) / 4)
+    rows = [(t, i, float(v)) for i, r in enumerate(x) for t, v in zip("AB", r, strict=True)]
+    out = dependence.copula_profile(spark.createDataFrame(rows, "ticker string, dt int, g double"), ["A", "B"], [2.5, 4, 20, 1e9]).collect()
+    best = max(out, key=lambda r: r.ll)
+    assert best.nu == 4 and abs(best.sigma[0][1] - 0.6) < 0.06
+
+
+def test_tau_b_equals_all_pairs():
+    from tidewater.operators.dependence import tau_b
+
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        x, y = rng.integers(0, 6, (2, 25)).astype(float)
+        i, j = np.triu_indices(25, 1)
+        s = np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])
+        want = s.sum() / np.sqrt((x[i] != x[j]).sum() * (y[i] != y[j]).sum())
+        assert math.isclose(tau_b(x, y), want)
+
+
+def test_har_and_dynamic_quantile(spark):
+    from tidewater.operators import risk, timeseries
+
+    r = series(spark, two_regimes(900)[0])
+    fit = volatility.har_fit(timeseries.har_sufficient_statistics(timeseries.har_features(r))).first()
+    assert fit.n > 800 and all(math.isfinite(v) for v in (fit.b0, fit.b_d, fit.b_w, fit.b_m))
+    out = risk.dynamic_quantile(risk.rolling_breaches(r, 0.05, 250), 0.05).first()
+    assert 0 <= out.p <= 1 and out.n == 900 - 250 - 4

@@ -67,3 +67,52 @@ def vendor_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     gap, step = (F.col("x") - F.col("y")) / F.col("y"), lambda c: F.log(F.col(c) / F.lag(c).over(w))
     out = both.withColumn("d", gap).withColumn("r", step("x") - step("y"))
     return out.agg(F.count("*").alias("n"), F.avg("d").alias("mean_gap"), F.stddev_samp("d").alias("sd_gap"), F.max(F.abs("d")).alias("max_gap"), F.stddev_samp("r").alias("sd_return_gap"))
+
+
+def nearest_correlation(tau: np.ndarray, floor: float = 1e-8) -> np.ndarray:
+    """Correlation matrix sin(pi tau / 2), its eigenvalues clipped from below and its diagonal set back to 1."""
+    values, vectors = np.linalg.eigh(np.sin(np.pi * tau / 2))
+    s = vectors * np.maximum(values, floor) @ vectors.T
+    d = np.sqrt(np.diag(s))
+    return s / np.outer(d, d)
+
+
+def copula_log_likelihood(u: np.ndarray, sigma: np.ndarray, nu: float) -> float:
+    """Log-likelihood of probability ranks under a t copula; nu = inf is the Gaussian one."""
+    import math
+
+    from tidewater.functions.dists import log_density, quantile
+
+    family = "normal" if math.isinf(nu) else "t"
+    levels, at = np.unique(u, return_inverse=True)
+    q = np.array([quantile(family, float(p), nu) for p in levels])[at].reshape(u.shape)
+    d = u.shape[1]
+    form = np.einsum("ij,jk,ik->i", q, np.linalg.inv(sigma), q)
+    half = -0.5 * np.linalg.slogdet(sigma)[1]
+    if family == "normal":
+        joint = half - 0.5 * form - d / 2 * math.log(2 * math.pi)
+    else:
+        joint = half + math.lgamma((nu + d) / 2) - math.lgamma(nu / 2) - d / 2 * math.log(math.pi * nu) - (nu + d) / 2 * np.log1p(form / nu)
+    return float((joint - log_density(family, q, 0.0, 1.0, nu).sum(1)).sum())
+
+
+def copula_profile(returns: DataFrame, tickers: list[str], nus: list[float]) -> DataFrame:
+    """(nu, n, ll, sigma) for each degree of freedom, one group each; 1e9 stands for the Gaussian copula.
+
+    Series are aligned on common dates; the correlation comes from Kendall's tau.
+    """
+    wide = returns.groupBy("dt").pivot("ticker", tickers).agg(F.first("g")).dropna()
+    grid = wide.withColumn("nu", F.explode(F.array(*[F.lit(float(v)) for v in nus])))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame.sort_values("dt")[tickers].to_numpy()
+        d, nu = len(tickers), float(frame["nu"].iloc[0])
+        tau = np.eye(d)
+        for i in range(d):
+            for j in range(i):
+                tau[i, j] = tau[j, i] = tau_b(x[:, i], x[:, j])
+        sigma = nearest_correlation(tau)
+        u = (x.argsort(0, kind="stable").argsort(0) + 1) / (len(x) + 1)
+        return pd.DataFrame([{"nu": nu, "n": len(x), "ll": copula_log_likelihood(u, sigma, np.inf if nu >= 1e9 else nu), "sigma": sigma.tolist()}])
+
+    return grid.groupBy("nu").applyInPandas(run, "nu double, n long, ll double, sigma array<array<double>>")
