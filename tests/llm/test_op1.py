@@ -65,6 +65,26 @@ def test_one_large_group(spark, monkeypatch):
     same(spark, rows)
 
 
+def test_finer_points_stay_above_the_overlap():
+    rng = np.random.default_rng(7)
+    sets, counts, scale = [], [], []
+    for n in (100, 300, 600, 700, 900, 5000, 6000):
+        common = rng.integers(0, 1 << 48, n, dtype=np.uint64)
+        for share in (1.0, 0.9, 0.5):
+            own = np.unique(np.append(common[: int(n * share)], rng.integers(0, 1 << 48, n - int(n * share), dtype=np.uint64)))
+            bits = max(7, int(np.ceil(np.log2(len(own) / 2))))
+            sets.append(set(own.tolist()))
+            counts.append(np.bincount((own >> np.uint64(48 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8))
+            scale.append(0)
+    points = op.Points(counts, np.array(scale))
+    n = np.array([len(s) for s in sets])
+    x, y = np.triu_indices(len(sets), 1)
+    near = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+    x, y = x[near], y[near]
+    bound = op._overlap(points, x, y, np.minimum(points.size[x], points.size[y]), 1 << 20)
+    assert all(b >= len(sets[i] & sets[j]) for b, i, j in zip(bound.tolist(), x.tolist(), y.tolist(), strict=True))
+
+
 def test_empty(spark):
     assert op.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -74,12 +94,13 @@ def test_tree_finds_what_all_pairs_find():
     base = rng.integers(0, 6, (9, op.GROUPS))
     points = np.maximum(0, base[rng.integers(0, 9, 400)] + rng.integers(-1, 2, (400, op.GROUPS)) * (rng.random((400, op.GROUPS)) < 0.2)).astype(np.int32)
     n, label = points.sum(1).astype(np.int64), np.arange(400)
+    held = op.Points(list(points.astype(np.uint8)), np.zeros(400, np.int64))
     tree = op.CountTree(points, n, label, np.arange(400))
     found = set()
     for p, q in tree.pairs():
         i, j = np.repeat(p, len(q)), np.tile(q, len(p))
-        x, y, _ = op._bounded(points, n, label, i, j)
+        x, y, _ = op._bounded(held, n, label, i, j)
         found |= {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     i, j = np.triu_indices(400, 1)
-    x, y, _ = op._bounded(points, n, label, i, j)
+    x, y, _ = op._bounded(held, n, label, i, j)
     assert found == set(zip(x.tolist(), y.tolist(), strict=True)) and found

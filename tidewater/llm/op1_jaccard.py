@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import chunks, documents, mix, n_partitions, text_bytes, windows, words, written
 from tidewater.llm.components import components
 
-WORDS, GROUPS, LEAF = 5, 128, 32
-SAMPLE_DOCS, FREQUENT = 3000, 12
+WORDS, LEAF = 5, 32
+#: A set of n shingles has n / 2 groups or more, and GROUPS at least; trees are over all points folded to GROUPS.
+_LEAST_BITS = 7
+GROUPS = 1 << _LEAST_BITS
+SAMPLE_DOCS, FREQUENT = 6000, 3
 NUMERATOR, DENOMINATOR = 75, 100
 _BITS = np.uint64((1 << 48) - 1)
 _HUB_MEMBERS = 256
@@ -61,8 +64,11 @@ def _unpack48(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles of at least FREQUENT of the SAMPLE_DOCS documents whose ids hash lowest: at most SAMPLE_DOCS * mean size / FREQUENT."""
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least FREQUENT of the SAMPLE_DOCS documents whose ids hash lowest, and in how many (as a power of 2).
+
+    They are at most SAMPLE_DOCS * mean size / FREQUENT, whatever the table's size.
+    """
 
     def run(batches):
         for batch in batches:
@@ -71,10 +77,13 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
     sample = docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS).distinct()
     got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text").mapInArrow(run, "h long")
-    return np.sort(np.array([r.h for r in got.groupBy("h").count().where(F.col("count") >= FREQUENT).select("h").collect()], np.uint64))
+    got = got.groupBy("h").count().where(F.col("count") >= FREQUENT).toArrow()
+    h, n = got.column("h").to_numpy().astype(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], np.log2(n[order]).astype(np.uint64)
 
 
-def sets(docs: DataFrame, last: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+def sets(docs: DataFrame, last: tuple[np.ndarray, np.ndarray], numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, text_key, class (of equal sets; null if empty), n, scale and counts (the point), listed (shingles of the prefix)."""
 
     def run(batches):
@@ -83,22 +92,26 @@ def sets(docs: DataFrame, last: np.ndarray, numerator: int = NUMERATOR, denomina
                 h, owner = shingles(*text_bytes(part.column("text")))
                 m = part.num_rows
                 n = np.bincount(owner, minlength=m)
-                counts = np.bincount(owner * GROUPS + (h >> np.uint64(41)).astype(np.int64), minlength=m * GROUPS).reshape(m, GROUPS)
-                scale = np.maximum(0, np.ceil(np.log2(np.maximum(counts.max(1), 1) / 255)).astype(np.int64))
-                counts = (counts + (1 << scale[:, None]) - 1 >> scale[:, None])
+                bits = np.maximum(_LEAST_BITS, np.ceil(np.log2(np.maximum(n, 1) / 2))).astype(np.int64)
+                base = np.append(0, np.cumsum(1 << bits))
+                counts = np.bincount(base[owner] + (h >> (48 - bits[owner]).astype(np.uint64)).astype(np.int64), minlength=base[-1])
+                scale = np.maximum(0, np.ceil(np.log2(np.maximum(np.maximum.reduceat(counts, base[:-1]), 1) / 255)).astype(np.int64))
+                up = np.repeat(scale, 1 << bits)
+                counts = (counts + (1 << up) - 1 >> up).astype(np.uint8).tobytes()
+                points = [counts[x:y] for x, y in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
                 digest = np.zeros(m, np.uint64)
                 np.add.at(digest, owner, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
                 digest = mix(digest + n.astype(np.uint64)).astype(np.int64)
-                rank = mix(h) >> np.uint64(1)
-                if len(last):
-                    i = np.minimum(np.searchsorted(last, h), len(last) - 1)
-                    rank |= (last[i] == h).astype(np.uint64) << np.uint64(63)
+                rank = mix(h) >> np.uint64(6)
+                if len(last[0]):
+                    i = np.minimum(np.searchsorted(last[0], h), len(last[0]) - 1)
+                    rank |= np.where(last[0][i] == h, last[1][i], np.uint64(0)) << np.uint64(58)
                 h = h[np.lexsort((rank, owner))]
                 ends = np.cumsum(n)
                 first = n - -(-numerator * n // denominator) + 1
                 listed = [_pack48(h[e - k : e - k + f]) for e, k, f in zip(ends.tolist(), n.tolist(), first.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(digest, mask=n == 0), pa.array(n), pa.array(scale), pa.array([r.tobytes() for r in counts.astype(np.uint8)], pa.binary()), pa.array(listed, pa.binary())],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(digest, mask=n == 0), pa.array(n), pa.array(scale), pa.array(points, pa.binary()), pa.array(listed, pa.binary())],
                     names=["doc_id", "text_key", "class", "n", "scale", "counts", "listed"],
                 )
 
@@ -209,7 +222,7 @@ def _search(table: pa.Table, level: int) -> pa.Table:
     """
     every = level > 1
     ids, n, label = (table.column(c).to_numpy() for c in ("class", "n", "label"))
-    points = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(len(ids), GROUPS).astype(np.int32) << table.column("scale").to_numpy().astype(np.int32)[:, None]
+    points = Points([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()], table.column("scale").to_numpy())
     lists = [_unpack48(x) for x in table.column("hashes").to_pylist()]
     h, owner = np.concatenate(lists), np.repeat(np.arange(len(ids)), [len(x) for x in lists])
     order = np.lexsort((owner, h))
@@ -228,7 +241,7 @@ def _search(table: pa.Table, level: int) -> pa.Table:
             x.append(cell[:, i].ravel())
             y.append(cell[:, j].ravel())
     for a, s in zip(begin[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
-        tree = CountTree(points, n, label, owner[a : a + s])
+        tree = CountTree(points.coarse, n, label, owner[a : a + s])
         for p, q in tree.pairs() if every else ((m, m) for m in tree.leaves()):
             i, j = np.repeat(p, len(q)), np.tile(q, len(p))
             if p is q:
@@ -250,17 +263,53 @@ def _search(table: pa.Table, level: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(label[b]), pa.array(share)], names=["a", "b", "label", "share"])
 
 
-def _bounded(points, n, label, x, y, block: int = 100_000):
+class Points:
+    """Counts by group of many sets. A coarser point is the sum of neighbouring groups of a finer one, so two sets are
+    compared on the groups of the coarser."""
+
+    def __init__(self, counts: list[np.ndarray], scale: np.ndarray):
+        self.size = np.array([len(x) for x in counts])
+        self.counts, self.scale = counts, scale.astype(np.int64)
+        self.coarse = np.array([self._folded(i, GROUPS) for i in range(len(counts))]) if counts else np.zeros((0, GROUPS), np.int32)
+        self.finer: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _folded(self, i: int, groups: int) -> np.ndarray:
+        return (self.counts[i].reshape(groups, -1).sum(1, dtype=np.int32)) << np.int32(self.scale[i])
+
+    def at(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """Points of the sets that have `groups` groups, or twice as many, and each set's row among them."""
+        if groups == GROUPS:
+            return self.coarse, np.arange(len(self.counts))
+        if groups not in self.finer:
+            own = np.flatnonzero((self.size == groups) | (self.size == 2 * groups))
+            row = np.zeros(len(self.counts), np.int64)
+            row[own] = np.arange(len(own))
+            self.finer[groups] = np.array([self._folded(i, groups) for i in own.tolist()]), row
+        return self.finer[groups]
+
+
+def _bounded(points: Points, n, label, x, y, block: int = 1 << 24):
     """The pairs (x, y) of two labels whose sum of coordinate minima reaches the threshold, and by how much."""
     keep = (label[x] != label[y]) & (DENOMINATOR * np.minimum(n[x], n[y]) >= NUMERATOR * np.maximum(n[x], n[y]))
     x, y = x[keep], y[keep]
-    bound = np.zeros(len(x), np.int64)
-    for i in range(0, len(x), block):
-        bound[i : i + block] = np.minimum(points[x[i : i + block]], points[y[i : i + block]]).sum(1)
+    bound = _overlap(points, x, y, np.full(len(x), GROUPS), block)
+    keep = _reaches(bound, n[x], n[y])
+    x, y = x[keep], y[keep]
+    bound = _overlap(points, x, y, np.minimum(points.size[x], points.size[y]), block)
     keep = _reaches(bound, n[x], n[y])
     return x[keep], y[keep], bound[keep] / (n[x] + n[y])[keep]
 
 
+def _overlap(points: Points, x, y, groups, block: int):
+    bound = np.zeros(len(x), np.int64)
+    for g in np.unique(groups).tolist():
+        of, (p, row) = np.flatnonzero(groups == g), points.at(g)
+        for i in range(0, len(of), max(1, block // g)):
+            at = of[i : i + max(1, block // g)]
+            bound[at] = np.minimum(p[row[x[at]]], p[row[y[at]]]).sum(1)
+    return bound
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are over the threshold.
 
