@@ -53,7 +53,7 @@ def bars_daily_vwap(spark, sf_dir):
 
 
 def bars_ohlc_daily(spark, sf_dir):
-    return rounded(ohlc_bars(spark, sf_dir))
+    return rounded(ohlc_bars(spark, sf_dir), 9)
 
 
 def cumulative_vwap_query(spark, sf_dir):
@@ -227,7 +227,7 @@ SELECT ticker, count(g) AS n, round(avg(g), 6) AS mean_g, round(stddev_samp(g),
        round(kurtosis_pop(g), 6) AS kurt_g, round(quantile_cont(g, 0.05), 6) AS q05_g
 FROM returns GROUP BY ticker""",
     "bars_daily_vwap": f"WITH {BARS_SQL} SELECT ticker, dt, round(vwap, 6) AS vwap, round(volume, 6) AS volume, n FROM bars",
-    "bars_ohlc_daily": f"WITH {_OHLC_SQL} SELECT ticker, dt, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM ohlc",
+    "bars_ohlc_daily": f"WITH {_OHLC_SQL} SELECT ticker, dt, round(open, 9) AS open, round(high, 9) AS high, round(low, 9) AS low, round(close, 9) AS close, round(volume, 9) AS volume FROM ohlc",
     "cumulative_vwap": f"""WITH {_OHLC_SQL}
 SELECT ticker, dt, round(sum((high + low + close) / 3 * volume) OVER w / sum(volume) OVER w, 6) AS cum_vwap
 FROM ohlc WINDOW w AS (PARTITION BY ticker ORDER BY dt)""",
