@@ -74,7 +74,10 @@ def test_finer_points_stay_above_the_overlap():
             own = np.unique(np.append(common[: int(n * share)], rng.integers(0, 1 << 48, n - int(n * share), dtype=np.uint64)))
             bits = max(7, int(np.ceil(np.log2(len(own) / 2))))
             sets.append(set(own.tolist()))
-            counts.append(np.bincount((own >> np.uint64(48 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8))
+            at = (own >> np.uint64(48 - bits)).astype(np.int64)
+            marks = np.zeros(1 << bits, np.uint8)
+            np.bitwise_xor.at(marks, at, (op.mix(own) >> np.uint64(60)).astype(np.uint8))
+            counts.append(np.bincount(at, minlength=1 << bits).astype(np.uint8) | marks << 4)
             scale.append(0)
     points = op.Points(counts, np.array(scale))
     n = np.array([len(s) for s in sets])
@@ -91,7 +94,7 @@ def test_empty(spark):
 
 def test_tree_finds_what_all_pairs_find():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 6, (9, op.GROUPS))
+    base = rng.integers(0, 6, (9, op.GROUPS))  # marks are 0 throughout
     points = np.maximum(0, base[rng.integers(0, 9, 400)] + rng.integers(-1, 2, (400, op.GROUPS)) * (rng.random((400, op.GROUPS)) < 0.2)).astype(np.int32)
     n, label = points.sum(1).astype(np.int64), np.arange(400)
     held = op.Points(list(points.astype(np.uint8)), np.zeros(400, np.int64))

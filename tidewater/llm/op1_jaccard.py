@@ -6,7 +6,8 @@
    keeps cells small: any order finds all pairs. Buckets of shingle hashes drop those that one class alone lists.
 3. The classes that share a listed shingle are a cell. A cell's points are a tree of bounding maxima; the overlap of two
    sets is at most the sum of coordinate minima, so pairs of nodes that can't reach the threshold, by this sum or by size,
-   are skipped, as are nodes that are one component already.
+   are skipped, as are nodes that are one component already. Pairs of points are bounded again on all their groups, where
+   a 4-bit mark of a group's members tells many unequal groups of one count apart.
 4. Pairs that survive are verified on the whole sets, each set sent once to every partner it is compared with. This goes in
    three rounds: the best partner within a leaf; then, between what is still apart, the best partner of each component; then
    all that are still apart. A large group of near copies is joined by the first two, so it never makes all its pairs.
@@ -95,9 +96,11 @@ def sets(docs: DataFrame, last: tuple[np.ndarray, np.ndarray], numerator: int =
                 bits = np.maximum(_LEAST_BITS, np.ceil(np.log2(np.maximum(n, 1) / 2))).astype(np.int64)
                 base = np.append(0, np.cumsum(1 << bits))
                 counts = np.bincount(base[owner] + (h >> (48 - bits[owner]).astype(np.uint64)).astype(np.int64), minlength=base[-1])
-                scale = np.maximum(0, np.ceil(np.log2(np.maximum(np.maximum.reduceat(counts, base[:-1]), 1) / 255)).astype(np.int64))
+                scale = np.maximum(0, np.ceil(np.log2(np.maximum(np.maximum.reduceat(counts, base[:-1]), 1) / 15)).astype(np.int64))
                 up = np.repeat(scale, 1 << bits)
-                counts = (counts + (1 << up) - 1 >> up).astype(np.uint8).tobytes()
+                marks = np.zeros(base[-1], np.uint8)
+                np.bitwise_xor.at(marks, base[owner] + (h >> (48 - bits[owner]).astype(np.uint64)).astype(np.int64), (mix(h) >> np.uint64(60)).astype(np.uint8))
+                counts = ((counts + (1 << up) - 1 >> up).astype(np.uint8) | marks << 4).tobytes()
                 points = [counts[x:y] for x, y in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
                 digest = np.zeros(m, np.uint64)
                 np.add.at(digest, owner, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
@@ -120,7 +123,7 @@ def sets(docs: DataFrame, last: tuple[np.ndarray, np.ndarray], numerator: int =
 
 def _shared(classes: DataFrame) -> DataFrame:
     """bucket, class, hashes: listed shingles that more than one class lists."""
-    buckets = 2 * n_partitions(classes.sparkSession)
+    buckets = n_partitions(classes.sparkSession)
 
     def deal(batches):
         for batch in batches:
@@ -264,8 +267,9 @@ def _search(table: pa.Table, level: int) -> pa.Table:
 
 
 class Points:
-    """Counts by group of many sets. A coarser point is the sum of neighbouring groups of a finer one, so two sets are
-    compared on the groups of the coarser."""
+    """Counts by group of many sets (low half of a byte, times 2**scale), and a mark, the XOR of 4 bits of each member's hash
+    (high half). A coarser point is the sum of neighbouring groups of a finer one, their marks' XOR is its mark, so two sets
+    are compared on the groups of the coarser."""
 
     def __init__(self, counts: list[np.ndarray], scale: np.ndarray):
         self.size = np.array([len(x) for x in counts])
@@ -274,25 +278,26 @@ class Points:
         self.finer: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def _folded(self, i: int, groups: int) -> np.ndarray:
-        return (self.counts[i].reshape(groups, -1).sum(1, dtype=np.int32)) << np.int32(self.scale[i])
+        return ((self.counts[i] & 15).reshape(groups, -1).sum(1, dtype=np.int32)) << np.int32(self.scale[i])
 
-    def at(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points of the sets that have `groups` groups, or twice as many, and each set's row among them."""
-        if groups == GROUPS:
-            return self.coarse, np.arange(len(self.counts))
+    def at(self, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Points and marks of the sets that have `groups` groups, or twice as many, and each set's row among them."""
         if groups not in self.finer:
             own = np.flatnonzero((self.size == groups) | (self.size == 2 * groups))
             row = np.zeros(len(self.counts), np.int64)
             row[own] = np.arange(len(own))
-            self.finer[groups] = np.array([self._folded(i, groups) for i in own.tolist()]), row
+            marks = np.array([np.bitwise_xor.reduce((self.counts[i] >> 4).reshape(groups, -1), axis=1) for i in own.tolist()])
+            self.finer[groups] = np.array([self._folded(i, groups) for i in own.tolist()], np.int32), marks, row
         return self.finer[groups]
 
 
-def _bounded(points: Points, n, label, x, y, block: int = 1 << 24):
+def _bounded(points: Points, n, label, x, y, block: int = 1 << 22):
     """The pairs (x, y) of two labels whose sum of coordinate minima reaches the threshold, and by how much."""
     keep = (label[x] != label[y]) & (DENOMINATOR * np.minimum(n[x], n[y]) >= NUMERATOR * np.maximum(n[x], n[y]))
     x, y = x[keep], y[keep]
-    bound = _overlap(points, x, y, np.full(len(x), GROUPS), block)
+    bound = np.zeros(len(x), np.int64)
+    for i in range(0, len(x), block // GROUPS):
+        bound[i : i + block // GROUPS] = np.minimum(points.coarse[x[i : i + block // GROUPS]], points.coarse[y[i : i + block // GROUPS]]).sum(1)
     keep = _reaches(bound, n[x], n[y])
     x, y = x[keep], y[keep]
     bound = _overlap(points, x, y, np.minimum(points.size[x], points.size[y]), block)
@@ -301,12 +306,16 @@ def _bounded(points: Points, n, label, x, y, block: int = 1 << 24):
 
 
 def _overlap(points: Points, x, y, groups, block: int):
+    """Sums of coordinate minima; where two groups hold equally many but their marks differ, at least one member does too."""
     bound = np.zeros(len(x), np.int64)
+    exact = points.scale == 0
     for g in np.unique(groups).tolist():
-        of, (p, row) = np.flatnonzero(groups == g), points.at(g)
+        of, (p, marks, row) = np.flatnonzero(groups == g), points.at(g)
         for i in range(0, len(of), max(1, block // g)):
             at = of[i : i + max(1, block // g)]
-            bound[at] = np.minimum(p[row[x[at]]], p[row[y[at]]]).sum(1)
+            a, b = row[x[at]], row[y[at]]
+            differ = ((p[a] == p[b]) & (marks[a] != marks[b])).sum(1)
+            bound[at] = np.minimum(p[a], p[b]).sum(1) - differ * (exact[x[at]] & exact[y[at]])
     return bound
 
 
