@@ -1,11 +1,11 @@
 """Document fingerprints as invertible Bloom lookup sketches, in SQL expressions alone.
 
-A text's paragraphs (lines and sentences, distinct) have 64-bit digests. A sketch has three subtables of `size` cells; each
+A text's paragraphs (lines, and the sentences of long ones, distinct) have 64-bit digests. A sketch has three subtables of `size` cells; each
 digest falls in one cell of each, which holds a count, the XOR of digests and the XOR of their checks. Sketches are kept
 as sorted arrays of the cells in use. Two sketches subtract cell by cell, common paragraphs cancel, and peeling takes
-digests out of cells that hold one until nothing is left, which recovers the paragraphs on either side alone. Where
-peeling gets stuck, it is done again on sketches of the next larger size (`SIZES`); past the last, by comparing the
-digests. Likeness is the common paragraphs' share of the larger text's (two empty texts: 1).
+digests out of cells that hold one until nothing is left, which recovers the paragraphs on either side alone. The first
+size is the smallest that both texts' digests together don't overfill; where peeling gets stuck, it is done again on
+sketches of the next larger size (`SIZES`); past the last, by comparing the digests. Likeness is the common paragraphs' share of the larger text's (two empty texts: 1).
 
 Null texts are empty. Rows in order: descending doc_id, null last; rows of one doc_id by descending text. A single row is
 its own next. Other columns are ignored; an empty table gives no rows.
@@ -16,34 +16,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents, n_partitions
+from tidewater.llm.common import documents, n_partitions, written
 
-SIZES = (32, 256, 4096, 65536)
-ROUNDS = 14
+SIZES = (32, 128, 1024, 16384)
+ROUNDS = 21
+#: A line of more characters is cut into its sentences.
+LONG_LINE = 600
 _LEAST = -(1 << 63)
-_CELL = "struct<i:int,n:int,k:bigint,c:bigint>"
 
 
 def digests(text: str) -> str:
     """Distinct digests of a text's paragraphs."""
-    pieces = f"filter(split({text}, '\\\\n+|(?<=[.!?])\\\\s+'), x -> x <> '')"
+    lines = f"transform(split({text}, '\\\\n+'), l -> if(length(l) > {LONG_LINE}, split(l, '(?<=[.!?])\\\\s+'), array(l)))"
+    pieces = f"filter(flatten({lines}), x -> x <> '')"
     return f"array_distinct(transform({pieces}, x -> xxhash64(x)))"
 
 
-def _entries(keys: str, size: int) -> str:
-    h = "xxhash64(k)"
-    cell = lambda j: f"named_struct('i', cast({j * size} + (shiftright({h}, {20 * j}) & {size - 1}) as int), 'n', 1, 'k', k, 'c', xxhash64(k, 7))"
-    return f"flatten(transform({keys}, k -> array({cell(0)}, {cell(1)}, {cell(2)})))"
+def _entries(keys: str, size: int, sign: int = 1) -> str:
+    """The cells that digests fall in, one entry each."""
+    cell = lambda n: f"named_struct('i', cast({n * size} + (shiftright(h, {20 * n}) & {size - 1}) as int), 'n', {sign}, 'k', k, 'c', c)"
+    three = f"array({cell(0)}, {cell(1)}, {cell(2)})"
+    return f"flatten(transform({keys}, k -> {_with('named_struct(' + repr('h') + ', xxhash64(k), ' + repr('c') + ', xxhash64(k, 7))', 'm', three.replace('(h,', '(m.h,').replace(', c)', ', m.c)'))}))"
+
+
+def _with(value: str, name: str, body: str) -> str:
+    """body with `name` standing for value, worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _merged(cells: str) -> str:
-    """Cells sorted by place, those of one place added up, empty ones left out."""
-    one = f"cast(null as {_CELL})"
-    add = "named_struct('i', x.i, 'n', s.at.n + x.n, 'k', s.at.k ^ x.k, 'c', s.at.c ^ x.c)"
-    done = "if(s.at is null or (s.at.n = 0 and s.at.k = 0 and s.at.c = 0), s.done, array_append(s.done, s.at))"
-    start = f"named_struct('done', cast(array() as array<{_CELL}>), 'at', {one})"
-    step = f"if(s.at.i = x.i, named_struct('done', s.done, 'at', {add}), named_struct('done', {done}, 'at', x))"
-    return f"aggregate(array_sort({cells}), {start}, (s, x) -> {step}, s -> {done})"
+    """Cells sorted by place, those of one place added up, empty ones left out: place by place, by where each begins."""
+    begins = "filter(sequence(1, size(c)), p -> p = 1 or element_at(c, p).i <> element_at(c, p - 1).i)"
+    add = "named_struct('i', x.i, 'n', t.n + x.n, 'k', t.k ^ x.k, 'c', t.c ^ x.c)"
+    one = f"aggregate(slice(c, p, coalesce(try_element_at(b, j + 2), size(c) + 1) - p), named_struct('i', 0, 'n', 0, 'k', 0L, 'c', 0L), (t, x) -> {add})"
+    sums = _with(begins, "b", f"filter(transform(b, (p, j) -> {one}), y -> y.n <> 0 or y.k <> 0 or y.c <> 0)")
+    return _with(f"array_sort({cells})", "c", f"if(size(c) = 0, c, {sums})")
 
 
 def sketch(keys: str, size: int = SIZES[0]) -> str:
@@ -51,29 +58,56 @@ def sketch(keys: str, size: int = SIZES[0]) -> str:
     return _merged(_entries(keys, size))
 
 
-def peeled(a: str, b: str, size: int) -> str:
-    """struct(a, b): how many digests only sketch a or only sketch b holds; null where peeling gets stuck."""
-    negated = f"transform({b}, y -> named_struct('i', y.i, 'n', -y.n, 'k', y.k, 'c', y.c))"
+def peeled(a: str, negative: str, size: int) -> str:
+    """struct(a, b): how many digests only one side holds, from cells of a and negated cells of b; null where peeling gets stuck."""
     pure = "array_distinct(transform(filter(s.cells, y -> abs(y.n) = 1 and y.c = xxhash64(y.k, 7)), y -> named_struct('n', y.n, 'k', y.k)))"
-    h = "xxhash64(p.k)"
-    cell = lambda j: f"named_struct('i', cast({j * size} + (shiftright({h}, {20 * j}) & {size - 1}) as int), 'n', -p.n, 'k', p.k, 'c', xxhash64(p.k, 7))"
+    cell = lambda n: f"named_struct('i', cast({n * size} + (shiftright(xxhash64(p.k), {20 * n}) & {size - 1}) as int), 'n', -p.n, 'k', p.k, 'c', xxhash64(p.k, 7))"
     out = f"flatten(transform(pure, p -> array({cell(0)}, {cell(1)}, {cell(2)})))"
-    after = f"named_struct('cells', {_merged_within(f'concat(s.cells, {out})')}, 'a', s.a + size(filter(pure, p -> p.n > 0)), 'b', s.b + size(filter(pure, p -> p.n < 0)))"
-    step = f"if(size(s.cells) = 0, s, element_at(transform(array({pure}), pure -> if(size(pure) = 0, s, {after})), 1))"
-    start = f"named_struct('cells', {_merged(f'concat({a}, {negated})')}, 'a', 0, 'b', 0)"
+    after = f"named_struct('cells', {_merged(f'concat(s.cells, {out})')}, 'a', s.a + size(filter(pure, p -> p.n > 0)), 'b', s.b + size(filter(pure, p -> p.n < 0)), 'stuck', false)"
+    stuck = "named_struct('cells', s.cells, 'a', s.a, 'b', s.b, 'stuck', true)"
+    step = f"if(s.stuck or size(s.cells) = 0, s, {_with(pure, 'pure', f'if(size(pure) = 0, {stuck}, {after})')})"
+    start = f"named_struct('cells', {_merged(f'concat({a}, {negative})')}, 'a', 0, 'b', 0, 'stuck', false)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> if(size(s.cells) = 0, named_struct('a', s.a, 'b', s.b), null))"
 
 
-def _merged_within(cells: str) -> str:
-    """_merged inside a lambda whose variable is s."""
-    return _merged(cells).replace("(s, x)", "(t, x)").replace("s ->", "t ->").replace("s.at", "t.at").replace("s.done", "t.done")
+def negated(cells: str) -> str:
+    return f"transform({cells}, y -> named_struct('i', y.i, 'n', -y.n, 'k', y.k, 'c', y.c))"
 
 
-def likeness(keys_a: str, keys_b: str, sketch_a: str, sketch_b: str) -> str:
-    tries = [peeled(sketch_a, sketch_b, SIZES[0]), *(peeled(sketch(keys_a, n), sketch(keys_b, n), n) for n in SIZES[1:])]
+def peeled_rows(pairs: DataFrame) -> DataFrame:
+    """row_id, which, a, b: as peeled(), for rows (row_id, which, size, keys_a, keys_b); a pair that gets stuck has no row.
+
+    Cells are rows, and a round is a grouping: cells of one subtable that hold one digest give it up and take it out of the
+    two other subtables. pairs must be partitioned by row_id; then no round shuffles.
+    """
+    signs = "concat(array_repeat(1, size(keys_a)), array_repeat(-1, size(keys_b)))"
+    cell = lambda n, sign: f"named_struct('i', cast({n} * size + (shiftright(xxhash64(k), {20 * n}) & (size - 1)) as int), 'n', {sign}, 'k', k, 'c', xxhash64(k, 7))"
+    key = ["row_id", "which", "size"]
+
+    def added(cells: DataFrame) -> DataFrame:
+        return cells.groupBy(*key, "i").agg(F.sum("n").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).where("n <> 0 or k <> 0 or c <> 0")
+
+    rows = pairs.selectExpr(*key, f"inline(arrays_zip(concat(keys_a, keys_b), {signs})) as (k, sign)")
+    cells = added(rows.selectExpr(*key, f"inline(array({cell(0, 'sign')}, {cell(1, 'sign')}, {cell(2, 'sign')})) as (i, n, k, c)"))
+    for r in range(ROUNDS):
+        own, others = r % 3, [n for n in range(3) if n != r % 3]
+        pure = f"i >= 0 and i div size = {own} and abs(n) = 1 and c = xxhash64(k, 7)"
+        found = "named_struct('i', if(n > 0, -1, -2), 'n', 1, 'k', 0L, 'c', 0L)"  # counts what is recovered on either side
+        left = f"array({cell(others[0], '-n')}, {cell(others[1], '-n')}, {found})"
+        cells = added(cells.selectExpr(*key, f"inline(if({pure}, {left}, array(named_struct('i', i, 'n', n, 'k', k, 'c', c)))) as (i, n, k, c)"))
+    out = cells.groupBy("row_id", "which").agg(F.sum(F.expr("if(i = -1, n, 0)")).cast("int").alias("a"), F.sum(F.expr("if(i = -2, n, 0)")).cast("int").alias("b"), F.count_if(F.col("i") >= 0).alias("stuck"))
+    return out.where("stuck = 0").drop("stuck")
+
+
+def likeness(keys_a: str, keys_b: str, done: str, last_size: str) -> str:
+    """Common share of the larger side, from `done` (struct of a and b, or null where peeling got stuck): then it is peeled on
+    the sizes above last_size, in the row; past the last, digests are compared."""
+    tries = [done]
+    for n in SIZES[1:]:
+        tries.append(f"if({n} > {last_size}, {peeled(_entries(keys_a, n), _entries(keys_b, n, -1), n)}, null)")
     tries.append(f"named_struct('a', size(array_except({keys_a}, {keys_b})), 'b', size(array_except({keys_b}, {keys_a})))")
     share = f"(size({keys_a}) - d.a) / cast(greatest(size({keys_a}), size({keys_b})) as double)"
-    return f"case when size({keys_a}) = 0 and size({keys_b}) = 0 then 1D when size({keys_a}) = 0 or size({keys_b}) = 0 then 0D else element_at(transform(array(coalesce({', '.join(tries)})), d -> {share}), 1) end"
+    return f"case when size({keys_a}) = 0 and size({keys_b}) = 0 then 1D when size({keys_a}) = 0 or size({keys_b}) = 0 then 0D else {_with(f'coalesce({", ".join(tries)})', 'd', share)} end"
 
 
 def shown(cells: str) -> str:
@@ -90,32 +124,41 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"))
     bounds = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     held = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]) if bounds else F.expr("cast(array() as array<bigint>)")
-    rows = rows.withColumn("part", F.size(F.filter(held, lambda b: b < F.col("id"))))
+    rows = rows.withColumn("part", F.size(F.filter(held, lambda b: b < F.col("id")))).withColumn("keys", F.expr(digests("text")))
     order = Window.partitionBy("part").orderBy(F.desc("id"), F.desc("text"))
     heads = rows.groupBy("part").agg(F.max(F.struct("id", "text")).alias("head"))  # one row a range
     down = Window.orderBy(F.desc("part"))
     heads = heads.select("part", F.coalesce(F.lead("head.text").over(down), F.first("head.text").over(down)).alias("head_text"))
-    found = rows.withColumn("after", F.lead("text").over(order)).join(heads, "part", "left")
-    return found.select("doc_id", "text", F.coalesce("after", "head_text").alias("next_text"))
+    found = rows.withColumn("after", F.lead("text").over(order)).withColumn("after_keys", F.lead("keys").over(order)).join(heads, "part", "left")
+    return found.select("doc_id", "text", "keys", F.coalesce("after", "head_text").alias("next_text"), F.coalesce("after_keys", F.expr(digests("head_text"))).alias("next_keys"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row."""
     third = "cast(length(text) div 3 as int)"
     rows = with_next(docs).withColumn("edited", F.expr(f"concat(left(text, length(text) - {third}), left(next_text, {third}))"))
-    for name, text in (("keys", "text"), ("edited_keys", "edited"), ("next_keys", "next_text")):
-        rows = rows.withColumn(name, F.expr(digests(text)))
-    rows = rows.select("doc_id", F.expr("cast(length(text) as long)").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "keys", "edited_keys", "next_keys")
-    for name in ("", "edited_", "next_"):
-        rows = rows.withColumn(f"{name}cells", F.expr(sketch(f"{name}keys")))
+    rows = rows.selectExpr("doc_id", "cast(length(text) as long) as n_chars", "keys", "next_keys", f"inline(array(named_struct('edited_sha256', sha2(cast(edited as binary), 256), 'edited_keys', {digests('edited')})))")
+    n = n_partitions(docs.sparkSession)
+    rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "paragraphs").repartition(n, "row_id")
+    fits = "case " + " ".join(f"when size(keys_a) + size(keys_b) <= {2 * m} then {m}" for m in SIZES[:-1]) + f" else {SIZES[-1]} end"
+    both = "array(named_struct('which', 0, 'keys_a', keys, 'keys_b', edited_keys), named_struct('which', 1, 'keys_a', keys, 'keys_b', next_keys))"
+    pairs = rows.selectExpr("row_id", f"inline({both})").selectExpr("row_id", "which", f"{fits} as size", "keys_a", "keys_b")
+    found = peeled_rows(pairs).groupBy("row_id").agg(*[F.max(F.when(F.col("which") == w, F.struct("a", "b"))).alias(f"found_{w}") for w in (0, 1)])
+    # equal texts cancel to nothing and leave no cells, so no row: their lists of digests are equal
+    none = "named_struct('a', 0, 'b', 0)"
+    rows = rows.join(found, "row_id", "left")
+    for w, other in ((0, "edited_keys"), (1, "next_keys")):
+        rows = rows.withColumn(f"found_{w}", F.expr(f"coalesce(found_{w}, if(keys = {other}, {none}, null))"))
+    rows = rows.selectExpr("*", f"inline(array(named_struct('cells', {sketch('keys')}, 'edited_cells', {sketch('edited_keys')})))")
+    size_of = lambda other: fits.replace("keys_a", "keys").replace("keys_b", other)
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         F.expr(shown("cells")).alias("fingerprint"),
         F.expr(shown("edited_cells")).alias("edited_fingerprint"),
-        F.expr(likeness("keys", "edited_keys", "cells", "edited_cells")).alias("near_edited"),
-        F.expr(likeness("keys", "next_keys", "cells", "next_cells")).alias("near_next"),
+        F.expr(likeness("keys", "edited_keys", "found_0", f"({size_of('edited_keys')})")).alias("near_edited"),
+        F.expr(likeness("keys", "next_keys", "found_1", f"({size_of('next_keys')})")).alias("near_next"),
     )
 
 
