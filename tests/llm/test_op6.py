@@ -62,3 +62,17 @@ def test_stuck_sketches_say_so(spark):
     large = op.peeled(op.sketch(many, 1024), op.negated(op.sketch("array(xxhash64(5), 77L)", 1024)), 1024)
     got = spark.range(1).select(F.expr(small).alias("small"), F.expr(large).alias("large")).first()
     assert got.small is None and (got.large.a, got.large.b) == (899, 1)
+
+
+def test_short_lines_are_cut_into_sentences(spark):
+    def alike(a, b):
+        a, b = ({x for x in re.split(r"\n+|(?<=[.!?])\s+", t) if x} for t in (a, b))
+        return len(a & b) / max(len(a), len(b))
+
+    texts = ["One two. Three four! Five six? Seven.", "Other words. \n Three four! Five six? More words here.", "A line.\nNo end here\nTwo. Parts. Of. One. Line."]
+    got = {r.doc_id: r for r in op.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        after, third = texts[i - 1], len(text) // 3
+        assert abs(got[i].near_edited - alike(text, text[: len(text) - third] + after[:third])) < 1e-9
+        assert abs(got[i].near_next - alike(text, after)) < 1e-9
+    assert got[0].near_edited > 0.3 and got[1].near_next > 0
