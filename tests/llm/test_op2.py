@@ -80,3 +80,12 @@ def test_none(spark):
 def test_beats_unigrams_on_held_out(spark):
     got = [r for r in op.op2_hmm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.03 * sum(r.n_tokens for r in got)
+
+
+def test_every_round_sees_every_training_document(spark, monkeypatch):
+    seen, round_ = [], op.baum_welch
+    monkeypatch.setattr(op, "baum_welch", lambda rows, m, shares: seen.append(rows.count()) or round_(rows, m, shares))
+    docs = spark.range(2500).selectExpr("id as doc_id", "concat('w', id % 7, ' w', id % 11) as text")
+    n = docs.where(~op.held_out()).count()
+    assert n > 1500 and op.language_model_scores(docs).count() == 2500
+    assert seen == [n] * 14

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -29,15 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: it cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Shuffle files of a query made and run in here go when it ends."""
     before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")  # its shuffle files go when the table is there
+    spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEAN_UP, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it cuts the lineage and survives lost executors."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with shuffles_cleaned(spark):  # its shuffle files go when the table is there
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

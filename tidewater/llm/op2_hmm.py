@@ -3,8 +3,7 @@
 Word counts of the training documents are gathered in buckets of the word's hash. The `HEAD` most frequent words (ties left
 out) are symbols of their own; other words are one tail symbol times their smoothed share of the tail, so every text has an
 exact probability. Each partition runs scaled forward-backward recursions over its documents, many at a time, and gives
-expected counts; their sums give the next model. `WARM_UP` rounds on about `WARM_DOCS` training documents find the states
-from a fixed start, then `ROUNDS` rounds run over all of them. A text's score is the scaled forward recursion's likelihood,
+expected counts; their sums give the next model. `ROUNDS` rounds from a fixed start run over all of them. A text's score is the scaled forward recursion's likelihood,
 in log10, over the words and one end.
 
 Only head words' hashes and counts (HEAD of them) and the model are sent to the executors; words of the tail meet their
@@ -21,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import chunks, documents, mix, n_partitions, noise, text_bytes, words, written
+from tidewater.llm.common import chunks, documents, mix, n_partitions, noise, shuffles_cleaned, text_bytes, words, written
 
 HEAD, STATES = 60_000, 8
-WARM_DOCS, WARM_UP, ROUNDS, PRIOR = 1500, 12, 2, 30.0
+ROUNDS, PRIOR = 14, 30.0
 _TOKENS = 1 << 18
 _SLICES = 16
 _MERGE = 2_000_000
@@ -305,15 +304,13 @@ def baum_welch(rows: DataFrame, m: Model, shares: np.ndarray) -> Model:
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train(rows: DataFrame, v: Vocabulary, n_train: int) -> Model:
+def train(rows: DataFrame, v: Vocabulary) -> Model:
+    """ROUNDS rounds over all rows, whatever their number; a round's shuffle files go when its sums are there."""
     shares = v.shares()
     m = first_model(shares)
-    share = min(1.0, WARM_DOCS / max(1, n_train))
-    sample = written(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("ids").repartition(4), "warm-up")
-    for _ in range(WARM_UP):
-        m = baum_welch(sample, m, shares)
-    for _ in range(ROUNDS):
-        m = baum_welch(rows, m, shares)
+    with shuffles_cleaned(rows.sparkSession):
+        for _ in range(ROUNDS):
+            m = baum_welch(rows, m, shares)
     return m
 
 
@@ -343,7 +340,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     counts = written(word_counts(own.where("not held_out")), "word-counts")
     v = vocabulary(counts, n_train)
     rows = written(coded(own.select("row_id", "doc_id", "held_out", "text"), v), "coded")
-    m = train(rows.where("not held_out"), v, n_train)
+    m = train(rows.where("not held_out"), v)
     got = scored(rows, m).join(tail_logs(rows, counts), "row_id", "left")
     tail_log, tail_known = F.coalesce("tail_log", F.lit(0.0)), F.coalesce("tail_known", F.lit(0))
     ends = 1 if n_train else 0
