@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import fidelity, recursions, risk, simulate, stats
-from tidewater.operators.dependence import kendall_tau, previous_value, vendor_overlap
+from tidewater.operators import dependence, fidelity, recursions, risk, simulate, stats
+from tidewater.operators.dependence import previous_value, vendor_overlap
 from tidewater.plans.panel import BARS_SQL, BINS_SQL, RETURNS_SQL, bars, returns, rounded
 
 
@@ -97,8 +97,13 @@ def auc_tied_rank(spark, sf_dir):
     return rounded(fidelity.auc(rows, "s", "p"), 9)
 
 
+def kendall_tau(spark, sf_dir):
+    return rounded(dependence.kendall_tau(returns(spark, sf_dir)), 9)
+
+
 def kendall_tau_small(spark, sf_dir):
-    return rounded(kendall_tau(returns(spark, sf_dir).where("dt < date'1996-01-01'")), 9)
+    """The dates before 1996 only; kendall_tau has all."""
+    return rounded(dependence.kendall_tau(returns(spark, sf_dir).where("dt < date'1996-01-01'")), 9)
 
 
 def asof_previous(spark, sf_dir):
@@ -120,7 +125,7 @@ def walk_forward_folds(spark, sf_dir):
 
 
 _NAMES = """ks_two_sample wasserstein1 hellinger var_es var_breaches coverage_tests garch_ll_fold gjr_fold egarch_fold forward_filter_fold caviar_path garch_grid
-bootstrap_paths_hash laplace_paths_hash markov_walk_hash crps_ensemble quantile_coverage auc_tied_rank kendall_tau_small asof_previous vendor_overlap_diff walk_forward_folds""".split()
+bootstrap_paths_hash laplace_paths_hash markov_walk_hash crps_ensemble quantile_coverage auc_tied_rank kendall_tau kendall_tau_small asof_previous vendor_overlap_diff walk_forward_folds""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _PAIRS = f"""{RETURNS_SQL}, n AS (SELECT DISTINCT ticker FROM returns), pairs AS (SELECT x.ticker AS a, y.ticker AS b FROM n x JOIN n y ON x.ticker < y.ticker),
