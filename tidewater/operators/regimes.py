@@ -191,7 +191,7 @@ def walk_forward(returns: DataFrame, window: int, step: int, k: int, family: str
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x = frame.sort_values("idx")["g"].to_numpy()
-        m = {**fit(x, family, k, 15), "family": family, "k": k}
+        m = {**fit(x, family, k), "family": family, "k": k}
         return pd.DataFrame({"ticker": [frame["ticker"].iloc[0]], "idx": [int(frame["end"].iloc[0])], "state": [int(viterbi(_log_b(x, m), m["trans"])[-1]) + 1]})
 
     return spans.join(returns.select("ticker", "idx", "g"), ["ticker", "idx"]).groupBy("ticker", "end").applyInPandas(run, "ticker string, idx long, state int")

@@ -14,11 +14,11 @@ def _scaled(spark, sf_dir):
 
 def hmm_fits(spark, sf_dir):
     """Every family with 2 and 3 states for every ticker."""
-    return regimes.fit_regimes(_scaled(spark, sf_dir), ["normal", "t", "laplace", "ged"], [2, 3], 15)
+    return regimes.fit_regimes(_scaled(spark, sf_dir), ["normal", "t", "laplace", "ged"], [2, 3])
 
 
 def _two_states(spark, sf_dir):
-    return regimes.fit_regimes(_scaled(spark, sf_dir), ["normal", "t"], [2], 15)
+    return regimes.fit_regimes(_scaled(spark, sf_dir), ["normal", "t"], [2])
 
 
 def viterbi_states(spark, sf_dir):
@@ -26,7 +26,8 @@ def viterbi_states(spark, sf_dir):
 
 
 def walk_forward_regimes(spark, sf_dir):
-    return regimes.walk_forward(_scaled(spark, sf_dir), 250, 125, 2)
+    """A regime for every return from the 250th on, each of a model refitted on the 250 up to it."""
+    return regimes.walk_forward(_scaled(spark, sf_dir), 250, 1, 2)
 
 
 def regime_paths(spark, sf_dir):
@@ -35,7 +36,7 @@ def regime_paths(spark, sf_dir):
 
 def conditional_var(spark, sf_dir):
     """Coverage tests of the regime-conditional 5 % VaR."""
-    out = regimes.conditional_var(_scaled(spark, sf_dir), regimes.fit_regimes(_scaled(spark, sf_dir), ["normal", "laplace"], [2], 15), 0.05)
+    out = regimes.conditional_var(_scaled(spark, sf_dir), regimes.fit_regimes(_scaled(spark, sf_dir), ["normal", "laplace"], [2]), 0.05)
     return risk.coverage_tests(out, 0.05, "ticker", "family", "k")
 
 
