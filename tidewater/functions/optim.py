@@ -24,8 +24,8 @@ def golden(f: Callable[[float], float], lo: float, hi: float, steps: int = 40) -
     return (lo + hi) / 2
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 1.2, most: int = 2000, tol: float = 1e-8) -> tuple[np.ndarray, float]:
-    """Smallest f found by a simplex from `start`; infeasible points should give a large f."""
+def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float = 1.2, most: int = 2000, tol: float = 1e-8) -> tuple[np.ndarray, float, bool]:
+    """Smallest f found by a simplex from `start`, and whether its corners agree within tol; infeasible points should give a large f."""
     start = np.asarray(start, float)
     simplex = [start] + [np.where(np.arange(len(start)) == i, np.where(start == 0, 0.1, start * step), start) for i in range(len(start))]
     held = sorted(((f(x), i, x) for i, x in enumerate(simplex)), key=lambda v: v[:2])
@@ -53,4 +53,4 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, step: float
                 held.sort(key=lambda t: t[:2])
                 continue
         held = sorted([*held[:-1], new], key=lambda t: t[:2])
-    return held[0][2], held[0][0]
+    return held[0][2], held[0][0], abs(held[-1][0] - held[0][0]) < tol

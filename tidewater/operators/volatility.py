@@ -74,8 +74,8 @@ def _nll(model: str, x: np.ndarray):
 PARAMETERS = {"garch": ("omega", "alpha", "beta"), "gjr": ("omega", "alpha", "gamma", "beta"), "egarch": ("omega", "alpha", "gamma", "beta"), "garch_t": ("omega", "alpha", "beta", "nu")}
 
 
-def fit_series(x: np.ndarray, model: str, most: int = 2000) -> tuple[np.ndarray, float]:
-    """Parameters and log-likelihood: the best of a small grid, then a simplex."""
+def fit_series(x: np.ndarray, model: str, most: int = 2000) -> tuple[np.ndarray, float, bool]:
+    """Parameters, log-likelihood and whether the simplex converged: the best of a small grid, then a simplex."""
     v, f = float(x.var(ddof=1)), _nll(model, x)
     pairs = [(a, b) for a in (0.03, 0.1, 0.2) for b in (0.5, 0.75, 0.88) if a + b < 0.99]
     starts = {
@@ -85,20 +85,20 @@ def fit_series(x: np.ndarray, model: str, most: int = 2000) -> tuple[np.ndarray,
         "garch_t": [(v * (1 - a - b), a, b, 8.0) for a, b in pairs],
     }[model]
     best = min(starts, key=lambda p: f(np.array(p)))
-    p, nll = nelder_mead(f, np.array(best), most=most)
-    return p, -nll
+    p, nll, converged = nelder_mead(f, np.array(best), most=most)
+    return p, -nll, bool(converged and nll < _BAD)
 
 
 def fit_volatility(returns: DataFrame, models: list[str], most: int = 2000) -> DataFrame:
-    """(ticker, model, params, ll, n)."""
+    """(ticker, model, params, ll, converged, n)."""
     grid = returns.select("ticker", "idx", "g").withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         model = frame["model"].iloc[0]
-        p, ll = fit_series(frame.sort_values("idx")["g"].to_numpy(), model, most)
-        return pd.DataFrame([{"ticker": frame["ticker"].iloc[0], "model": model, "params": dict(zip(PARAMETERS[model], map(float, p), strict=True)), "ll": ll, "n": len(frame)}])
+        p, ll, converged = fit_series(frame.sort_values("idx")["g"].to_numpy(), model, most)
+        return pd.DataFrame([{"ticker": frame["ticker"].iloc[0], "model": model, "params": dict(zip(PARAMETERS[model], map(float, p), strict=True)), "ll": ll, "converged": converged, "n": len(frame)}])
 
-    return grid.groupBy("ticker", "model").applyInPandas(run, "ticker string, model string, params map<string,double>, ll double, n long")
+    return grid.groupBy("ticker", "model").applyInPandas(run, "ticker string, model string, params map<string,double>, ll double, converged boolean, n long")
 
 
 def har_fit(statistics: DataFrame) -> DataFrame:

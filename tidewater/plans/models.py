@@ -41,11 +41,11 @@ def conditional_var(spark, sf_dir):
 
 
 def volatility_fits(spark, sf_dir):
-    return volatility.fit_volatility(_scaled(spark, sf_dir), ["garch", "gjr", "egarch", "garch_t"], 60)
+    return volatility.fit_volatility(_scaled(spark, sf_dir), ["garch", "gjr", "egarch", "garch_t"])
 
 
 def garch_paths(spark, sf_dir):
-    fits = volatility.fit_volatility(_scaled(spark, sf_dir), ["garch"], 60).select("ticker", *[F.col("params")[c].alias(c) for c in ("omega", "alpha", "beta")])
+    fits = volatility.fit_volatility(_scaled(spark, sf_dir), ["garch"]).select("ticker", *[F.col("params")[c].alias(c) for c in ("omega", "alpha", "beta")])
     return simulate.garch_paths(fits, 20, 250)
 
 
