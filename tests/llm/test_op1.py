@@ -52,8 +52,8 @@ def test_chains_copies_and_passages(spark):
     same(spark, rows)
 
 
-def test_one_large_group(spark, monkeypatch):
-    monkeypatch.setattr(op, "_HUB_MEMBERS", 8)
+def test_one_large_group_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 16)
     pick = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -65,27 +65,58 @@ def test_one_large_group(spark, monkeypatch):
     same(spark, rows)
 
 
-def test_finer_points_stay_above_the_overlap():
+def test_copies_just_below_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 8)
+    monkeypatch.setattr(op, "LEAF", 4)
+    pick = random.Random(9)
+    rows = []
+    for i in range(120):
+        w = [f"w{k}" for k in range(150)]
+        for _ in range(pick.randint(1, 8)):
+            w[pick.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = brute(rows)
+    assert 3 < len({c for _, _, c in got}) < 120  # several components, by chance and by chains
+    same(spark, rows)
+
+
+def test_blocks_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_SHINGLES", 500)
+    pick = random.Random(2)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[pick.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(w[: 300 + 10 * (i % 11)])))
+    same(spark, rows)
+
+
+def test_exactly_the_threshold(spark):
+    words = [f"w{i}" for i in range(200)]
+    short = " ".join(words[:79])  # 75 shingles of 100: the similarity is 0.75
+    rows = [(1, " ".join(words[:104])), (2, short), (3, " ".join(words[:78])), (4, " ".join(words[100:179]))]
+    assert brute(rows)[(2, 75, 1)] == 1
+    same(spark, rows)
+
+
+def test_overlaps_are_exact(monkeypatch):
+    monkeypatch.setattr(op, "_COLUMNS", 64)
     rng = np.random.default_rng(7)
-    sets, counts, scale = [], [], []
-    for n in (100, 300, 600, 700, 900, 5000, 6000):
-        common = rng.integers(0, 1 << 48, n, dtype=np.uint64)
-        for share in (1.0, 0.9, 0.5):
-            own = np.unique(np.append(common[: int(n * share)], rng.integers(0, 1 << 48, n - int(n * share), dtype=np.uint64)))
-            bits = max(7, int(np.ceil(np.log2(len(own) / 2))))
-            sets.append(set(own.tolist()))
-            at = (own >> np.uint64(48 - bits)).astype(np.int64)
-            marks = np.zeros(1 << bits, np.uint8)
-            np.bitwise_xor.at(marks, at, (op.mix(own) >> np.uint64(60)).astype(np.uint8))
-            counts.append(np.bincount(at, minlength=1 << bits).astype(np.uint8) | marks << 4)
-            scale.append(0)
-    points = op.Points(counts, np.array(scale))
-    n = np.array([len(s) for s in sets])
-    x, y = np.triu_indices(len(sets), 1)
-    near = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
-    x, y = x[near], y[near]
-    bound = op._overlap(points, x, y, np.minimum(points.size[x], points.size[y]), 1 << 20)
-    assert all(b >= len(sets[i] & sets[j]) for b, i, j in zip(bound.tolist(), x.tolist(), y.tolist(), strict=True))
+    base = rng.integers(0, 1 << 48, 300, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.choice(base, rng.integers(200, 300), replace=False), rng.integers(0, 1 << 48, 20, dtype=np.uint64))) for _ in range(90)]
+    points = np.array([np.bincount((s >> np.uint64(41)).astype(int), minlength=op.GROUPS) for s in sets])
+    label = np.arange(90) // 2
+    side = np.arange(90) % 3 == 0
+    for sides in (None, side.astype(int)):
+        got = {tuple(sorted(x)) for x in zip(*(v.tolist() for v in op.linked(sets, points, label, sides)), strict=True)}
+        want = set()
+        for i in range(90):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if label[i] != label[j] and (sides is None or side[i] != side[j]) and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    want.add((j, i))
+        assert got == want and want
 
 
 def test_empty(spark):
@@ -94,16 +125,21 @@ def test_empty(spark):
 
 def test_tree_finds_what_all_pairs_find():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 6, (9, op.GROUPS))  # marks are 0 throughout
-    points = np.maximum(0, base[rng.integers(0, 9, 400)] + rng.integers(-1, 2, (400, op.GROUPS)) * (rng.random((400, op.GROUPS)) < 0.2)).astype(np.int32)
-    n, label = points.sum(1).astype(np.int64), np.arange(400)
-    held = op.Points(list(points.astype(np.uint8)), np.zeros(400, np.int64))
+    base = rng.integers(0, 6, (9, op.GROUPS)) * (rng.random((9, op.GROUPS)) < 0.3)
+    points = np.maximum(0, base[rng.integers(0, 9, 400)] + rng.integers(-1, 2, (400, op.GROUPS)) * (rng.random((400, op.GROUPS)) < 0.2)).astype(np.int64)
+    n, label = points.sum(1), np.arange(400)
     tree = op.CountTree(points, n, label, np.arange(400))
-    found = set()
-    for p, q in tree.pairs():
-        i, j = np.repeat(p, len(q)), np.tile(q, len(p))
-        x, y, _ = op._bounded(held, n, label, i, j)
-        found |= {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-    i, j = np.triu_indices(400, 1)
-    x, y, _ = op._bounded(held, n, label, i, j)
-    assert found == set(zip(x.tolist(), y.tolist(), strict=True)) and found
+    near = op.reaches(np.minimum(points[:, None], points[None]).sum(2), n[:, None], n[None])
+    met = np.zeros((400, 400), bool)
+    for p, q in tree.pairs(tree):
+        met[np.ix_(p, q)] = met[np.ix_(q, p)] = True
+    assert met[near].all() and not met.all() and near.sum() > 800
+
+
+def test_one_of_each_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(90))
+    rows = [(5, long), (3, long + " more"), (None, long), (None, long), (8, ""), (8, ""), (None, None), (2, "lone text"), (2, "lone text"), (2, "other text")]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, k_id int, text_key string")
+    got = op.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, long + " more"), (8, ""), (8, ""), (None, None), (2, "lone text"), (2, "other text")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -20,14 +21,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
-        if not held:
-            spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local master gets a temporary one where none is set."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if path:
+        return path
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
+    return context.getCheckpointDir()
+
+
+_SCOPE: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("tables that end with a scope", default=())
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written in here are removed at its end; `lasting` ones with the scope around it, if any."""
+    paths: list[str] = []
+    token = _SCOPE.set((*_SCOPE.get(), paths))
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
@@ -41,9 +60,12 @@ def shuffles_cleaned(spark: SparkSession):
         spark.conf.set(_CLEAN_UP, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: it cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPE.get()
+    if len(scopes) > lasting:
+        scopes[-1 - lasting].append(path)
     with shuffles_cleaned(spark):  # its shuffle files go when the table is there
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
