@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -9,7 +10,33 @@ from test_op3 import brute as cut
 from test_op10 import check
 
 from tidewater.llm import op8_quality
-from tidewater.llm.common import text_bytes, written
+from tidewater.llm.common import shared_dir, text_bytes, written
+
+
+def odd_columns(spark, rows):
+    """Documents with a null id, null and empty and very long texts, and columns named as what the stages compute."""
+    odd = [(None, None), (None, "no id here"), (4000, ""), (4001, "very long " * 30_000), (4002, None)]
+    kind = "doc_id long, text string, n_chars long, quality_score string, kept_text string, removed_words int, k_id string, class string"
+    return spark.createDataFrame([(i, t, len(t or ""), "mine", f"kept {i}", 7, "k", "c") for i, t in [*rows, *odd]], kind)
+
+
+def test_own_columns_stay_and_tables_end(spark, tmp_path):
+    rows, labels = rows_and_labels()
+    odd_columns(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {(r.doc_id, r.kept_text) for r in docs.collect()}
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        got = docs.collect()
+        assert docs.columns == ["doc_id", "text", "n_chars", "quality_score", "kept_text", "removed_words", "k_id", "class"]
+        assert {(r.doc_id, r.kept_text) for r in got} <= before and len(got) > 50
+        assert all(r.quality_score == "mine" and r.kept_text == f"kept {r.doc_id}" and r.removed_words == 7 and r.k_id == "k" for r in got)
+    shared = shared_dir(spark).removeprefix("file:")
+    held = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {x.split("-")[0] for x in set(os.listdir(shared)) - held} == {"packing"}
+    assert out.count() >= len(got)
 
 
 def rows_and_labels():

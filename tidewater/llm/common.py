@@ -45,8 +45,12 @@ def scratch(spark: SparkSession):
     finally:
         _SCOPE.reset(token)
         for path in paths:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
@@ -60,17 +64,35 @@ def shuffles_cleaned(spark: SparkSession):
         spark.conf.set(_CLEAN_UP, before)
 
 
-def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: it cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    scopes = _SCOPE.get()
-    if len(scopes) > lasting:
-        scopes[-1 - lasting].append(path)
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, lasting: bool = False, path: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: it cuts the lineage and survives lost executors.
+
+    A table at a given path belongs to no scope.
+    """
+    spark, scopes = df.sparkSession, _SCOPE.get()
+    if path is None:
+        path = new_path(spark, name)
+        if len(scopes) > lasting:
+            scopes[-1 - lasting].append(path)
     with shuffles_cleaned(spark):  # its shuffle files go when the table is there
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores behind it as it takes for df not to have it."""
+    held = {c.lower() for c in df.columns}
+
+    def one(name: str) -> str:
+        return one(f"{name}_") if name.lower() in held else name
+
+    return tuple(map(one, names))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,8 @@ follow each other make up the maximal repeats. Buckets are packed column-wise (6
 shuffle's partitions call for, so neither a frequent passage nor a group of copies makes pairs.
 
 Rows are told apart by doc_id and text; rows of one doc_id are one document and don't take from each other. A null doc_id
-counts as the largest. Null texts have no words. Other columns are kept. An empty table gives no rows. Two different
+counts as the largest; rows that repeat doc_id and text are cut alike. Null and empty texts have no words; texts are taken
+whole, however long. Other columns are kept. An empty table gives no rows. Two different
 windows share a 64-bit hash with a chance of about n**2 / 2**49 (48 bits compared) over n candidate windows of a bucket.
 """
 
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewater.llm.common import chunks, documents, mix, n_partitions, text_bytes, windows, words, written
+from tidewater.llm.common import chunks, documents, mix, n_partitions, scratch, text_bytes, windows, words, written
 
 WINDOW = 50
+ADDED = ("kept_text", "kept_words", "removed_words")
 _LAST = (1 << 63) - 1
 _PACKED = "bucket int, ids binary, keys binary, counts binary, low binary, high binary, place_low binary, place_high binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("ids", "keys", "counts", "low", "high", "place_low", "place_high"))])
@@ -160,15 +162,19 @@ def repeat_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return _found(docs.join(hits, ["doc_id", "key"]).mapInArrow(extended, _PACKED), _later)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with `kept_text`, `kept_words` and `removed_words` behind its own columns; kept words are joined by one space."""
-    names = [c for c in docs.columns if c not in ("kept_text", "kept_words", "removed_words")]
-    starts = written(repeat_starts(keyed(docs), window), "repeat-starts").withColumnsRenamed({"doc_id": "k_doc", "key": "k_text"})
+def remove_repeats(docs: DataFrame, window: int = WINDOW, columns: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with its kept text, kept and removed words behind its own columns, named by `columns`; kept words are joined by one space.
+
+    Columns that docs has by these names give way.
+    """
+    names = [c for c in docs.columns if c not in columns]
+    with scratch(docs.sparkSession):
+        starts = written(repeat_starts(keyed(docs), window), "repeat-starts", lasting=True).withColumnsRenamed({"doc_id": "k_doc", "key": "k_text"})
     id_, key = _keys()
     joined = docs.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(names)], id_.alias("k_doc"), key.alias("k_text"))
     joined = joined.join(starts, ["k_doc", "k_text"], "left").drop("k_doc", "k_text")
     text = f"own_{names.index('text')}"
-    kind = StructType([f for f in joined.schema if f.name != "places"]).add("kept_text", "string").add("kept_words", "long").add("removed_words", "long")
+    kind = StructType([f for f in joined.schema if f.name != "places"]).add(columns[0], "string").add(columns[1], "long").add(columns[2], "long")
 
     def cut(batches):
         for batch in batches:
@@ -186,7 +192,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     n_kept.append(len(found))
                     n_gone.append(int(gone.sum()))
                 own = part.drop_columns(["places"])
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(kept, pa.string()), pa.array(n_kept, pa.int64()), pa.array(n_gone, pa.int64())], names=[*own.schema.names, "kept_text", "kept_words", "removed_words"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(kept, pa.string()), pa.array(n_kept, pa.int64()), pa.array(n_gone, pa.int64())], names=[*own.schema.names, *columns])
 
     return joined.mapInArrow(cut, kind).withColumnsRenamed({f"own_{i}": c for i, c in enumerate(names)})
 
