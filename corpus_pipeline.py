@@ -1,7 +1,15 @@
 """A training corpus from raw documents: quality, one of each group of near-duplicates, repeats cut, packed sequences.
 
 Each stage takes what its predecessor kept, as written and read again. Only documents go in; every stage but the last
-returns their columns.
+returns their columns, with whatever other columns the table has, under any names: what a stage computes for itself has a
+name that the table doesn't use. When a stage's table is there, the tables it made on the way and its input are removed.
+
+Null texts count as empty, and empty ones go through: the quality model scores them like any text, they are nobody's near
+copies, lose nothing and are packed as one end id. Texts are taken whole, however long. A row without doc_id is kept like
+any other; among near copies it comes after those with one. Rows that repeat both doc_id and text are one document, of
+which near_duplicates keeps one; other rows of one doc_id are documents each for itself. Of near copies with the smallest
+doc_id in common, that of the smaller text hash stays. A score at the threshold is accepted. Without labels of both kinds
+every score is 0.5 and nothing is accepted. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import op1_jaccard, op3_repeats, op8_quality, op10_packing
-from tidewater.llm.common import documents, written
+from tidewater.llm.common import documents, new_path, remove, scratch, unused, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is accepted; the model learns from labels that aren't held out."""
-    model = op8_quality.trained(spark, docs, sf_dir)
-    return op8_quality.score(docs, model).where(F.col("quality_score") >= op8_quality.ACCEPT).drop("quality_score")
+    (column,) = unused(docs, "quality_score")
+    got = op8_quality.score(docs, op8_quality.trained(spark, docs, sf_dir), column)
+    return got.where(F.col(column) >= op8_quality.ACCEPT).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the words of 50-word windows that an earlier one has; texts that lose nothing stay as they are."""
-    cut = op3_repeats.remove_repeats(docs)
-    lost = F.col("removed_words") > 0
-    cut = cut.withColumn("text", F.when(lost, F.col("kept_text")).otherwise(F.col("text")))
+    columns = unused(docs, *op3_repeats.ADDED)
+    cut = op3_repeats.remove_repeats(docs, columns=columns)
+    lost = F.col(columns[2]) > 0
+    cut = cut.withColumn("text", F.when(lost, F.col(columns[0])).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(lost, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
@@ -49,9 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
+    docs, before = documents(spark, sf_dir), None
+    for name, stage in STAGES:
+        path = new_path(spark, name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path=path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
