@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

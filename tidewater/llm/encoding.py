@@ -32,28 +32,44 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    """held with room for size entries; it doubles where it grows, so that growing copies each entry a few times at most."""
+    return held if size <= len(held) else np.resize(held, max(size, 2 * len(held)))
+
+
 class Ragged:
-    """Rows of 32-bit numbers kept by 64-bit key."""
+    """Rows of 32-bit numbers kept by 64-bit key. Keys are in sorted levels, each over twice as large as the next."""
 
     def __init__(self):
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.lens, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = self.used = 0
+        self.starts, self.lens, self.flat = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), np.zeros(1 << 12, np.uint32)
+
+    def __len__(self) -> int:
+        return self.n
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, self.at[i], -1)
+        out = np.full(len(keys), -1)
+        for held, at in self.levels:
+            i = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+            hit = np.flatnonzero(held[i] == keys)
+            out[hit] = at[i[hit]]
+        return out
 
     def add(self, keys: np.ndarray, rows: list) -> None:
         lens = np.fromiter(map(len, rows), np.int32, len(rows))
         flat = np.fromiter((x for r in rows for x in r), np.uint32, int(lens.sum()))
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lens) - lens)
-        self.at = np.append(self.at, len(self.lens) + np.arange(len(rows)))
-        self.lens, self.flat, keys = np.append(self.lens, lens), np.append(self.flat, flat), np.append(self.keys, keys)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], self.at[order]
+        n, used = self.n + len(rows), self.used + len(flat)
+        self.starts, self.lens, self.flat = _room(self.starts, n), _room(self.lens, n), _room(self.flat, used)
+        self.starts[self.n : n], self.lens[self.n : n] = self.used + np.cumsum(lens) - lens, lens
+        self.flat[self.used : used] = flat
+        level = keys, np.arange(self.n, n)
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
+            level = tuple(np.append(x, y) for x, y in zip(self.levels.pop(), level, strict=True))
+        order = np.argsort(level[0], kind="stable")
+        self.levels.append((level[0][order], level[1][order]))
+        self.n, self.used = n, used
 
     def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows one after the other, and their lengths."""
@@ -140,7 +156,7 @@ class RunEncoder:
         n = len(offsets) - 1
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        if len(self.kept.lens) > CACHE_RUNS:
+        if len(self.kept) > CACHE_RUNS:
             self.kept = Ragged()
         starts, lens, ahead, edges = runs(buf, offsets)
         odd = odd_texts(buf, offsets, edges, self.special)

@@ -137,7 +137,7 @@ class BacktrackEncoder:
         """ids of concatenated UTF-8 texts, and n + 1 offsets. Texts are cut at single spaces, where no pre-token can span."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.kept.lens) > CACHE_PIECES:
+        if len(self.kept) > CACHE_PIECES:
             self.kept = Ragged()
         solid = buf != 0x20
         begin = solid.copy()
