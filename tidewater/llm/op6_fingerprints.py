@@ -79,10 +79,11 @@ def _added(cells: DataFrame) -> DataFrame:
     return cells.groupBy("row_id", "which", "size", "i").agg(*sums).where("n <> 0 or k <> 0 or c <> 0")
 
 
-def recovered(pairs: DataFrame, first_size: str | None = None) -> DataFrame:
+def recovered(pairs: DataFrame, first_size: str | None = None, both: bool = True) -> DataFrame:
     """row_id, which, digest, first: every digest that one side of a pair alone has; first: the first side has it.
 
     pairs: row_id, which (together a pair's name), keys_a, keys_b. first_size: that of the first try, the text's own unless given.
+    Without `both`, the digests of the second side are peeled but not kept.
     """
     parts, tries = n_partitions(pairs.sparkSession), []
     fits = f"greatest(least({size_for('size(keys_a)')}, {size_for('size(keys_b)')}), {size_for('(size(keys_a) + size(keys_b)) / 2')})"
@@ -91,19 +92,20 @@ def recovered(pairs: DataFrame, first_size: str | None = None) -> DataFrame:
         signs = "concat(array_repeat(1, size(keys_a)), array_repeat(-1, size(keys_b)))"
         rows = todo.repartition(parts, "row_id").selectExpr("row_id", "which", "size", f"inline(arrays_zip(concat(keys_a, keys_b), {signs})) as (k, sign)")
         cells = _added(rows.selectExpr("row_id", "which", "size", f"inline(array({', '.join(_cell(t, 'size', 'k', 'sign') for t in range(3))})) as (i, n, k, c)"))
-        out = []
+        out, left = [], None
         while True:
-            done = written(_peeled(cells), "cells")
+            done = _peeled(cells).withColumn("i", F.greatest("i", F.lit(-1).cast("long")))
+            done = written(done if both else done.where("i >= 0 or n > 0"), "cells")
             out.append(done.where("i < 0").select("row_id", "which", "n", "k"))
             cells = done.where("i >= 0")
-            left = done.agg(F.count_if(F.col("i") >= 0), F.count_if(F.col("i") < 0)).first()
-            if not left[0] or not left[1]:
+            before, left = left, done.where("i >= 0").count()
+            if left in (0, before):  # nothing is left, or nothing was peeled
                 break
             cells = cells.repartition(parts, "row_id")
         found = out[0]
         for more in out[1:]:
             found = found.unionByName(more)
-        if not left[0]:
+        if not left:
             tries.append(found)
             break
         stuck = written(cells.select("row_id", "which").distinct(), "stuck")
@@ -144,7 +146,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("row_id", F.monotonically_increasing_id()), "paragraphs")
     both = "array(named_struct('which', 0, 'keys_a', keys, 'keys_b', edited_keys), named_struct('which', 1, 'keys_a', keys, 'keys_b', next_keys))"
     with scratch(docs.sparkSession):
-        alone = recovered(rows.selectExpr("row_id", f"inline({both})")).where("first").groupBy("row_id")
+        alone = recovered(rows.selectExpr("row_id", f"inline({both})"), both=False).groupBy("row_id")
         alone = written(alone.agg(*[F.count_if(F.col("which") == w).alias(f"alone_{w}") for w in (0, 1)]), "alone", lasting=True)
     rows = rows.join(alone, "row_id", "left")
     rows = rows.selectExpr("*", f"inline(array(named_struct('size', {size_for('size(keys)')}, 'edited_size', {size_for('size(edited_keys)')})))")
