@@ -127,8 +127,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
     held = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]) if bounds else F.expr("cast(array() as array<bigint>)")
     rows = rows.withColumn("part", F.size(F.filter(held, lambda b: b < F.col("id"))))
-    heads = rows.groupBy("part").agg(F.max("id").alias("id"))  # one row a range
-    texts = rows.join(heads, ["part", "id"]).groupBy("part").agg(F.max("text").alias("head_text"))
+    heads = rows.groupBy("part").agg(F.max("id").alias("id"))  # one row of two numbers a range, at most `parts`
+    texts = rows.join(F.broadcast(heads), ["part", "id"]).groupBy("part").agg(F.max("text").alias("head_text"))
     down = Window.orderBy(F.desc("part"))
     follows = heads.select(F.col("part").alias("before"), F.coalesce(F.lead("part").over(down), F.max("part").over(Window.partitionBy())).alias("part"))
     ahead = texts.join(follows, "part").select(F.col("before").alias("part"), "head_text")
