@@ -35,7 +35,7 @@ def same(spark, rows):
 
 
 def test_links_and_components(spark, monkeypatch):
-    monkeypatch.setattr(op, "BLOCK", 40)
+    monkeypatch.setattr(op, "BLOCK_BYTES", 40 * 8 * 16)
     monkeypatch.setattr(op, "TILE", 8)
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(25, 16))
@@ -45,6 +45,30 @@ def test_links_and_components(spark, monkeypatch):
     same(spark, rows)
 
 
+def test_links_are_counted_as_they_come(monkeypatch):
+    monkeypatch.setattr(op, "TILE", 8)
+    monkeypatch.setattr(op, "_HELD", 50)
+    rng = np.random.default_rng(1)
+    a = op.unit(rng.normal(size=(4, 6))[rng.integers(4, size=90)] + 0.15 * rng.normal(size=(90, 6)))
+    a = a[np.lexsort(np.floor(a[:, :2] / 0.4).T)]
+    copies = rng.integers(1, 4, 90)
+    for other, same_ in ((a, True), (op.unit(a[20:70] + 0.1 * rng.normal(size=(50, 6))), False)):
+        b, copies_b = (a, copies) if same_ else (other, copies[20:70])
+        near = a @ b.T >= 0.93
+        if same_:
+            near &= ~np.eye(90, dtype=bool)
+        n, (node, root) = op._linked(a, b, a[:, :2], b[:, :2], copies, copies_b, same_, 0.93, np.sqrt(2 - 2 * 0.93) + 1e-9)
+        if same_:
+            n = n[:90] + n[90:]
+            assert (n == near @ copies_b).all()
+        else:
+            assert (n[:90] == near @ copies_b).all() and (n[90:] == near.T @ copies).all()
+        i, j = np.nonzero(near)
+        want = op.roots(i, j if same_ else 90 + j)
+        got = op.roots(node, root)
+        assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert op.near_duplicates(df).collect() == []

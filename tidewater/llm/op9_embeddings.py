@@ -2,16 +2,17 @@
 
 Cosine >= t of unit vectors is a distance of at most eps = sqrt(2 - 2 t), and projecting on orthonormal directions only
 shortens distances. Vectors get the cells of width eps that their leading principal dimensions fall in; sorted by label and
-cells they are range-partitioned and cut into blocks with a bounding box. Block pairs of one label whose boxes are within
-eps meet in one task, where both sequences are halved recursively, intervals with boxes further apart are skipped, and
-what is left is compared by matrix products in double precision. A task gives each vector's number of links and a
-spanning star of what it has linked, never the pairs.
+cells they are range-partitioned and cut into blocks, of at most `BLOCK_BYTES`, with a bounding box. Blocks of one label
+meet where their intervals of the first cell are the same or neighbours and their boxes are within eps. Such a pair's two
+sequences are halved recursively, intervals with boxes further apart are skipped, and what is left is compared by matrix
+products in double precision. A pair of blocks gives each vector's number of links and a spanning star of what it has
+linked, never the links themselves; a label of any size is as many blocks, so as many tasks, as it takes.
 
 Equal vectors of a label are one class with a number of copies. The directions are fitted on at most `SAMPLE` vectors
 (whose keys hash lowest); they only steer what is skipped. Vectors that are null, empty or zero, or hold null or non-finite
-components, and rows without a label, link with nothing; vectors of different lengths neither. Rows with the same vec_id
-stand each for itself; a component's id is its smallest vec_id that is not null. Other columns are ignored; an empty table
-gives no rows.
+components, and rows without a label, link with nothing; vectors of different lengths neither. A cosine of exactly t links.
+Rows with the same vec_id stand each for itself; a component's id is its smallest vec_id that is not null. Other columns,
+whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import n_partitions, written
+from tidewater.llm.common import n_partitions, scratch, written
 from tidewater.llm.components import components, roots
 
-LEAST, DIMENSIONS, BLOCK, TILE, SAMPLE = 0.93, 4, 512, 64, 2000
+LEAST, DIMENSIONS, TILE, SAMPLE = 0.93, 4, 128, 2000
+BLOCK_BYTES = 4 << 20
+_HELD = 1 << 20
 _SLACK = 1e-9
 
 
@@ -51,8 +54,8 @@ def directions(classes: DataFrame, dims: int = DIMENSIONS, sample: int = SAMPLE)
 
 
 def _join(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, same: bool, least: float, eps: float):
-    """Index pairs (i of a, j of b) with a cosine of at least `least`; p, q: projections in grid order. same: a is b, then i < j."""
-    todo, found = [(0, len(a), 0, len(b))], []
+    """Tiles of index pairs (i of a, j of b) with a cosine of at least `least`; p, q: projections in grid order. same: a is b, then i < j."""
+    todo = [(0, len(a), 0, len(b))]
     while todo:
         i, k, j, m = todo.pop()
         if same and m <= i:
@@ -65,14 +68,33 @@ def _join(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, same: bool
             x, y = x + i, y + j
             if same:
                 x, y = x[x < y], y[x < y]
-            found.append((x, y))
+            if len(x):
+                yield x, y
         elif k - i >= m - j:
             h = (i + k) // 2
             todo += [(i, h, j, m), (h, k, j, m)]
         else:
             h = (j + m) // 2
             todo += [(i, k, j, h), (i, k, h, m)]
-    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (zip(*found, strict=True) if found else ([], [])))
+
+
+def _linked(a, b, p, q, copies_a, copies_b, same: bool, least: float, eps: float):
+    """By row of a, then of b: its links, counted with copies, and spanning edges (of numbers of both); links are held a million at a time."""
+    size = len(a)
+    counts, edges, held, many = np.zeros(size + len(b), np.int64), np.zeros((2, 0), np.int64), [], 0
+
+    def contracted():
+        node, root = roots(*np.concatenate([edges, *held], axis=1))
+        return np.stack([node[node != root], root[node != root]])
+
+    for i, j in _join(a, b, p, q, same, least, eps):
+        counts += np.bincount(i, weights=copies_b[j], minlength=len(counts)).astype(np.int64)
+        counts += np.bincount(size + j, weights=copies_a[i], minlength=len(counts)).astype(np.int64)
+        held.append(np.stack([i, j if same else size + j]))
+        many += len(i)
+        if many > _HELD:
+            edges, held, many = contracted(), [], 0
+    return counts, contracted()
 
 
 def links(classes: DataFrame, least: float = LEAST) -> DataFrame:
@@ -107,25 +129,32 @@ def links(classes: DataFrame, least: float = LEAST) -> DataFrame:
             labels, dims = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
             edges = np.flatnonzero(np.append(True, (np.diff(labels) != 0) | (np.diff(dims) != 0))).tolist() if len(labels) else []
             for a, b in zip(edges, [*edges[1:], len(labels)], strict=True):
-                for i in range(a, b, BLOCK):
-                    part = batch.slice(i, min(b, i + BLOCK) - i)
-                    if held and (key != (labels[a], dims[a]) or sum(len(x[0]) for x in held) + part.num_rows > BLOCK):
+                if held and key != (labels[a], dims[a]):
+                    yield close()
+                    held = []
+                key = (int(labels[a]), int(dims[a]))
+                most = max(TILE, BLOCK_BYTES // (8 * key[1]))
+                while a < b:
+                    room = min(b - a, most - sum(len(x[0]) for x in held))
+                    part = batch.slice(a, room)
+                    held.append((part.column("class").to_numpy(), part.column("copies").to_numpy(), _matrix(part.column("embedding"), key[1])))
+                    a += room
+                    if sum(len(x[0]) for x in held) == most:
                         yield close()
                         held = []
-                    key = (int(labels[a]), int(dims[a]))
-                    held.append((part.column("class").to_numpy(), part.column("copies").to_numpy(), _matrix(part.column("embedding"), key[1])))
         if held:
             yield close()
 
     kind = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("copies", pa.binary()), ("rows", pa.binary())])
     ordered = classes.mapInArrow(project, "class long, label long, dim int, copies long, embedding array<double>, " + ", ".join(f"{c} int" for c in cells))
-    ordered = written(ordered, "projected").repartitionByRange(n_partitions(spark), "label", "dim", *cells, "class").sortWithinPartitions("label", "dim", *cells, "class")
+    ordered = ordered.repartitionByRange(n_partitions(spark), "label", "dim", *cells, "class").sortWithinPartitions("label", "dim", *cells, "class")
     blocks = written(ordered.mapInArrow(cut, "block long, label long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, rows binary"), "blocks")
 
-    boxes = blocks.select("block", "label", "dim", "lo", "hi")
-    other = boxes.select(F.col("block").alias("block_b"), "label", "dim", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    boxes = blocks.selectExpr("block", "label", "dim", "lo", "hi", f"cast(floor(lo[0] / {eps!r}) as int) as first", f"cast(floor(hi[0] / {eps!r}) as int) as last")
+    other = boxes.selectExpr("block as block_b", "label", "dim", "lo as lo_b", "hi as hi_b", "explode(sequence(first - 1, last + 1)) as cell")
     gap = F.expr("aggregate(zip_with(zip_with(lo, hi_b, (x, y) -> x - y), zip_with(lo_b, hi, (x, y) -> x - y), (x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)")
-    near = boxes.join(other, ["label", "dim"]).where((F.col("block") <= F.col("block_b")) & (gap <= eps * eps)).select("block", "block_b", "dim")
+    near = boxes.withColumn("cell", F.expr("explode(sequence(first, last))")).join(other, ["label", "dim", "cell"])
+    near = near.where((F.col("block") <= F.col("block_b")) & (gap <= eps * eps)).select("block", "block_b", "dim").distinct()
     side = blocks.select("block", "ids", "copies", "rows")
     met = near.join(side, "block").join(side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns]), "block_b")
 
@@ -135,19 +164,19 @@ def links(classes: DataFrame, least: float = LEAST) -> DataFrame:
                 dim = r["dim"]
                 axis = axes.get(dim, np.eye(dim)[:, :DIMENSIONS])
                 (ia, ca, va), (ib, cb, vb) = ((np.frombuffer(r["ids" + s], np.int64), np.frombuffer(r["copies" + s], np.int64), np.frombuffer(r["rows" + s], np.float64).reshape(-1, dim)) for s in ("", "_b"))
-                i, j = _join(va, vb, va @ axis, vb @ axis, r["block"] == r["block_b"], least, eps)
-                n = np.bincount(i, weights=cb[j], minlength=len(ia)), np.bincount(j, weights=ca[i], minlength=len(ib))
-                who = np.concatenate([ia[n[0] > 0], ib[n[1] > 0]])
-                count = np.concatenate([n[0][n[0] > 0], n[1][n[1] > 0]]).astype(np.int64)
-                node, root = roots(ia[i], ib[j])
-                node, root = node[node != root], root[node != root]
-                none = np.zeros(len(who), np.int64)
+                same = r["block"] == r["block_b"]
+                n, (node, root) = _linked(va, vb, va @ axis, vb @ axis, ca, cb, same, least, eps)
+                ids = np.concatenate([ia, ib])
+                if same:  # both halves are one block
+                    n = np.concatenate([n[: len(ia)] + n[len(ia) :], np.zeros(len(ia), np.int64)])
+                who, node, root = np.flatnonzero(n), ids[node], ids[root]
+                counted = np.arange(len(who) + len(node)) < len(who)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(who, node)), pa.array(np.append(none, root), mask=np.append(none == 0, np.zeros(len(node), bool))), pa.array(np.append(count, np.zeros(len(node), np.int64)), mask=np.append(none != 0, np.ones(len(node), bool)))],
+                    [pa.array(np.append(ids[who], node)), pa.array(np.append(np.zeros(len(who), np.int64), root), mask=counted), pa.array(np.append(n[who], np.zeros(len(node), np.int64)), mask=~counted)],
                     names=["a", "b", "n"],
                 )
 
-    return written(met.repartition(4 * n_partitions(spark)).mapInArrow(compare, "a long, b long, n long"), "links")
+    return written(met.repartition(4 * n_partitions(spark)).mapInArrow(compare, "a long, b long, n long"), "links", lasting=True)
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
@@ -156,13 +185,16 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("class", F.when(good, F.xxhash64("label", "embedding")))
     classes = rows.where("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first(F.size("embedding")).alias("dim"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"))
-    classes = written(classes, "classes")
-    found = links(classes.select("class", "label", "dim", "copies", "embedding"), least)
-    labels = written(components(found.where("b is not null").select("a", "b")), "labels").withColumnsRenamed({"node": "class", "label": "root"})
-    counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-    info = classes.select("class", "copies", "least").join(labels, "class", "left").withColumn("root", F.coalesce("root", "class")).join(counts, "class", "left")
-    first = info.groupBy("root").agg(F.min("least").alias("component_id"))
-    info = info.join(first, "root").select("class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    with scratch(vectors.sparkSession):
+        classes = written(classes, "classes")
+        with scratch(vectors.sparkSession):
+            found = links(classes.select("class", "label", "dim", "copies", "embedding"), least)
+        labels = written(components(found.where("b is not null").select("a", "b")), "labels").withColumnsRenamed({"node": "class", "label": "root"})
+        counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+        info = classes.select("class", "copies", "least").join(labels, "class", "left").withColumn("root", F.coalesce("root", "class")).join(counts, "class", "left")
+        first = info.groupBy("root").agg(F.min("least").alias("component_id"))
+        info = info.join(first, "root").select("class", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+        info = written(info, "info", lasting=True)
     got = rows.select("vec_id", "class").join(info, "class", "left")
     own = F.when(F.col("class").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return got.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
