@@ -147,7 +147,9 @@ def links(classes: DataFrame, least: float = LEAST) -> DataFrame:
 
     kind = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("copies", pa.binary()), ("rows", pa.binary())])
     ordered = classes.mapInArrow(project, "class long, label long, dim int, copies long, embedding array<double>, " + ", ".join(f"{c} int" for c in cells))
-    ordered = ordered.repartitionByRange(n_partitions(spark), "label", "dim", *cells, "class").sortWithinPartitions("label", "dim", *cells, "class")
+    size = classes.agg(F.sum(8.0 * F.col("dim"))).first()[0] or 0  # no more ranges than blocks: a range's end is a block's
+    ranges = max(1, min(n_partitions(spark), int(size // BLOCK_BYTES)))
+    ordered = ordered.repartitionByRange(ranges, "label", "dim", *cells, "class").sortWithinPartitions("label", "dim", *cells, "class")
     blocks = written(ordered.mapInArrow(cut, "block long, label long, dim int, lo array<double>, hi array<double>, ids binary, copies binary, rows binary"), "blocks")
 
     boxes = blocks.selectExpr("block", "label", "dim", "lo", "hi", f"cast(floor(lo[0] / {eps!r}) as int) as first", f"cast(floor(hi[0] / {eps!r}) as int) as last")
@@ -156,14 +158,16 @@ def links(classes: DataFrame, least: float = LEAST) -> DataFrame:
     near = boxes.withColumn("cell", F.expr("explode(sequence(first, last))")).join(other, ["label", "dim", "cell"])
     near = near.where((F.col("block") <= F.col("block_b")) & (gap <= eps * eps)).select("block", "block_b", "dim").distinct()
     side = blocks.select("block", "ids", "copies", "rows")
-    met = near.join(side, "block").join(side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns]), "block_b")
+    second = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns])
+    cross = near.where("block <> block_b").join(side, "block").join(second, "block_b")
+    met = cross.unionByName(near.where("block = block_b").join(side, "block"), allowMissingColumns=True)  # a block with itself goes once
 
     def compare(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 dim = r["dim"]
                 axis = axes.get(dim, np.eye(dim)[:, :DIMENSIONS])
-                (ia, ca, va), (ib, cb, vb) = ((np.frombuffer(r["ids" + s], np.int64), np.frombuffer(r["copies" + s], np.int64), np.frombuffer(r["rows" + s], np.float64).reshape(-1, dim)) for s in ("", "_b"))
+                (ia, ca, va), (ib, cb, vb) = ((np.frombuffer(r["ids" + s], np.int64), np.frombuffer(r["copies" + s], np.int64), np.frombuffer(r["rows" + s], np.float64).reshape(-1, dim)) for s in ("", "" if r["block"] == r["block_b"] else "_b"))
                 same = r["block"] == r["block_b"]
                 n, (node, root) = _linked(va, vb, va @ axis, vb @ axis, ca, cb, same, least, eps)
                 ids = np.concatenate([ia, ib])
