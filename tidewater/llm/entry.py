@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm import oracles
 from tidewater.llm.op9_embeddings import op9_embeddings
 from tidewater.llm.op10_packing import op10_packing
 from tidewater.llm.op1_jaccard import op1_jaccard
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_jaccard": oracles.OP1, "op3_repeats": oracles.OP3, "op9_embeddings": oracles.OP9}
