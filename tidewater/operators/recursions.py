@@ -39,11 +39,11 @@ def egarch_likelihood(held: DataFrame, omega: str, alpha: str, gamma: str, beta:
     return held.selectExpr(*[c for c in held.columns if c != "v"], _fold("f", step, start, "s")).select("*", "f.ll", F.exp("f.h").alias("s2")).drop("f")
 
 
-def garch_grid(held: DataFrame, variance: str, alphas: list[float], betas: list[float]) -> DataFrame:
+def garch_grid(held: DataFrame, variance: str, alphas: list[float], betas: list[float], mu: str = "0D") -> DataFrame:
     """Best (alpha, beta) of a grid with omega matched to the sample variance: grid rows by ticker, one fold each."""
     pairs = ", ".join(f"named_struct('alpha', {a}D, 'beta', {b}D)" for a in alphas for b in betas if a + b < 0.999)
     grid = held.selectExpr("*", f"explode(array({pairs})) as p").selectExpr("*", f"{variance} * (1D - p.alpha - p.beta) as omega", "p.alpha as alpha", "p.beta as beta").drop("p")
-    scored = garch_likelihood(grid, "omega", "alpha", "beta")
+    scored = garch_likelihood(grid, "omega", "alpha", "beta", mu)
     return scored.groupBy("ticker").agg(F.max_by(F.struct("alpha", "beta", "omega", "ll"), F.struct("ll", "alpha", "beta")).alias("b")).select("ticker", "b.*")
 
 

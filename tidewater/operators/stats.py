@@ -91,12 +91,20 @@ def state_runs(binned: DataFrame, state: str = "bin") -> DataFrame:
 
 
 def sojourn_moments(runs: DataFrame) -> DataFrame:
-    """Per state: runs, mean and variance of length, moment fit of a negative binomial on length - 1, and a tail index."""
-    out = runs.groupBy("ticker", "state").agg(F.count("*").alias("n_runs"), F.avg("length").alias("mean_len"), F.var_samp("length").alias("var_len"), F.min("length").alias("d_min"), F.sum(F.log("length")).alias("s_log"))
-    m, v = F.col("mean_len") - 1, F.col("var_len")
-    r = F.when(v > m, m * m / F.nullif(v - m, F.lit(0.0)))
-    hill = F.col("n_runs") / F.nullif(F.col("s_log") - F.col("n_runs") * F.log("d_min"), F.lit(0.0))
-    return out.select("ticker", "state", "n_runs", "mean_len", "var_len", r.alias("nb_r"), F.least(F.lit(5.0), F.greatest(F.lit(0.3), hill)).alias("pareto_alpha"))
+    """Per state, from the lengths of its runs: a negative binomial by moments, geometric (r null) below three runs or where the
+    variance isn't above the mean; and a truncated Pareto's tail index, 1.5 where all lengths are the least, and its end."""
+    out = runs.groupBy("ticker", "state").agg(
+        F.count("*").alias("n_runs"), F.avg("length").alias("mean_len"), F.var_samp("length").alias("var_len"),
+        F.min("length").alias("d_min"), F.max("length").alias("longest"), F.sum(F.log("length")).alias("s_log"),
+    )
+    m, v = F.col("mean_len"), F.col("var_len")
+    spread = (F.col("n_runs") >= 3) & (v > m)
+    r = F.when(spread, F.greatest(F.lit(0.1), m * m / F.nullif(v - m, F.lit(0.0))))
+    p = F.when(spread, F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), m / v))).otherwise(1 / F.greatest(m, F.lit(1.0)))
+    gaps = F.col("s_log") - F.col("n_runs") * F.log("d_min")
+    hill = F.when(gaps > 1e-12, F.col("n_runs") / gaps).otherwise(1.5)
+    alpha = F.least(F.lit(5.0), F.greatest(F.lit(0.3), hill))
+    return out.select("ticker", "state", "n_runs", "mean_len", "var_len", r.alias("nb_r"), p.alias("nb_p"), alpha.alias("pareto_alpha"), F.greatest(2 * F.col("longest"), F.lit(100)).alias("d_max"))
 
 
 def within_state_ar1(binned: DataFrame, state: str = "bin") -> DataFrame:

@@ -85,14 +85,24 @@ def newey_west(returns: DataFrame, bandwidth: int | None = None) -> DataFrame:
     return held.select("ticker", "n", "h", F.col("m").alias("mean"), lrv.alias("lrv"), (F.col("m") / F.nullif(F.sqrt(lrv / F.col("n")), F.lit(0.0))).alias("z"))
 
 
+def lag1_pearson(returns: DataFrame) -> DataFrame:
+    """Correlation of consecutive values and of their sizes: each side by its own mean, unlike an autocorrelation."""
+    rows = returns.withColumn("y", F.lead(X).over(_by()))
+    return rows.groupBy("ticker").agg(F.count("y").alias("n"), F.corr(X, "y").alias("rho"), F.corr(F.abs(X), F.abs("y")).alias("rho_abs"))
+
+
 def window_features(returns: DataFrame, w: int = 20) -> DataFrame:
-    """Shape of every window of w consecutive returns."""
-    frame = _by().rowsBetween(0, w - 1)
-    n = F.count("*").over(frame)
-    d = returns.select("ticker", "idx", X, F.lead(X).over(_by()).alias("y"))
-    frame_pairs = _by().rowsBetween(0, w - 2)
+    """Ten features of every window of w consecutive returns: mean, sd, skewness and excess kurtosis by that sd, maximum, minimum,
+    range of the cumulative sum, and the correlations of x at lag 1 and of |x| at lags 1 and 5."""
+    frame, x = _by().rowsBetween(0, w - 1), F.col(X)
+    d = returns.select("ticker", "idx", X, F.lead(X).over(_by()).alias("y"), F.lead(X, 5).over(_by()).alias("y5"), F.sum(X).over(_by().rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    pairs, far = _by().rowsBetween(0, w - 2), _by().rowsBetween(0, w - 6)
+    m1, m2, m3, m4 = (F.avg(x**k).over(frame) for k in (1, 2, 3, 4))
+    sd = F.stddev_samp(X).over(frame) + 1e-12
     out = d.select(
-        "ticker", "idx", n.alias("n"), F.avg(X).over(frame).alias("mean"), F.stddev_samp(X).over(frame).alias("sd"), F.min(X).over(frame).alias("lo"), F.max(X).over(frame).alias("hi"),
-        F.avg(F.abs(X)).over(frame).alias("mad"), F.corr(X, "y").over(frame_pairs).alias("ac1"), F.corr(F.abs(X), F.abs("y")).over(frame_pairs).alias("ac1_abs"), F.avg((F.col(X) < 0).cast("int")).over(frame).alias("down"),
+        "ticker", "idx", F.count("*").over(frame).alias("n"), m1.alias("mean"), sd.alias("sd"),
+        ((m3 - 3 * m1 * m2 + 2 * m1**3) / sd**3).alias("skew"), ((m4 - 4 * m1 * m3 + 6 * m1**2 * m2 - 3 * m1**4) / sd**4 - 3).alias("kurt"),
+        F.max(X).over(frame).alias("hi"), F.min(X).over(frame).alias("lo"), (F.max("cum").over(frame) - F.min("cum").over(frame)).alias("cum_range"),
+        F.corr(X, "y").over(pairs).alias("ac1"), F.corr(F.abs(X), F.abs("y")).over(pairs).alias("ac1_abs"), F.corr(F.abs(X), F.abs("y5")).over(far).alias("ac5_abs"),
     )
     return out.where(F.col("n") == w).drop("n")

@@ -272,9 +272,10 @@ numbered AS (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY idx) AS run F
 runs AS (SELECT ticker, CAST(run AS BIGINT) AS run, any_value(bin) AS state, count(*) AS length FROM numbered GROUP BY 1, 2)"""
 ORACLES |= {
     "state_runs": f"WITH {_RUNS_SQL} SELECT * FROM runs",
-    "sojourn_moments": f"""WITH {_RUNS_SQL}, m AS (SELECT ticker, state, count(*) AS n_runs, avg(length) AS mean_len, var_samp(length) AS v, min(length) AS d, sum(ln(length)) AS s FROM runs GROUP BY 1, 2)
-SELECT ticker, state, n_runs, round(mean_len, 9) AS mean_len, round(v, 9) AS var_len, round(CASE WHEN v > mean_len - 1 THEN (mean_len - 1) ** 2 / nullif(v - mean_len + 1, 0) END, 9) AS nb_r,
-       round(least(5.0, greatest(0.3, n_runs / nullif(s - n_runs * ln(d), 0))), 9) AS pareto_alpha FROM m""",
+    "sojourn_moments": f"""WITH {_RUNS_SQL}, m AS (SELECT ticker, state, count(*) AS n_runs, avg(length) AS m, var_samp(length) AS v, min(length) AS d, max(length) AS longest, sum(ln(length)) AS s FROM runs GROUP BY 1, 2)
+SELECT ticker, state, n_runs, round(m, 9) AS mean_len, round(v, 9) AS var_len, round(CASE WHEN n_runs >= 3 AND v > m THEN greatest(0.1, m * m / nullif(v - m, 0)) END, 9) AS nb_r,
+ round(CASE WHEN n_runs >= 3 AND v > m THEN least(1 - 1e-6, greatest(1e-6, m / v)) ELSE 1 / greatest(m, 1) END, 9) AS nb_p,
+ round(least(5.0, greatest(0.3, CASE WHEN s - n_runs * ln(d) > 1e-12 THEN n_runs / (s - n_runs * ln(d)) ELSE 1.5 END)), 9) AS pareto_alpha, greatest(2 * longest, 100) AS d_max FROM m""",
     "within_state_ar1": f"""WITH {BINS_SQL}, p AS (SELECT ticker, bin, g, lag(g) OVER w AS x, lag(bin) OVER w AS b FROM binned WINDOW w AS (PARTITION BY ticker ORDER BY idx))
 SELECT ticker, bin AS state, count(*) AS n, round(least(0.999, greatest(-0.999, regr_slope(g, x))), 5) AS phi, round(regr_intercept(g, x), 5) AS intercept FROM p WHERE b = bin GROUP BY 1, 2""",
     "em_init_chunks": f"""WITH {RETURNS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY g, idx) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM returns),
@@ -308,8 +309,10 @@ SELECT ticker, idx, round(rv, 3) AS rv, round(rv_d, 3) AS rv_d, round(rv_w, 3) A
 l AS (SELECT ticker, ln(rv) AS y, ln(rv_d) AS d, ln(rv_w) AS w, ln(rv_m) AS m FROM f WHERE idx > 22 AND rv > 0 AND rv_d > 0)
 SELECT ticker, count(*) AS n, round(sum(y), 3) AS s_rv, round(sum(d), 3) AS s_rv_d, round(sum(w), 3) AS s_rv_w, round(sum(m), 3) AS s_rv_m, round(sum(d * d), 3) AS s_rv_d_rv_d, round(sum(d * w), 3) AS s_rv_d_rv_w,
  round(sum(d * m), 3) AS s_rv_d_rv_m, round(sum(w * w), 3) AS s_rv_w_rv_w, round(sum(w * m), 3) AS s_rv_w_rv_m, round(sum(m * m), 3) AS s_rv_m_rv_m, round(sum(d * y), 3) AS s_rv_d_y, round(sum(w * y), 3) AS s_rv_w_y, round(sum(m * y), 3) AS s_rv_m_y FROM l GROUP BY ticker""",
-    "window_features": f"""WITH {RETURNS_SQL}, p AS (SELECT ticker, idx, g, lead(g) OVER (PARTITION BY ticker ORDER BY idx) AS y FROM returns),
-f AS (SELECT ticker, idx, count(*) OVER w AS n, avg(g) OVER w AS mean, stddev_samp(g) OVER w AS sd, min(g) OVER w AS lo, max(g) OVER w AS hi, avg(abs(g)) OVER w AS mad, corr(g, y) OVER v AS ac1, corr(abs(g), abs(y)) OVER v AS ac1_abs, avg(CAST(g < 0 AS INTEGER)) OVER w AS down
- FROM p WINDOW w AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING), v AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN CURRENT ROW AND 18 FOLLOWING))
-SELECT ticker, idx, round(mean, 5) AS mean, round(sd, 5) AS sd, round(lo, 5) AS lo, round(hi, 5) AS hi, round(mad, 5) AS mad, round(ac1, 5) AS ac1, round(ac1_abs, 5) AS ac1_abs, round(down, 5) AS down FROM f WHERE n = 20""",
+    "window_features": f"""WITH {RETURNS_SQL}, p AS (SELECT ticker, idx, g, lead(g) OVER o AS y, lead(g, 5) OVER o AS y5, sum(g) OVER o AS c FROM returns WINDOW o AS (PARTITION BY ticker ORDER BY idx)),
+f AS (SELECT ticker, idx, count(*) OVER w AS n, avg(g) OVER w AS m, avg(g * g) OVER w AS m2, avg(g ** 3) OVER w AS m3, avg(g ** 4) OVER w AS m4, stddev_samp(g) OVER w + 1e-12 AS sd, max(g) OVER w AS hi, min(g) OVER w AS lo, max(c) OVER w - min(c) OVER w AS cum_range,
+  corr(g, y) OVER v AS ac1, corr(abs(g), abs(y)) OVER v AS ac1_abs, corr(abs(g), abs(y5)) OVER u AS ac5_abs
+ FROM p WINDOW w AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING), v AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN CURRENT ROW AND 18 FOLLOWING), u AS (PARTITION BY ticker ORDER BY idx ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING))
+SELECT ticker, idx, round(m, 5) AS mean, round(sd, 5) AS sd, round((m3 - 3 * m * m2 + 2 * m ** 3) / sd ** 3, 5) AS skew, round((m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m ** 4) / sd ** 4 - 3, 5) AS kurt, round(hi, 5) AS hi, round(lo, 5) AS lo, round(cum_range, 5) AS cum_range,
+ round(ac1, 5) AS ac1, round(ac1_abs, 5) AS ac1_abs, round(ac5_abs, 5) AS ac5_abs FROM f WHERE n = 20""",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import models, panel, validation
+from tidewater.plans import models, panel, reports, validation
 
-_MODULES = (panel, validation, models)
+_MODULES = (panel, validation, reports, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,10 @@ from tidewater.operators.dependence import previous_value, vendor_overlap
 from tidewater.plans.panel import BARS_SQL, BINS_SQL, RETURNS_SQL, bars, returns, rounded
 
 
+#: Fixed: the grid of (alpha, beta) that GARCH fits start from.
+GRID = [0.02, 0.05, 0.10, 0.15], [0.70, 0.80, 0.85, 0.90]
+
+
 def _scaled(spark, sf_dir):
     return returns(spark, sf_dir).withColumn("g", F.col("g") / 100)
 
@@ -65,8 +69,8 @@ def caviar_path(spark, sf_dir):
 
 def garch_grid(spark, sf_dir):
     r = _scaled(spark, sf_dir)
-    held = recursions.series(r).join(r.groupBy("ticker").agg(F.var_samp("g").alias("v2")), "ticker")
-    return rounded(recursions.garch_grid(held, "v2", [0.03, 0.1, 0.2], [0.5, 0.8]), 5)
+    held = recursions.series(r).join(r.groupBy("ticker").agg(F.var_samp("g").alias("v2"), F.avg("g").alias("m")), "ticker")
+    return rounded(recursions.garch_grid(held, "v2", *GRID, mu="m"), 5)
 
 
 def bootstrap_paths_hash(spark, sf_dir):
@@ -153,6 +157,12 @@ SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS idx, {start} FROM v UNION ALL SELEC
 SELECT ticker, {end} FROM f WHERE (ticker, idx) IN (SELECT ticker, max(idx) FROM v GROUP BY ticker)"""
 
 
+def _tail(x: str) -> str:
+    z = f"sqrt(greatest({x}, 0) / 2)"
+    t = f"(1 / (1 + 0.3275911::DOUBLE * {z}))"
+    return f"{t} * (0.254829592::DOUBLE + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-greatest({x}, 0) / 2)"
+
+
 _LL = "ll - 0.5 * (ln(2 * pi()) + ln(greatest(s2, 1e-12)) + x * x / greatest(s2, 1e-12))"
 _PDF = ["exp(-0.5 * x * x / {0}) / (sqrt({0}) * sqrt(2 * pi()))".format(v) for v in ("0.81", "2.56")]
 _Z = f"(p * {_PDF[0]} + (1 - p) * {_PDF[1]})"
@@ -176,8 +186,14 @@ c AS (SELECT ticker, count(*) AS n, CAST(sum(b) AS BIGINT) AS x, count(*) FILTER
 p AS (SELECT *, least(1 - 1e-10, greatest(1e-10, x / n)) AS p, n01 / nullif(n00 + n01, 0) AS p01, n11 / nullif(n10 + n11, 0) AS p11, (n01 + n11) / nullif(n00 + n01 + n10 + n11, 0) AS pi FROM c),
 l AS (SELECT *, -2 * ((n - x) * ln(0.95) + x * ln(0.05) - (n - x) * ln(1 - p) - x * ln(p)) AS lr_uc,
  CASE WHEN n00 + n01 > 0 AND n10 + n11 > 0 AND n01 + n11 > 0 THEN greatest(0, -2 * (CASE WHEN n00 + n10 = 0 THEN 0 ELSE (n00 + n10) * ln(1 - pi) END + (n01 + n11) * ln(pi) - CASE WHEN n00 = 0 THEN 0 ELSE n00 * ln(1 - p01) END - CASE WHEN n01 = 0 THEN 0 ELSE n01 * ln(p01) END - CASE WHEN n10 = 0 THEN 0 ELSE n10 * ln(1 - p11) END - CASE WHEN n11 = 0 THEN 0 ELSE n11 * ln(p11) END)) ELSE 0 END AS lr_ind FROM p)
-SELECT ticker, n, x, n00, n01, n10, n11, round(lr_uc, 6) AS lr_uc, round(lr_ind, 6) AS lr_ind, round(lr_uc + lr_ind, 6) AS lr_cc, round(exp(-(lr_uc + lr_ind) / 2), 6) AS p_cc FROM l""",
+SELECT ticker, n, x, n00, n01, n10, n11, round(lr_uc, 6) AS lr_uc, round(lr_ind, 6) AS lr_ind, round({_tail("lr_uc")}, 6) AS p_uc, round({_tail("lr_ind")}, 6) AS p_ind, round(lr_uc + lr_ind, 6) AS lr_cc, round(exp(-(lr_uc + lr_ind) / 2), 6) AS p_cc FROM l""",
     "garch_ll_fold": _walk("s2, ll", "CAST(0.05 / (1.0::DOUBLE - 0.08 - 0.85) AS DOUBLE) AS s2, CAST(0 AS DOUBLE) AS ll", f"0.05::DOUBLE + 0.08 * x * x + 0.85 * greatest(s2, 1e-12), {_LL}", "round(ll, 6) AS ll, round(s2, 6) AS s2"),
+    "garch_grid": f"""WITH RECURSIVE {RETURNS_SQL}, v AS (SELECT ticker, idx, g / 100 - avg(g / 100) OVER (PARTITION BY ticker) AS x, var_samp(g / 100) OVER (PARTITION BY ticker) AS v2 FROM returns),
+p AS (SELECT unnest({[float(a) for a in GRID[0]]}) AS alpha), q AS (SELECT unnest({[float(b) for b in GRID[1]]}) AS beta), f AS (
+SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS idx, CAST(alpha AS DOUBLE) AS alpha, CAST(beta AS DOUBLE) AS beta, v2 * (1 - alpha::DOUBLE - beta::DOUBLE) AS omega, v2 AS s2, CAST(0 AS DOUBLE) AS ll FROM v, p, q WHERE alpha + beta < 0.999
+UNION ALL SELECT f.ticker, v.idx, alpha, beta, omega, omega + alpha * x * x + beta * greatest(s2, 1e-12), {_LL} FROM f JOIN v ON v.ticker = f.ticker AND v.idx = f.idx + 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ll DESC, alpha DESC, beta DESC) AS r FROM f WHERE (ticker, idx) IN (SELECT ticker, max(idx) FROM v GROUP BY ticker))
+SELECT ticker, alpha, beta, round(omega, 5) AS omega, round(ll, 5) AS ll FROM e WHERE r = 1""",
     "gjr_fold": _walk("s2, ll", "CAST(0.05 / (1.0::DOUBLE - 0.04 - 0.04 - 0.85) AS DOUBLE) AS s2, CAST(0 AS DOUBLE) AS ll", f"0.05::DOUBLE + (0.04 + CASE WHEN x < 0 THEN 0.08 ELSE 0 END) * x * x + 0.85 * greatest(s2, 1e-12), {_LL}", "round(ll, 6) AS ll, round(s2, 6) AS s2"),
     "egarch_fold": _walk("h, ll", "CAST(ln(1.4) AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS ll", "least(30, greatest(-30, 0.02::DOUBLE + 0.9 * h + 0.1 * (abs(x / exp(h / 2)) - sqrt(2 / pi())) - 0.05 * x / exp(h / 2))), ll - 0.5 * (ln(2 * pi()) + h + (x / exp(h / 2)) ** 2)", "round(ll, 6) AS ll, round(exp(h), 6) AS s2"),
     "forward_filter_fold": _walk("p, ll", "CAST(0.1 / 0.15 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS ll", f"0.1::DOUBLE + 0.85 * p * {_PDF[0]} / {_Z}, ll + ln({_Z})", "round(ll, 6) AS ll, round(p, 6) AS p"),
