@@ -24,7 +24,7 @@ from tidewater.llm.common import chunks, documents, mix, n_partitions, noise, sh
 
 HEAD, STATES = 60_000, 8
 ROUNDS, PRIOR = 14, 30.0
-_TOKENS = 1 << 18
+_TOKENS = 1 << 19
 _SLICES = 16
 _MERGE = 2_000_000
 
@@ -227,15 +227,17 @@ def forward(m: Model, lists: list[np.ndarray]):
     """Scaled forward recursion of sequences, longest first: natural log-likelihoods, and what `expected` needs."""
     flat, alive, offset = _time_major(lists)
     e = m.emit[flat]
-    a, c = np.empty_like(e), np.empty(len(flat))
-    x = m.start * e[: alive[0]]
-    for t in range(len(alive)):
-        i, k = offset[t], alive[t]
-        if t:
-            x = (x[:k] @ m.move) * e[i : i + k]
-        s = x.sum(1)
-        x = x / s[:, None]
-        a[i : i + k], c[i : i + k] = x, s
+    a, c, ones, before = np.empty_like(e), np.empty(len(flat)), np.ones(len(m.start)), None
+    for i, k in zip(offset.tolist(), alive.tolist(), strict=False):
+        x, s = a[i : i + k], c[i : i + k]
+        if before is None:
+            x[:] = m.start
+        else:
+            np.matmul(before[:k], m.move, out=x)
+        x *= e[i : i + k]
+        np.matmul(x, ones, out=s)
+        x /= s[:, None]
+        before = x
     owner = np.arange(len(flat)) - np.repeat(offset[:-1], alive)
     return np.bincount(owner, weights=np.log(c), minlength=len(lists)), (flat, alive, offset, e, a, c)
 
@@ -243,17 +245,20 @@ def forward(m: Model, lists: list[np.ndarray]):
 def expected(m: Model, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and (by symbol) emissions, by the scaled backward recursion."""
     flat, alive, offset, e, a, c = run
-    states = len(m.start)
+    states, back = len(m.start), np.ascontiguousarray(m.move.T)
     e /= c[:, None]
-    move, later = np.zeros((states, states)), np.ones((0, states))
-    for t in range(len(alive) - 1, -1, -1):
-        i, k = offset[t], alive[t]
-        x = a[i : i + k]
-        ahead = e[offset[t + 1] : offset[t + 1] + len(later)] * later if len(later) else later
-        move += x[: len(ahead)].T @ ahead
-        later = np.concatenate([ahead @ m.move.T, np.ones((k - len(ahead), states))])
-        x *= later
-    start = a[: alive[0]].sum(0)
+    later = np.ones_like(e)
+    at, n = offset.tolist(), alive.tolist()
+    for t in range(len(n) - 1, 0, -1):
+        i, j, k = at[t - 1], at[t], n[t]
+        ahead = e[j : j + k]
+        ahead *= later[j : j + k]
+        np.matmul(ahead, back, out=later[i : i + k])
+    k = n[0]
+    before = np.arange(k, len(flat)) - np.repeat(alive[:-1], alive[1:])  # each step's place a step earlier
+    move = a[before].T @ e[k:]
+    a *= later
+    start = a[:k].sum(0)
     return start, move * m.move, np.stack([np.bincount(flat, weights=a[:, s], minlength=len(m.emit)) for s in range(states)], 1)
 
 
