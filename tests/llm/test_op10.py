@@ -44,6 +44,20 @@ def test_pieces_and_bins(spark):
     assert bins <= least + 2
 
 
+def test_pools_are_bounded(spark, monkeypatch):
+    rng, sizes = np.random.default_rng(8), []
+    once = op._pack_round
+    monkeypatch.setattr(op, "_pack_round", lambda df, *a: sizes.append(max(r["count"] for r in df.groupBy("part").count().collect())) or once(df, *a))
+    rows = [(i, "word " * int(rng.integers(300, 700))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = written(op.pieces(docs, VOCABULARY), "pieces")
+    got = op.pack(table, part_pieces=40, pool_pieces=80).collect()
+    check(rows, got, op.SEQUENCE)
+    assert max(sizes) < 160
+    whole = op.pack(table).collect()
+    assert len({r.sequence_id for r in got}) <= 1.1 * len({r.sequence_id for r in whole})
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op.pack(written(op.pieces(docs, VOCABULARY), "pieces")).collect() == []

@@ -3,8 +3,9 @@
 Documents are encoded and, where longer than a sequence, cut. Whole-sequence pieces need no packing. The others are dealt
 by hash into partitions of a bounded number of pieces; each is packed by best-fit decreasing, and dual feasible functions
 give a lower bound on its bins. A partition that meets its bound is certified and keeps its bins but the emptiest. The others
-exchange: the pieces of their unfilled bins are pooled with those of neighbouring partitions and packed again, round by
-round, until one pool is left. Only lengths move; the ids are never shuffled.
+exchange: the pieces of their unfilled bins are dealt by bin into fewer pools and packed again, round by round, until one
+pool is left or what they hold doesn't fit half as many pools of `pool_pieces`; then the bins stay as they are. So a task
+holds a bounded number of pieces at any size of corpus. Only lengths move; the ids are never shuffled.
 
 Null texts are empty (one end id). Rows with the same doc_id are packed each for itself; other columns are ignored. An
 empty table gives no rows.
@@ -23,8 +24,8 @@ from tidewater.llm.common import chunks, documents, text_bytes, written
 from tidewater.llm.encoding import run_encoder
 
 SEQUENCE = 1024
-#: Pieces of a partition, and partitions that pool what they release.
-PART_PIECES, POOL = 65_536, 16
+#: Pieces of a partition, partitions that pool what they release, and pieces of a pool.
+PART_PIECES, POOL, POOL_PIECES = 65_536, 16, 1 << 20
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -114,7 +115,7 @@ def _pack_round(df: DataFrame, level: int, most: int) -> DataFrame:
     return df.groupBy("part").applyInArrow(run, f"{_PIECE}, part long, sequence_id long, offset long, gap long, free long")
 
 
-def pack(piece_rows: DataFrame, most: int = SEQUENCE, part_pieces: int = PART_PIECES) -> DataFrame:
+def pack(piece_rows: DataFrame, most: int = SEQUENCE, part_pieces: int = PART_PIECES, pool_pieces: int = POOL_PIECES) -> DataFrame:
     """piece_rows with sequence_id and offset. piece_rows must be a table (it is read more than once)."""
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     full = piece_rows.where(F.col("length") == most).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
@@ -125,9 +126,12 @@ def pack(piece_rows: DataFrame, most: int = SEQUENCE, part_pieces: int = PART_PI
     open_ = written(_pack_round(dealt.select("*", none.alias("sequence_id"), none.alias("offset"), none.alias("gap"), none.alias("free")), 0, most), "packed-0")
     done, level = [full.select(kept)], 0
     while parts > 1:
+        pools = max(-(-parts // POOL), -(-open_.where("free = 1").count() // pool_pieces))
+        if 2 * pools > parts + 1:
+            break
         done.append(open_.where("free = 0").select(kept))
-        parts, level = -(-parts // POOL), level + 1
-        pooled = open_.where("free = 1").withColumn("part", F.floor(F.col("part") / POOL))
+        parts, level = pools, level + 1
+        pooled = open_.where("free = 1").withColumn("part", F.pmod(F.xxhash64("sequence_id"), F.lit(parts)))
         open_ = written(_pack_round(pooled, level, most), f"packed-{level}")
     out = open_.select(kept)
     for df in done:
