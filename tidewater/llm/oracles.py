@@ -36,3 +36,35 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label
 SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM embeddings v JOIN least ON least.id = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = v.vec_id
 """
+
+#: CRC-32 of the decimal digits of an integer column, by bytes: the 256 remainders, then a fold of the digits.
+_CRC_TABLE = "crc_table AS (SELECT list(list_reduce(range(8), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END, n) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n))"
+_CRC = "xor(list_reduce(list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda r, c: xor(r // 256, t[xor(r % 256, c) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: Levels of a forest `{base}` (tree, place, total, digest), and of each node the siblings of its level.
+_LEVELS = """{name}(tree, level, place, total, digest) AS (SELECT tree, 0, place, total, digest FROM {base}
+UNION ALL SELECT tree, level + 1, place // 2, any_value((total + 1) // 2), sha256(string_agg(digest, '' ORDER BY place)) FROM {name} WHERE total > 1 GROUP BY tree, level, place // 2)"""
+
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (SELECT doc_id, lang, {_leaf("n_chars")} AS digest, CASE WHEN {_CRC.format(id="doc_id")} % 7 = 0 AND n_chars IS NOT NULL THEN {_leaf("(n_chars + 1)")} END AS tampered FROM documents, crc_table),
+nodes AS (SELECT coalesce('=' || lang, '') AS tree, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY lang) AS total, digest, coalesce(tampered, digest) AS given FROM leaves),
+{_LEVELS.format(name="inner_levels", base="nodes")},
+subroots AS (SELECT '' AS tree, tree AS own, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS total, digest FROM inner_levels WHERE total = 1),
+{_LEVELS.format(name="outer_levels", base="subroots")},
+climb AS (SELECT n.doc_id, n.place AS leaf_place, n.tree, l.level, (n.place >> l.level) % 2 = 1 AS from_left, s.digest AS other FROM nodes n JOIN inner_levels l ON l.tree = n.tree AND l.place = n.place >> l.level AND l.total > 1
+  LEFT JOIN inner_levels s ON s.tree = l.tree AND s.level = l.level AND s.place = xor(l.place, CAST(1 AS BIGINT))
+UNION ALL SELECT n.doc_id, n.place, n.tree, 100 + l.level, (r.place >> l.level) % 2 = 1, s.digest FROM nodes n JOIN subroots r ON r.own = n.tree JOIN outer_levels l ON l.place = r.place >> l.level AND l.total > 1
+  LEFT JOIN outer_levels s ON s.level = l.level AND s.place = xor(l.place, CAST(1 AS BIGINT))),
+paths AS (SELECT tree, leaf_place, list(coalesce(other, '') ORDER BY level) AS others, list(from_left ORDER BY level) AS lefts FROM climb GROUP BY tree, leaf_place),
+fold(tree, place, done, others, lefts, now) AS (SELECT n.tree, n.place, 0, coalesce(others, []), coalesce(lefts, []), given FROM nodes n LEFT JOIN paths p ON p.tree = n.tree AND p.leaf_place = n.place
+UNION ALL SELECT tree, place, done + 1, others, lefts, CASE WHEN lefts[done + 1] THEN sha256(others[done + 1] || now) ELSE sha256(now || others[done + 1]) END FROM fold WHERE done < len(others))
+SELECT n.doc_id, n.digest AS leaf, s.digest AS subroot, o.digest AS root, sha256(array_to_string(f.others, '')) AS proof_sha256, f.now AS folded_root, f.now = o.digest AS verified
+FROM nodes n JOIN subroots s ON s.own = n.tree JOIN outer_levels o ON o.total = 1 JOIN fold f ON f.tree = n.tree AND f.place = n.place AND f.done = len(f.others)
+"""
