@@ -10,6 +10,7 @@ from tidewater.llm import oracles
 from tidewater.llm.op9_embeddings import op9_embeddings
 from tidewater.llm.op10_packing import op10_packing
 from tidewater.llm.op11_merkle import op11_merkle
+from tidewater.llm.op12_langid import op12_langid
 from tidewater.llm.op1_jaccard import op1_jaccard
 from tidewater.llm.op2_hmm import op2_hmm
 from tidewater.llm.op3_repeats import op3_repeats
@@ -19,7 +20,7 @@ from tidewater.llm.op6_fingerprints import op6_fingerprints
 from tidewater.llm.op7_rans_files import op7_token_files
 from tidewater.llm.op8_quality import op8_quality
 
-_QUERIES = (op1_jaccard, op2_hmm, op3_repeats, op4_bpe_codec, op5_token_counts, op6_fingerprints, op7_token_files, op8_quality, op9_embeddings, op10_packing, op11_merkle)
+_QUERIES = (op1_jaccard, op2_hmm, op3_repeats, op4_bpe_codec, op5_token_counts, op6_fingerprints, op7_token_files, op8_quality, op9_embeddings, op10_packing, op11_merkle, op12_langid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
