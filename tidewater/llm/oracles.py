@@ -68,3 +68,19 @@ UNION ALL SELECT tree, place, done + 1, others, lefts, CASE WHEN lefts[done + 1]
 SELECT n.doc_id, n.digest AS leaf, s.digest AS subroot, o.digest AS root, sha256(array_to_string(f.others, '')) AS proof_sha256, f.now AS folded_root, f.now = o.digest AS verified
 FROM nodes n JOIN subroots s ON s.own = n.tree JOIN outer_levels o ON o.total = 1 JOIN fold f ON f.tree = n.tree AND f.place = n.place AND f.done = len(f.others)
 """
+
+OP13 = f"""
+WITH {_CRC_TABLE},
+own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC.format(id="conv_id")} % 4 AS h, n FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id), crc_table),
+parts AS (SELECT c.conv_id, 0 AS part, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.i <= c.h UNION ALL SELECT c.conv_id, 1, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h),
+whole AS (SELECT c.conv_id, coalesce(p.seq, []) AS seq FROM convs c LEFT JOIN (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY part, i) AS seq FROM parts GROUP BY conv_id) p USING (conv_id)),
+members AS (SELECT conv_id, seq, d, seq[:d] AS prefix FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM whole)),
+nodes AS (SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(seq) = d), '') AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE len({_WORDS.format(text="prefix[d].text")}) END AS words FROM members GROUP BY d, prefix),
+children AS (SELECT d - 1 AS d, prefix[:d - 1] AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+told AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.prefix = n.prefix),
+above AS (SELECT a AS d, prefix[:a] AS prefix, sum((n - 1) * words) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM told) GROUP BY ALL)
+SELECT t.conv_id, CAST(t.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, t.n AS n_convs, CAST(t.n_children AS BIGINT) AS n_children, CAST(a.leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(t.ends) AS ends_sha256
+FROM told t JOIN above a ON a.d = t.d AND a.prefix = t.prefix LEFT JOIN nodes p ON p.d = t.d - 1 AND p.prefix = t.prefix[:t.d - 1]
+"""
