@@ -1,17 +1,16 @@
-"""Filters and likelihoods at given parameters, as folds over a ticker's ordered array or as plain expressions."""
+"""Filters and likelihoods at given parameters, as scans over segments, folds over a ticker's ordered array or plain expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators import scans
 
-def garch_variance_path(held: DataFrame, omega: float, alpha: float, beta: float, start: str | None = None) -> DataFrame:
-    """(ticker, idx, x, s2): the conditional variance of every step, given the steps before it; from the unconditional variance unless a start is given."""
-    first = start or f"{omega / (1 - alpha - beta)!r}D"
-    step = f"named_struct('s2', greatest({omega}D + {alpha}D * x * x + {beta}D * s.s2, 1e-12D), 'path', array_append(s.path, s.s2))"
-    path = f"aggregate(v, named_struct('s2', cast({first} as double), 'path', cast(array() as array<double>)), (s, x) -> {step}, s -> s.path)"
-    return held.selectExpr("ticker", f"posexplode(arrays_zip(v, {path})) as (at, z)").selectExpr("ticker", "cast(at + 1 as long) as idx", "z.v as x", "z.`1` as s2")
+
+def garch_variance_path(rows: DataFrame, omega: float, alpha: float, beta: float) -> DataFrame:
+    """(ticker, idx, x, s2): the conditional variance of every step, given the steps before it; from the unconditional variance."""
+    return scans.variance_paths(rows, [omega], [alpha], [beta]).select("ticker", "idx", "x", F.col("s2")[0].alias("s2"))
 
 
 def stochastic_volatility(held: DataFrame, phi: float, eta2: float, log_s2: str, noise: float = 4.9348) -> DataFrame:
@@ -33,19 +32,10 @@ def jump_diffusion(rows: DataFrame, mu: float, sigma: float, rate: float, jump_m
     return rows.groupBy("ticker").agg(F.count("*").alias("n"), F.sum(F.log(F.expr(density))).alias("ll"))
 
 
-def filtered_states(held: DataFrame, move: list[list[float]], sigma: list[float], prior: list[float] | None = None) -> DataFrame:
-    """(ticker, idx, x, p, ll): probabilities of zero-mean Gaussian states given the steps up to each, and the step's log density; from a uniform prior."""
-    k = len(sigma)
-    start = ", ".join(f"{x!r}D" for x in prior or [1 / k] * k)
-    ahead = [" + ".join(f"element_at(s.p, {i + 1}) * {move[i][j]!r}D" for i in range(k)) for j in range(k)]
-    guess = [f"if(s.t = 0, element_at(s.p, {j + 1}), {ahead[j]})" for j in range(k)]
-    joint = "array(" + ", ".join(f"({guess[j]}) * exp(-0.5D * x * x / {sigma[j] ** 2!r}D) / ({sigma[j]!r}D * sqrt(2D * pi()))" for j in range(k)) + ")"
-    total = "aggregate(j, 0D, (a, b) -> a + b)"
-    row = f"element_at(transform(array({joint}), j -> named_struct('x', x, 'p', transform(j, q -> q / {total}), 'll', ln({total}))), 1)"
-    step = f"element_at(transform(array({row}), r -> named_struct('t', s.t + 1, 'p', r.p, 'rows', array_append(s.rows, r))), 1)"
-    none = "cast(array() as array<struct<x: double, p: array<double>, ll: double>>)"
-    fold = f"aggregate(v, named_struct('t', 0, 'p', array({start}), 'rows', {none}), (s, x) -> {step}, s -> s.rows)"
-    return held.selectExpr("ticker", f"posexplode({fold}) as (at, r)").selectExpr("ticker", "cast(at + 1 as long) as idx", "r.x", "r.p", "r.ll")
+def filtered_states(rows: DataFrame, move: list[list[float]], sigma: list[float], prior: list[float] | None = None) -> DataFrame:
+    """(ticker, idx, x, pred, p, ll): probabilities of zero-mean Gaussian states given the steps up to each, and the step's log density; from a uniform prior."""
+    steps = rows.select("ticker", "idx", F.col("g").alias("x")).withColumn("logf", F.expr(scans.gaussian_logs("x", [f"{s * s!r}D" for s in sigma])))
+    return scans.state_filter(steps, move, prior or [1 / len(sigma)] * len(sigma), ("x",))
 
 
 def state_band(filtered: DataFrame, lowest: int, highest: int) -> DataFrame:

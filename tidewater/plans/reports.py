@@ -201,14 +201,14 @@ def exact_binomial(spark, sf_dir):
 
 def filtered_historical_var(spark, sf_dir):
     r = _scaled(spark, sf_dir)
-    path = likelihoods.garch_variance_path(recursions.series(r), 0.05, 0.08, 0.85).withColumn("z", F.col("x") / F.sqrt("s2"))
+    path = likelihoods.garch_variance_path(r, 0.05, 0.08, 0.85).withColumn("z", F.col("x") / F.sqrt("s2"))
     q = path.where("idx <= 100").groupBy("ticker").agg(F.expr("percentile_disc(0.05) within group (order by z)").alias("q"))
     out = path.where("idx > 100").join(q, "ticker").withColumn("var", F.col("q") * F.sqrt("s2"))
     return rounded(out.select("ticker", "idx", "var", (F.col("x") < F.col("var")).alias("breach")))
 
 
 def garch_variance(spark, sf_dir):
-    return rounded(likelihoods.garch_variance_path(recursions.series(_scaled(spark, sf_dir)), 0.05, 0.08, 0.85))
+    return rounded(likelihoods.garch_variance_path(_scaled(spark, sf_dir), 0.05, 0.08, 0.85))
 
 
 def stochastic_volatility(spark, sf_dir):
@@ -222,7 +222,7 @@ def jump_diffusion(spark, sf_dir):
 
 
 def _filtered(spark, sf_dir):
-    return likelihoods.filtered_states(recursions.series(_scaled(spark, sf_dir)), MOVE, SIGMA)
+    return likelihoods.filtered_states(_scaled(spark, sf_dir), MOVE, SIGMA)
 
 
 def held_out_forward(spark, sf_dir):
