@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import likelihoods, scans
+from tidewater.operators import likelihoods, pooled, scans, signatures, tiles, windowing
 from tidewater.plans.panel import RETURNS_SQL, returns, rounded
-from tidewater.plans.reports import MOVE, SIGMA, _scaled
+from tidewater.plans.reports import MOVE, SIGMA, _paths, _scaled
+from tidewater.plans.validation import _boot, _uniform
 
 #: Parameters of the filters with two and three regimes: (omega, alpha, beta), moves, mean.
 REGIMES = {
@@ -35,6 +36,56 @@ def predictive_states(spark, sf_dir):
     return rounded(rows.select("ticker", "idx", *[F.col("pred")[i].alias(f"p_{i + 1}") for i in range(3)]))
 
 
+def path_anderson_darling(spark, sf_dir):
+    """Anderson-Darling statistic of every path against its ticker's series, standardised, with its tail probability."""
+    got = pooled.anderson_darling(pooled.rank_statistics(pooled.pooled_counts(_paths(spark, sf_dir), returns(spark, sf_dir))))
+    return rounded(got.select("ticker", "path_id", "n", "m", "ks", "a2", "z", "p"), 5)
+
+
+def path_ad_pass(spark, sf_dir):
+    got = pooled.anderson_darling(pooled.rank_statistics(pooled.pooled_counts(_paths(spark, sf_dir), returns(spark, sf_dir))))
+    passed = F.coalesce(F.col("p") > 0.05, F.lit(False)).cast("double")
+    return rounded(got.groupBy("ticker").agg(F.count("*").alias("paths"), F.avg("z").alias("mean_z"), F.avg(passed).alias("pass_rate")), 5)
+
+
+def _archive(spark, sf_dir):
+    return tiles.archive_windows(_paths(spark, sf_dir), 20, 100, 20, 50)
+
+
+def archive_windows(spark, sf_dir):
+    """Windows of 20 steps drawn from the paths."""
+    return rounded(_archive(spark, sf_dir))
+
+
+def _window_vectors(spark, sf_dir):
+    seen = windowing.windowize(_scaled(spark, sf_dir), 20, 15)
+    drawn = _archive(spark, sf_dir).withColumn("g", F.col("g") / 100)
+    return tiles.vectors(seen, 0).unionByName(tiles.vectors(drawn, 1))
+
+
+def median_bandwidth(spark, sf_dir):
+    """Median squared distance of all pairs of windows, observed and drawn."""
+    return rounded(tiles.median_distance(_window_vectors(spark, sf_dir)))
+
+
+def window_mmd(spark, sf_dir):
+    """Squared maximum mean discrepancy of observed and drawn windows at the median bandwidth."""
+    rows = _window_vectors(spark, sf_dir)
+    return rounded(tiles.mmd2(rows, tiles.median_distance(rows)))
+
+
+def window_signatures(spark, sf_dir):
+    """Signatures to depth 3 of every observed window."""
+    got = signatures.signatures(windowing.windowize(_scaled(spark, sf_dir), 20, 15))
+    return rounded(got.select("ticker", "window", *[F.col("s")[i].alias(f"s{i + 1:02d}") for i in range(14)]))
+
+
+def series_signature(spark, sf_dir):
+    """Signature to depth 3 of every whole series: segments multiplied in parallel."""
+    whole = _scaled(spark, sf_dir).select("ticker", F.lit(1).cast("long").alias("window"), F.col("idx").alias("pos"), "g")
+    return rounded(signatures.signatures(whole).select("ticker", "n", *[F.col("s")[i].alias(f"s{i + 1:02d}") for i in range(14)]))
+
+
 def _walked(k: int, variances: bool) -> str:
     """Recursive rows f of a filter: predictions q, probabilities p, with variances of their own (s) or fixed ones."""
     omega, alpha, beta, move, mu = REGIMES[k] if variances else ([], [], [], MOVE, 0.0)
@@ -58,9 +109,58 @@ def _hamilton_sql(k: int) -> str:
     return f"{_walked(k, True)} SELECT ticker, idx, {', '.join(f'round(s{j}, 6) AS s2_{j}' for j in n)}, {', '.join(f'round(u{j} / {total}, 6) AS p_{j}' for j in n)}, round(ln({total}), 6) AS ll FROM told"
 
 
+def _ad_sql() -> str:
+    c2, c1, c0 = pooled.tail_fit()
+    low, high = (pooled._B0[i] + pooled._B1[i] + pooled._B2[i] for i in (0, -1))
+    return f"""WITH {_boot(20, 50)}, s AS (SELECT ticker, path_id, 0 AS side, g AS x FROM boot UNION ALL SELECT ticker, path_id, 1, g FROM (SELECT DISTINCT ticker, path_id FROM boot) JOIN returns USING (ticker)),
+c AS (SELECT ticker, path_id, x, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS q FROM s GROUP BY 1, 2, 3),
+up AS (SELECT *, sum(p) OVER o AS pu, sum(q) OVER o AS qu, sum(p) OVER w AS n, sum(q) OVER w AS m FROM c WINDOW w AS (PARTITION BY ticker, path_id), o AS (PARTITION BY ticker, path_id ORDER BY x)),
+t AS (SELECT *, CAST(n + m AS DOUBLE) AS N2, p + q AS l, pu + qu - (p + q) / 2 AS b FROM up),
+st AS (SELECT ticker, path_id, any_value(n) AS n, any_value(m) AS m, max(abs(pu / n - qu / m)) AS ks, (any_value(N2) - 1) / any_value(N2) * (1 / any_value(n) + 1 / any_value(m)) * sum(l / N2 * (N2 * (pu - p / 2) - n * b) ** 2 / (b * (N2 - b) - N2 * l / 4)) AS a2 FROM t GROUP BY 1, 2),
+hs AS (SELECT i, sum(1 / CAST(i AS DOUBLE)) OVER (ORDER BY i) AS h FROM (SELECT unnest(range(1, CAST((SELECT max(n + m) FROM st) AS BIGINT))) AS i)),
+sz AS (SELECT n, m, CAST(n + m AS DOUBLE) AS t, (SELECT h FROM hs WHERE i = n + m - 1) AS h, 1 / n + 1 / m AS f FROM (SELECT DISTINCT n, m FROM st)),
+gs AS (SELECT n, m, any_value(t) AS t, any_value(sz.h) AS h, any_value(f) AS f, sum((sz.h - hs.h) / (t - i)) AS g FROM sz JOIN hs ON i <= t - 2 GROUP BY n, m),
+vs AS (SELECT n, m, (((4 * g - 6) + (10 - 6 * g) * f) * t ** 3 + ((2 * g - 4) * 4 + 16 * h + (2 * g - 14 * h - 4) * f - 8 * h + 4 * g - 6) * t ** 2 + ((6 * h + 2 * g - 2) * 4 + (4 * h - 4 * g + 6) * 2 + (2 * h - 6) * f + 4 * h) * t + (2 * h + 6) * 4 - 8 * h) / ((t - 1) * (t - 2) * (t - 3)) AS v FROM gs),
+z AS (SELECT st.*, (a2 - 1) / sqrt(v) AS z FROM st JOIN vs USING (n, m)),
+ad AS (SELECT *, CASE WHEN z <= {low!r} THEN 0.25 WHEN z >= {high!r} THEN 0.001 ELSE exp({c2!r} * z * z + {c1!r} * z + {c0!r}) END AS p FROM z)"""
+
+
+_SEEN = "seen AS (SELECT ticker, w + 1 AS id, idx - 15 * w AS pos, g / 100 AS g FROM (SELECT ticker, unnest(range(0, (n - 20) // 15 + 1)) AS w FROM (SELECT ticker, count(*) AS n FROM returns GROUP BY ticker HAVING count(*) >= 20)) JOIN returns USING (ticker) WHERE idx BETWEEN 15 * w + 1 AND 15 * w + 20)"
+
+
+def _drawn_sql() -> str:
+    """Drawn windows, on top of the paths."""
+    return f"""{_boot(20, 50)}, {_uniform(100, 2, "d_")}, draws AS (SELECT path_id AS id, CAST(floor(any_value(u) FILTER (t = 1) * 20) AS BIGINT) + 1 AS p, CAST(floor(any_value(u) FILTER (t = 2) * 31) AS BIGINT) + 1 AS s FROM d_u GROUP BY path_id),
+drawn AS (SELECT ticker, id, t - s + 1 AS pos, g FROM draws JOIN boot ON path_id = p AND t BETWEEN s AND s + 19)"""
+
+
+_VECTORS = f"""{_SEEN}, v AS (SELECT ticker, 0 AS side, id, list(g ORDER BY pos) AS v FROM seen GROUP BY ticker, id UNION ALL SELECT ticker, 1, id, list(g / 100 ORDER BY pos) FROM drawn GROUP BY ticker, id),
+pairs AS (SELECT a.ticker, a.side + b.side AS kind, list_sum(list_transform(range(1, 21), lambda i: (a.v[i] - b.v[i]) ** 2)) AS d FROM v a JOIN v b ON a.ticker = b.ticker AND (a.side, a.id) < (b.side, b.id)),
+band AS (SELECT ticker, median(d) AS bandwidth FROM pairs GROUP BY ticker)"""
+
+
+def _signature_sql(rows: str, key: str, first: str) -> str:
+    """Iterated sums by running sums. rows: key, pos, g, with n and the deviation sd of the key."""
+    level2 = ", ".join(f"sum({i}0 * {j}) OVER o - {i}0 * {j} AS {i}{j}0, sum({i}0 * {j}) OVER w AS {i}{j}" for j in "tx" for i in "tx")
+    ends = ["sum(t)", "sum(x)", *(f"any_value({i}{j})" for j in "tx" for i in "tx"), *(f"sum({i}{j}0 * {k})" for k in "tx" for j in "tx" for i in "tx")]
+    return f"""i AS (SELECT *, 1 / CAST(n - 1 AS DOUBLE) AS t, (g - lag(g) OVER (PARTITION BY {key} ORDER BY pos)) / greatest(sd, 1e-12) AS x FROM {rows}),
+l AS (SELECT *, sum(t) OVER o - t AS t0, sum(x) OVER o - x AS x0 FROM i WHERE x IS NOT NULL WINDOW o AS (PARTITION BY {key} ORDER BY pos)),
+m AS (SELECT *, {level2} FROM l WINDOW o AS (PARTITION BY {key} ORDER BY pos), w AS (PARTITION BY {key}))
+SELECT {first}, {', '.join(f'round({e}, 6) AS s{n + 1:02d}' for n, e in enumerate(ends))} FROM m GROUP BY {key}"""
+
+
 ORACLES = {
     "hamilton_filter": _hamilton_sql(2),
     "hamilton_filter_three": _hamilton_sql(3),
     "predictive_states": f"{_walked(3, False)} SELECT ticker, idx, round(q1, 6) AS p_1, round(q2, 6) AS p_2, round(q3, 6) AS p_3 FROM f",
+    "path_anderson_darling": f"{_ad_sql()} SELECT ticker, path_id, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(ks, 5) AS ks, round(a2, 5) AS a2, round(z, 5) AS z, round(p, 5) AS p FROM ad",
+    "path_ad_pass": f"{_ad_sql()} SELECT ticker, count(*) AS paths, round(avg(z), 5) AS mean_z, round(avg(CASE WHEN p > 0.05 THEN 1.0 ELSE 0 END), 5) AS pass_rate FROM ad GROUP BY ticker",
+    "archive_windows": f'WITH {_drawn_sql()} SELECT ticker, id AS "window", pos, round(g, 6) AS g FROM drawn',
+    "median_bandwidth": f"WITH {_drawn_sql()}, {_VECTORS} SELECT ticker, round(bandwidth, 6) AS bandwidth FROM band",
+    "window_mmd": f"""WITH {_drawn_sql()}, {_VECTORS}, sizes AS (SELECT ticker, count(*) FILTER (side = 0) AS n, count(*) FILTER (side = 1) AS m FROM v GROUP BY ticker),
+k AS (SELECT ticker, kind, sum(exp(-d / bandwidth)) AS s FROM pairs JOIN band USING (ticker) GROUP BY 1, 2)
+SELECT ticker, n, m, round(greatest(0, sum(CASE kind WHEN 0 THEN 2 * s / (n * (n - 1)) WHEN 2 THEN 2 * s / (m * (m - 1)) ELSE -2 * s / (n * m) END)), 6) AS mmd2 FROM sizes JOIN k USING (ticker) GROUP BY ticker, n, m""",
+    "window_signatures": f"WITH {RETURNS_SQL}, {_SEEN}, r AS (SELECT *, count(*) OVER w AS n, stddev_samp(g) OVER w AS sd FROM seen WINDOW w AS (PARTITION BY ticker, id)), " + _signature_sql("r", "ticker, id", 'ticker, id AS "window"'),
+    "series_signature": f"WITH {RETURNS_SQL}, r AS (SELECT ticker, idx AS pos, g / 100 AS g, count(*) OVER w AS n, stddev_samp(g / 100) OVER w AS sd FROM returns WINDOW w AS (PARTITION BY ticker)), " + _signature_sql("r", "ticker", "ticker, any_value(n) AS n"),
 }
 QUERIES = {n: globals()[n] for n in ORACLES}

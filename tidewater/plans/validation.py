@@ -138,11 +138,11 @@ _BREACH = f"""{RETURNS_SQL}, q AS (SELECT ticker, idx, g, quantile_cont(g, 0.05)
 breaches AS (SELECT ticker, idx, var, g < var AS breach FROM q WHERE idx > 250)"""
 
 
-def _uniform(paths: int, steps: int) -> str:
+def _uniform(paths: int, steps: int, name: str = "") -> str:
     m = 2147483647
-    return f"""h0 AS (SELECT p.path_id, t.t, (p.path_id * 1103515245 + t.t * 69069069 + {40692 + 12345}) % {m} AS h FROM (SELECT unnest(range(1, {paths + 1})) AS path_id) p, (SELECT unnest(range(1, {steps + 1})) AS t) t),
-h1 AS (SELECT path_id, t, (h * h + h * 48271 + 7) % {m} AS h FROM h0), h2 AS (SELECT path_id, t, (h * 16807 + t) % {m} AS h FROM h1),
-u AS (SELECT path_id, t, ((h * h + h * 69621 + 11) % {m} + 0.5::DOUBLE) / {m}::DOUBLE AS u FROM h2)"""
+    return f"""{name}h0 AS (SELECT p.path_id, t.t, (p.path_id * 1103515245 + t.t * 69069069 + {40692 + 12345}) % {m} AS h FROM (SELECT unnest(range(1, {paths + 1})) AS path_id) p, (SELECT unnest(range(1, {steps + 1})) AS t) t),
+{name}h1 AS (SELECT path_id, t, (h * h + h * 48271 + 7) % {m} AS h FROM {name}h0), {name}h2 AS (SELECT path_id, t, (h * 16807 + t) % {m} AS h FROM {name}h1),
+{name}u AS (SELECT path_id, t, ((h * h + h * 69621 + 11) % {m} + 0.5::DOUBLE) / {m}::DOUBLE AS u FROM {name}h2)"""
 
 
 def _boot(paths: int, steps: int) -> str:
