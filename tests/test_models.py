@@ -92,13 +92,3 @@ def test_tau_b_equals_all_pairs():
         s = np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])
         want = s.sum() / np.sqrt((x[i] != x[j]).sum() * (y[i] != y[j]).sum())
         assert math.isclose(tau_b(x, y), want)
-
-
-def test_har_and_dynamic_quantile(spark):
-    from tidewater.operators import risk, timeseries
-
-    r = series(spark, two_regimes(900)[0])
-    fit = volatility.har_fit(timeseries.har_sufficient_statistics(timeseries.har_features(r))).first()
-    assert fit.n > 800 and all(math.isfinite(v) for v in (fit.b0, fit.b_d, fit.b_w, fit.b_m))
-    out = risk.dynamic_quantile(risk.rolling_breaches(r, 0.05, 250), 0.05).first()
-    assert 0 <= out.p <= 1 and out.n == 900 - 250 - 4

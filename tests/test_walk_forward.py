@@ -9,10 +9,9 @@ def table(spark, n=290):
     return x, spark.createDataFrame([("X", i + 1, float(v)) for i, v in enumerate(x)], "ticker string, idx long, g double").coalesce(1)
 
 
-def test_every_step_has_a_regime(spark, monkeypatch):
+def test_every_step_has_a_regime(spark):
     x, rows = table(spark)
-    monkeypatch.setattr(models, "_scaled", lambda *_: rows)
-    got = {r.idx: r.state for r in models.walk_forward_regimes(spark, "").collect()}
+    got = {r.idx: r.state for r in regimes.walk_forward(rows, 250, 1, 2).collect()}
     assert sorted(got) == list(range(250, 291))
     for end, state in got.items():
         w = x[end - 250 : end]

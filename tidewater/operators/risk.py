@@ -65,22 +65,3 @@ def coverage_tests(breaches: DataFrame, alpha: float, *key: str) -> DataFrame:
     out = out.withColumn("lr_uc", kupiec(F.col("n"), F.col("x"), alpha)).withColumn("lr_ind", christoffersen(*(F.col(c) for c in ("n00", "n01", "n10", "n11"))))
     out = out.withColumn("p_uc", chi2_1_tail(F.col("lr_uc"))).withColumn("p_ind", chi2_1_tail(F.col("lr_ind")))
     return out.withColumn("lr_cc", F.col("lr_uc") + F.col("lr_ind")).withColumn("p_cc", F.exp(-F.col("lr_cc") / 2))
-
-
-def dynamic_quantile(breaches: DataFrame, alpha: float, lags: int = 4) -> DataFrame:
-    """Regression test of centred hits on a constant, their lags and the VaR: (ticker, n, dq, p), chi-squared with lags + 2."""
-    import numpy as np
-    import pandas as pd
-
-    from tidewater.functions.dists import chi2_sf
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        hit = frame["breach"].to_numpy().astype(float) - alpha
-        n = len(hit) - lags
-        x = np.column_stack([np.ones(n), *(hit[lags - k : len(hit) - k] for k in range(1, lags + 1)), frame["var"].to_numpy()[lags:]])
-        b = np.linalg.lstsq(x, hit[lags:], rcond=None)[0]
-        dq = float(b @ (x.T @ x) @ b / (alpha * (1 - alpha)))
-        return pd.DataFrame([{"ticker": frame["ticker"].iloc[0], "n": n, "dq": dq, "p": chi2_sf(dq, lags + 2)}])
-
-    return breaches.groupBy("ticker").applyInPandas(run, "ticker string, n long, dq double, p double")

@@ -99,25 +99,3 @@ def fit_volatility(returns: DataFrame, models: list[str], most: int = 2000) -> D
         return pd.DataFrame([{"ticker": frame["ticker"].iloc[0], "model": model, "params": dict(zip(PARAMETERS[model], map(float, p), strict=True)), "ll": ll, "converged": converged, "n": len(frame)}])
 
     return grid.groupBy("ticker", "model").applyInPandas(run, "ticker string, model string, params map<string,double>, ll double, converged boolean, n long")
-
-
-def har_fit(statistics: DataFrame) -> DataFrame:
-    """Coefficients of log rv on a constant and the logs of its day, week and month means, from summed statistics."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for r in frame.to_dict("records"):
-                names = ("rv_d", "rv_w", "rv_m")
-                xx, xy = np.empty((4, 4)), np.empty(4)
-                xx[0, 0], xy[0] = r["n"], r["s_rv"]
-                for i, a in enumerate(names):
-                    xx[0, i + 1] = xx[i + 1, 0] = r[f"s_{a}"]
-                    xy[i + 1] = r[f"s_{a}_y"]
-                    for j, b in enumerate(names[i:], i):
-                        xx[i + 1, j + 1] = xx[j + 1, i + 1] = r[f"s_{a}_{b}"]
-                b = np.linalg.lstsq(xx, xy, rcond=None)[0]
-                out.append({"ticker": r["ticker"], "n": r["n"], "b0": b[0], "b_d": b[1], "b_w": b[2], "b_m": b[3]})
-            yield pd.DataFrame(out, columns=["ticker", "n", "b0", "b_d", "b_w", "b_m"])
-
-    return statistics.mapInPandas(run, "ticker string, n long, b0 double, b_d double, b_w double, b_m double")

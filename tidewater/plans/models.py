@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import dependence, regimes, risk, simulate, timeseries, volatility
+from tidewater.operators import dependence, regimes, risk, simulate, volatility
 from tidewater.plans.panel import returns
 
 
@@ -25,11 +25,6 @@ def viterbi_states(spark, sf_dir):
     return regimes.decode(_scaled(spark, sf_dir), _two_states(spark, sf_dir))
 
 
-def walk_forward_regimes(spark, sf_dir):
-    """A regime for every return from the 250th on, each of a model refitted on the 250 up to it."""
-    return regimes.walk_forward(_scaled(spark, sf_dir), 250, 1, 2)
-
-
 def regime_paths(spark, sf_dir):
     return simulate.regime_paths(_two_states(spark, sf_dir), 20, 250)
 
@@ -53,18 +48,10 @@ def block_bootstrap_paths(spark, sf_dir):
     return simulate.block_bootstrap(_scaled(spark, sf_dir), 20, 10.0)
 
 
-def dynamic_quantile(spark, sf_dir):
-    return risk.dynamic_quantile(risk.rolling_breaches(_scaled(spark, sf_dir), 0.05, 250), 0.05)
-
-
-def har_fit(spark, sf_dir):
-    return volatility.har_fit(timeseries.har_sufficient_statistics(timeseries.har_features(_scaled(spark, sf_dir))))
-
-
 def copula_profile(spark, sf_dir):
     """Log-likelihood by degrees of freedom for the three series, with the Gaussian copula as 1e9."""
     return dependence.copula_profile(_scaled(spark, sf_dir), ["A", "N", "R"], [3, 5, 8, 15, 30, 1e9])
 
 
-QUERIES = {f.__name__: f for f in (hmm_fits, viterbi_states, walk_forward_regimes, regime_paths, conditional_var, volatility_fits, garch_paths, block_bootstrap_paths, dynamic_quantile, har_fit, copula_profile)}
+QUERIES = {f.__name__: f for f in (hmm_fits, viterbi_states, regime_paths, conditional_var, volatility_fits, garch_paths, block_bootstrap_paths, copula_profile)}
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import likelihoods, pooled, scans, signatures, tiles, windowing
+from tidewater.operators import likelihoods, linear, pooled, risk, scans, signatures, tiles, timeseries, windowing
 from tidewater.plans.panel import RETURNS_SQL, returns, rounded
 from tidewater.plans.reports import MOVE, SIGMA, _paths, _scaled
 from tidewater.plans.validation import _boot, _uniform
@@ -86,6 +86,26 @@ def series_signature(spark, sf_dir):
     return rounded(signatures.signatures(whole).select("ticker", "n", *[F.col("s")[i].alias(f"s{i + 1:02d}") for i in range(14)]))
 
 
+def har_fit(spark, sf_dir):
+    """Coefficients of the log squared return on a constant and the logs of its day, week and month means."""
+    rows = timeseries.har_features(_scaled(spark, sf_dir)).where("rv > 0 and rv_d > 0")
+    got = linear.least_squares(rows, ["ticker"], [F.lit(1.0), *[F.log(c) for c in ("rv_d", "rv_w", "rv_m")]], F.log("rv"))
+    return rounded(got.select("ticker", "n", *[F.col("beta")[i].alias(c) for i, c in enumerate(("b0", "b_d", "b_w", "b_m"))]))
+
+
+def dynamic_quantile(spark, sf_dir):
+    return rounded(linear.dynamic_quantile(risk.rolling_breaches(_scaled(spark, sf_dir), 0.05, 250), 0.05), 5)
+
+
+def har_synthetic(spark, sf_dir):
+    """Forecasts of the later squared returns by coefficients of the earlier ones, and by those of simulated paths."""
+    rows = _scaled(spark, sf_dir)
+    early, late = (linear.har_levels(rows.where(w)) for w in ("dt < date'1996-01-01'", "dt >= date'1996-01-01'"))
+    made = linear.har_levels(linear.pooled_series(_paths(spark, sf_dir).withColumn("g", F.col("g") / 100), 20, 50))
+    got = [linear.har_scores(late, linear.har_coefficients(f)).withColumn("trained_on", F.lit(name)) for f, name in ((early, "real"), (made, "synthetic"))]
+    return rounded(got[0].unionByName(got[1]), 5)
+
+
 def _walked(k: int, variances: bool) -> str:
     """Recursive rows f of a filter: predictions q, probabilities p, with variances of their own (s) or fixed ones."""
     omega, alpha, beta, move, mu = REGIMES[k] if variances else ([], [], [], MOVE, 0.0)
@@ -149,10 +169,49 @@ m AS (SELECT *, {level2} FROM l WINDOW o AS (PARTITION BY {key} ORDER BY pos), w
 SELECT {first}, {', '.join(f'round({e}, 6) AS s{n + 1:02d}' for n, e in enumerate(ends))} FROM m GROUP BY {key}"""
 
 
+def _solved_sql(name: str, rows: str, features: list[str], y: str, key: str = "ticker") -> str:
+    """CTEs of least squares: `name` has key, n, b0 and so on, and the moments c0 and so on. Every pivot row is taken from all others."""
+    x, n = [*features, y], len(features)
+    cells = [(i, j) for i in range(n) for j in range(n + 1)]
+    parts = [f"{name}_0 AS (SELECT {key}, count(*) AS n, {', '.join(f'sum(({x[i]}) * ({x[j]})) AS m{i}_{j}' for i, j in cells)}, {', '.join(f'sum(({x[i]}) * ({y})) AS c{i}' for i in range(n))} FROM {rows} GROUP BY {key})"]
+    for k in range(n):
+        step = ", ".join(f"m{i}_{j}" if i == k else f"m{i}_{j} - m{k}_{j} * m{i}_{k} / m{k}_{k} AS m{i}_{j}" for i, j in cells)
+        parts.append(f"{name}_{k + 1} AS (SELECT {key}, n, {step}, {', '.join(f'c{i}' for i in range(n))} FROM {name}_{k})")
+    parts.append(f"{name} AS (SELECT {key}, n, {', '.join(f'm{i}_{n} / m{i}_{i} AS b{i}, c{i}' for i in range(n))} FROM {name}_{n})")
+    return ", ".join(parts)
+
+
+def _har_sql(name: str, rows: str) -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT ticker, row_number() OVER w AS step, g * g AS rv, lag(g * g) OVER w AS rv_d, avg(g * g) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS rv_w, avg(g * g) OVER (w ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING) AS rv_m FROM {rows} WINDOW w AS (PARTITION BY ticker ORDER BY idx)) WHERE step > 22)"""
+
+
+_LEVELS = ["1.0::DOUBLE", "rv_d", "rv_w", "rv_m"]
+_SCALED = "scaled AS (SELECT ticker, dt, idx, g / 100 AS g FROM returns)"
+
+
+def _har_synthetic_sql() -> str:
+    score = lambda name, label: f"SELECT ticker, '{label}' AS trained_on, count(*) AS n, sqrt(avg((f - rv) ** 2)) AS rmse, avg(greatest(rv, 1e-10) / f - ln(greatest(rv, 1e-10) / f) - 1) AS qlike FROM (SELECT ticker, rv, greatest(1e-10, b0 + b1 * rv_d + b2 * rv_w + b3 * rv_m) AS f FROM late JOIN {name} USING (ticker)) GROUP BY ticker"
+    return f"""WITH {_boot(20, 50)}, {_SCALED}, e0 AS (SELECT * FROM scaled WHERE dt < DATE '1996-01-01'), l0 AS (SELECT * FROM scaled WHERE dt >= DATE '1996-01-01'), s0 AS (SELECT ticker, (path_id - 1) * 50 + t AS idx, g / 100 AS g FROM boot),
+{_har_sql("early", "e0")}, {_har_sql("late", "l0")}, {_har_sql("made", "s0")}, {_solved_sql("real_fit", "early", _LEVELS, "rv")}, {_solved_sql("made_fit", "made", _LEVELS, "rv")},
+rows_ AS ({score("real_fit", "real")} UNION ALL {score("made_fit", "synthetic")}) SELECT ticker, trained_on, n, round(rmse, 5) AS rmse, round(qlike, 5) AS qlike FROM rows_"""
+
+
+def _dq_sql() -> str:
+    fit = _solved_sql("fit", "h", ["1.0::DOUBLE", "h1", "h2", "h3", "h4", "var"], "hit")
+    dq = " + ".join(f"b{i} * c{i}" for i in range(6))
+    return f"""WITH {RETURNS_SQL}, {_SCALED}, q AS (SELECT ticker, idx, g, quantile_cont(g, 0.05) OVER (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING) AS var FROM scaled),
+b AS (SELECT ticker, idx, var, CAST(g < var AS INTEGER) - 0.05::DOUBLE AS hit FROM q WHERE idx > 250), l AS (SELECT *, {", ".join(f"lag(hit, {k}) OVER w AS h{k}" for k in range(1, 5))} FROM b WINDOW w AS (PARTITION BY ticker ORDER BY idx)), h AS (SELECT * FROM l WHERE h4 IS NOT NULL),
+{fit}, d AS (SELECT ticker, n, ({dq}) / (0.05 * 0.95::DOUBLE) AS dq FROM fit) SELECT ticker, n, round(dq, 5) AS dq, round(exp(-dq / 2) * (1 + dq / 2 + dq * dq / 8), 5) AS p FROM d"""
+
+
 ORACLES = {
     "hamilton_filter": _hamilton_sql(2),
     "hamilton_filter_three": _hamilton_sql(3),
     "predictive_states": f"{_walked(3, False)} SELECT ticker, idx, round(q1, 6) AS p_1, round(q2, 6) AS p_2, round(q3, 6) AS p_3 FROM f",
+    "har_fit": f"""WITH {RETURNS_SQL}, {_SCALED}, {_har_sql("f0", "scaled")}, f AS (SELECT ticker, ln(rv) AS y, ln(rv_d) AS d, ln(rv_w) AS w, ln(rv_m) AS m FROM f0 WHERE rv > 0 AND rv_d > 0), {_solved_sql("fit", "f", ["1.0::DOUBLE", "d", "w", "m"], "y")}
+SELECT ticker, n, round(b0, 6) AS b0, round(b1, 6) AS b_d, round(b2, 6) AS b_w, round(b3, 6) AS b_m FROM fit""",
+    "dynamic_quantile": _dq_sql(),
+    "har_synthetic": _har_synthetic_sql(),
     "path_anderson_darling": f"{_ad_sql()} SELECT ticker, path_id, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(ks, 5) AS ks, round(a2, 5) AS a2, round(z, 5) AS z, round(p, 5) AS p FROM ad",
     "path_ad_pass": f"{_ad_sql()} SELECT ticker, count(*) AS paths, round(avg(z), 5) AS mean_z, round(avg(CASE WHEN p > 0.05 THEN 1.0 ELSE 0 END), 5) AS pass_rate FROM ad GROUP BY ticker",
     "archive_windows": f'WITH {_drawn_sql()} SELECT ticker, id AS "window", pos, round(g, 6) AS g FROM drawn',

@@ -105,11 +105,6 @@ def kendall_tau(spark, sf_dir):
     return rounded(dependence.kendall_tau(returns(spark, sf_dir)), 9)
 
 
-def kendall_tau_small(spark, sf_dir):
-    """The dates before 1996 only; kendall_tau has all."""
-    return rounded(dependence.kendall_tau(returns(spark, sf_dir).where("dt < date'1996-01-01'")), 9)
-
-
 def asof_previous(spark, sf_dir):
     days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("dt")).distinct()
     return rounded(previous_value(days, bars(spark, sf_dir).where("ticker = 'A'").select("dt", "vwap"), "dt", "vwap"))
@@ -129,7 +124,7 @@ def walk_forward_folds(spark, sf_dir):
 
 
 _NAMES = """ks_two_sample wasserstein1 hellinger var_es var_breaches coverage_tests garch_ll_fold gjr_fold egarch_fold forward_filter_fold caviar_path garch_grid
-bootstrap_paths_hash laplace_paths_hash markov_walk_hash crps_ensemble quantile_coverage auc_tied_rank kendall_tau kendall_tau_small asof_previous vendor_overlap_diff walk_forward_folds""".split()
+bootstrap_paths_hash laplace_paths_hash markov_walk_hash crps_ensemble quantile_coverage auc_tied_rank kendall_tau asof_previous vendor_overlap_diff walk_forward_folds""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _PAIRS = f"""{RETURNS_SQL}, n AS (SELECT DISTINCT ticker FROM returns), pairs AS (SELECT x.ticker AS a, y.ticker AS b FROM n x JOIN n y ON x.ticker < y.ticker),
@@ -213,9 +208,6 @@ b AS (SELECT i, quantile_cont(q[i], 0.05) AS lo, quantile_cont(q[i], 0.95) AS hi
 SELECT round(avg(CAST(o[i] >= lo AND o[i] <= hi AS DOUBLE)), 6) AS coverage FROM b, o""",
     "auc_tied_rank": """WITH r AS (SELECT l_returnflag = 'R' AS p, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem)
 SELECT round((sum(r) FILTER (p) - count(*) FILTER (p) * (count(*) FILTER (p) + 1) / 2) / (count(*) FILTER (p) * count(*) FILTER (NOT p)), 9) AS auc FROM r""",
-    "kendall_tau_small": f"""WITH {RETURNS_SQL}, m AS (SELECT x.ticker AS a, y.ticker AS b, x.dt, x.g AS x, y.g AS y FROM returns x JOIN returns y ON x.dt = y.dt AND x.ticker < y.ticker WHERE x.dt < DATE '1996-01-01'),
-p AS (SELECT i.a, i.b, sum(sign(i.x - j.x) * sign(i.y - j.y)) AS s, count(*) FILTER (i.x <> j.x) AS nx, count(*) FILTER (i.y <> j.y) AS ny FROM m i JOIN m j ON i.a = j.a AND i.b = j.b AND i.dt < j.dt GROUP BY 1, 2),
-k AS (SELECT a, b, count(*) AS n FROM m GROUP BY 1, 2) SELECT a, b, n, round(s / sqrt(nx * ny), 9) AS tau FROM p JOIN k USING (a, b)""",
     "asof_previous": f"""WITH {BARS_SQL}, d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dt FROM orders), a AS (SELECT dt, vwap FROM bars WHERE ticker = 'A')
 SELECT d.dt, round(arg_max(a.vwap, a.dt), 6) AS vwap FROM d LEFT JOIN a ON a.dt < d.dt GROUP BY d.dt""",
     "vendor_overlap_diff": f"""WITH {BARS_SQL}, j AS (SELECT x.dt, (x.vwap - y.vwap) / y.vwap AS d, ln(x.vwap / lag(x.vwap) OVER (ORDER BY x.dt)) - ln(y.vwap / lag(y.vwap) OVER (ORDER BY x.dt)) AS r FROM bars x JOIN bars y ON x.dt = y.dt AND x.ticker = 'A' AND y.ticker = 'R')
