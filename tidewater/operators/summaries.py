@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def group_rollup(scores: DataFrame, groups: DataFrame, limit: float, score: str = "score") -> DataFrame:
-    """Per group of a dimension (ticker, grp): members, median, the worst (largest) member, members over the limit and their share."""
-    rows = scores.join(F.broadcast(groups), "ticker")
-    failed = F.count_if(F.col(score) > limit)
-    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.median(score).alias("median"), F.max_by("ticker", F.struct(score, "ticker")).alias("worst"), F.max(score).alias("worst_score"), failed.alias("failures"), (failed / F.count("*")).alias("failure_rate"))
+def group_rollup(scores: DataFrame, groups: DataFrame, limit: float, score: str = "score", worst_is_least: bool = True) -> DataFrame:
+    """Per group of a dimension (ticker, grp): members, median, the worst member, members beyond the limit and their share.
+
+    The worst member is the smallest and failures are below the limit, or the other way round.
+    """
+    rows = scores.join(groups, "ticker")
+    failed = F.count_if(F.col(score) < limit if worst_is_least else F.col(score) > limit)
+    by, of = (F.min_by, F.min) if worst_is_least else (F.max_by, F.max)
+    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.median(score).alias("median"), by("ticker", F.struct(score, "ticker")).alias("worst"), of(score).alias("worst_score"), failed.alias("failures"), (failed / F.count("*")).alias("failure_rate"))
 
 
 def five_stats(rows: DataFrame, key: str, x: str) -> DataFrame:
@@ -82,12 +86,24 @@ def vol_target(rows: DataFrame, target: float = 0.15, least: float = 0.1, most:
     return out.withColumn("sharpe", F.when(F.col("ann_vol") > 0, F.col("ann_ret") / F.col("ann_vol")).otherwise(0.0))
 
 
-def dominant_share(rows: DataFrame, key: str, x: str, share: float = 0.5) -> DataFrame:
-    """How many of a key's largest |x| it takes to make up `share` of their sum, and the largest one's share."""
+def dominant_share(rows: DataFrame, key: str, x: str) -> DataFrame:
+    """The share of a key's largest |x| in their sum, how many of the largest reach 95 and 99 %, and how many have over 1 %."""
     all_ = Window.partitionBy(key)
     upto = all_.orderBy(F.desc(F.abs(x)), "member").rowsBetween(Window.unboundedPreceding, 0)
-    part = rows.withColumn("cum", F.sum(F.abs(x)).over(upto) / F.nullif(F.sum(F.abs(x)).over(all_), F.lit(0.0))).withColumn("top", F.abs(x) / F.nullif(F.sum(F.abs(x)).over(all_), F.lit(0.0)))
-    return part.groupBy(key).agg(F.count("*").alias("n"), (F.count_if(F.col("cum") < share) + 1).alias("members"), F.max("top").alias("top_share"))
+    total = F.nullif(F.sum(F.abs(x)).over(all_), F.lit(0.0))
+    part = rows.withColumn("cum", F.sum(F.abs(x)).over(upto) / total).withColumn("top", F.abs(x) / total)
+    reach = lambda share: F.least(F.count("*"), F.count_if(F.col("cum") < share) + 1)
+    return part.groupBy(key).agg(F.count("*").alias("n"), F.max("top").alias("top_share"), reach(0.95).alias("n_for_95"), reach(0.99).alias("n_for_99"), F.count_if(F.col("top") > 0.01).alias("n_above_1pct"))
+
+
+def correlation_gaps(observed: DataFrame, paths: DataFrame) -> DataFrame:
+    """Over paths (ticker, path_id, t, g): mean and deviation of the Frobenius distance of their correlations to the observed (a, b, rho), and the mean error off the diagonal."""
+    a = paths.select("path_id", "t", F.col("ticker").alias("a"), F.col("g").alias("x"))
+    both = a.join(paths.select("path_id", "t", F.col("ticker").alias("b"), F.col("g").alias("y")), ["path_id", "t"]).where("a < b")
+    made = both.groupBy("path_id", "a", "b").agg(F.corr("x", "y").alias("made")).join(observed.select("a", "b", "rho"), ["a", "b"])
+    gap = F.col("made") - F.col("rho")
+    each = made.groupBy("path_id").agg(F.sqrt(2 * F.sum(gap * gap)).alias("f"), F.avg(F.abs(gap)).alias("m"))
+    return each.agg(F.count("*").alias("paths"), F.avg("f").alias("frobenius_mean"), F.stddev_samp("f").alias("frobenius_sd"), F.avg("m").alias("mae"))
 
 
 def binomial_two_sided(counts: DataFrame, p: float) -> DataFrame:

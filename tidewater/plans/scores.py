@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import likelihoods, linear, pooled, risk, scans, signatures, tiles, timeseries, windowing
+from tidewater.operators import likelihoods, linear, pooled, resampling, risk, scans, signatures, tiles, timeseries, windowing
 from tidewater.plans.panel import RETURNS_SQL, returns, rounded
 from tidewater.plans.reports import MOVE, SIGMA, _paths, _scaled
 from tidewater.plans.validation import _boot, _uniform
@@ -106,6 +106,23 @@ def har_synthetic(spark, sf_dir):
     return rounded(got[0].unionByName(got[1]), 5)
 
 
+RESAMPLES, LENGTHS = 20, (5, 10, 20)
+
+
+def bootstrap_kurtosis(spark, sf_dir):
+    """Median and 95 % interval of the excess kurtosis over stationary block resamples, by mean block length."""
+    r = returns(spark, sf_dir)
+    found = [resampling.interval(resampling.resampled_kurtosis(r, resampling.blocks(r, RESAMPLES, n)), "kurt", (0.025, 0.5, 0.975)).withColumn("mean_length", F.lit(n)) for n in LENGTHS]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]), 4)
+
+
+def bootstrap_ks_critical(spark, sf_dir):
+    """95 % quantile of the distance of stationary block resamples to their series, by mean block length."""
+    r = returns(spark, sf_dir)
+    found = [resampling.interval(resampling.resampled_ks(r, resampling.blocks(r, RESAMPLES, n)), "ks", (0.5, 0.95)).withColumn("mean_length", F.lit(n)) for n in LENGTHS]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]))
+
+
 def _walked(k: int, variances: bool) -> str:
     """Recursive rows f of a filter: predictions q, probabilities p, with variances of their own (s) or fixed ones."""
     omega, alpha, beta, move, mu = REGIMES[k] if variances else ([], [], [], MOVE, 0.0)
@@ -204,6 +221,22 @@ b AS (SELECT ticker, idx, var, CAST(g < var AS INTEGER) - 0.05::DOUBLE AS hit FR
 {fit}, d AS (SELECT ticker, n, ({dq}) / (0.05 * 0.95::DOUBLE) AS dq FROM fit) SELECT ticker, n, round(dq, 5) AS dq, round(exp(-dq / 2) * (1 + dq / 2 + dq * dq / 8), 5) AS p FROM d"""
 
 
+def _hashed(p: str, t: str, seed: int) -> str:
+    """SQL of hash_uniform."""
+    m = 2147483647
+    h = f"(({p}) * 1103515245 + ({t}) * 69069069 + {seed * 40692 + 12345}) % {m}"
+    return f"list_transform([{h}], lambda h: (list_transform([list_transform([(h * h + h * 48271 + 7) % {m}], lambda k: (k * 16807 + ({t})) % {m})[1]], lambda k: (k * k + k * 69621 + 11) % {m})[1] + 0.5::DOUBLE) / {m}::DOUBLE)[1]"
+
+
+def _resampled_sql(select: str) -> str:
+    """Copied resamples, step by step; select: from boots (ticker, mean_length, b, g)."""
+    return f"""WITH {RETURNS_SQL}, lens AS (SELECT unnest([{", ".join(map(str, LENGTHS))}]) AS mean_length), z AS (SELECT ticker, count(*) AS n FROM returns GROUP BY ticker),
+bt AS (SELECT ticker, mean_length, n, b, unnest(range(1, n + 1)) AS t FROM (SELECT *, unnest(range(1, {RESAMPLES + 1})) AS b FROM z, lens)),
+uu AS (SELECT *, CASE WHEN t = 1 OR {_hashed("b", "t", 2)} < 1 / CAST(mean_length AS DOUBLE) THEN t END AS begun, CAST(floor({_hashed("b", "t", 3)} * n) AS BIGINT) AS start FROM bt),
+ff AS (SELECT ticker, mean_length, b, n, t, last_value(begun IGNORE NULLS) OVER w AS first, last_value(CASE WHEN begun IS NOT NULL THEN start END IGNORE NULLS) OVER w AS start FROM uu WINDOW w AS (PARTITION BY ticker, mean_length, b ORDER BY t)),
+boots AS (SELECT ff.ticker, mean_length, b, r.g FROM ff JOIN returns r ON r.ticker = ff.ticker AND r.idx = 1 + (ff.start + t - ff.first) % n), {select}"""
+
+
 ORACLES = {
     "hamilton_filter": _hamilton_sql(2),
     "hamilton_filter_three": _hamilton_sql(3),
@@ -211,6 +244,10 @@ ORACLES = {
     "har_fit": f"""WITH {RETURNS_SQL}, {_SCALED}, {_har_sql("f0", "scaled")}, f AS (SELECT ticker, ln(rv) AS y, ln(rv_d) AS d, ln(rv_w) AS w, ln(rv_m) AS m FROM f0 WHERE rv > 0 AND rv_d > 0), {_solved_sql("fit", "f", ["1.0::DOUBLE", "d", "w", "m"], "y")}
 SELECT ticker, n, round(b0, 6) AS b0, round(b1, 6) AS b_d, round(b2, 6) AS b_w, round(b3, 6) AS b_m FROM fit""",
     "dynamic_quantile": _dq_sql(),
+    "bootstrap_kurtosis": _resampled_sql("k AS (SELECT ticker, mean_length, b, (kurtosis_pop(g) + 3) * ((count(*) - 1) / count(*)::DOUBLE) ** 2 - 3 AS k FROM boots GROUP BY ALL) SELECT ticker, CAST(mean_length AS INTEGER) AS mean_length, count(*) AS resamples, round(quantile_cont(k, 0.025), 4) AS q025, round(quantile_cont(k, 0.5), 4) AS q500, round(quantile_cont(k, 0.975), 4) AS q975 FROM k GROUP BY ALL"),
+    "bootstrap_ks_critical": _resampled_sql("""c AS (SELECT ticker, mean_length, b, x, sum(p) AS p, sum(q) AS q FROM (SELECT ticker, mean_length, b, g AS x, 1 AS p, 0 AS q FROM boots UNION ALL SELECT ticker, mean_length, b, g, 0, 1 FROM (SELECT DISTINCT ticker, mean_length, b FROM boots) JOIN returns USING (ticker)) GROUP BY ALL),
+e AS (SELECT ticker, mean_length, b, abs(sum(p) OVER o / sum(p) OVER w - sum(q) OVER o / sum(q) OVER w) AS gap FROM c WINDOW w AS (PARTITION BY ticker, mean_length, b), o AS (PARTITION BY ticker, mean_length, b ORDER BY x)),
+k AS (SELECT ticker, mean_length, b, max(gap) AS k FROM e GROUP BY ALL) SELECT ticker, CAST(mean_length AS INTEGER) AS mean_length, count(*) AS resamples, round(quantile_cont(k, 0.5), 6) AS q500, round(quantile_cont(k, 0.95), 6) AS q950 FROM k GROUP BY ALL"""),
     "har_synthetic": _har_synthetic_sql(),
     "path_anderson_darling": f"{_ad_sql()} SELECT ticker, path_id, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(ks, 5) AS ks, round(a2, 5) AS a2, round(z, 5) AS z, round(p, 5) AS p FROM ad",
     "path_ad_pass": f"{_ad_sql()} SELECT ticker, count(*) AS paths, round(avg(z), 5) AS mean_z, round(avg(CASE WHEN p > 0.05 THEN 1.0 ELSE 0 END), 5) AS pass_rate FROM ad GROUP BY ticker",

@@ -12,7 +12,7 @@ def daily_prices(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, dt, close) of a vendor's daily CSV: price over its adjustment factor, one row per ticker and date (lowest number)."""
     rows = spark.read.schema(DAILY).option("header", True).csv(path)
     first = rows.groupBy(F.col("Ticker").alias("ticker"), F.col("DlyCalDt").alias("dt")).agg(F.min_by(F.struct("DlyPrc", "DlyFacPrc"), "PERMNO").alias("r"))
-    return first.select("ticker", "dt", F.try_divide(F.abs("r.DlyPrc"), F.col("r.DlyFacPrc")).alias("close"))
+    return first.select("ticker", "dt", F.try_divide(F.col("r.DlyPrc"), F.col("r.DlyFacPrc")).alias("close"))
 
 
 def index_levels(spark: SparkSession, path: str) -> DataFrame:
