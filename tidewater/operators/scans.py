@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.special import let
+
 SIZE = 128
 
 
@@ -21,11 +23,6 @@ def segmented(rows: DataFrame, *values: str, size: int = SIZE) -> DataFrame:
     return rows.groupBy("ticker", F.expr(f"(idx - 1) div {size}").alias("seg")).agg(F.array_sort(F.collect_list(F.struct("idx", *values))).alias("v"))
 
 
-def let(value: str, name: str, then: str) -> str:
-    """An expression of a value that is worked out once."""
-    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
-
-
 def _rows(first: str, step: str, row: str, kind: str) -> str:
     """Array of `row` at every element e of v, of the state s.a before it."""
     none = f"cast(array() as array<{kind}>)"

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import likelihoods, linear, pooled, resampling, risk, scans, signatures, tiles, timeseries, windowing
-from tidewater.plans.panel import RETURNS_SQL, returns, rounded
+from tidewater.functions import dists, special
+from tidewater.operators import likelihoods, linear, logsums, mixture, pooled, resampling, risk, scans, signatures, sojourn, stats, tiles, timeseries, windowing
+from tidewater.plans.panel import BINS_SQL, RETURNS_SQL, returns, rounded
 from tidewater.plans.reports import MOVE, SIGMA, _paths, _scaled
 from tidewater.plans.validation import _boot, _uniform
 
+#: Degrees of freedom of the t mixture, the normal's 5 % quantile, shapes of the generalised error distributions.
+NU, NORMAL_05, SHAPES = 5.0, -1.6448536269514722, (1.0, 1.3, 2.0)
 #: Parameters of the filters with two and three regimes: (omega, alpha, beta), moves, mean.
 REGIMES = {
     2: ([0.05, 0.4], [0.05, 0.1], [0.85, 0.8], [[0.97, 0.03], [0.06, 0.94]], 0.01),
@@ -123,6 +126,62 @@ def bootstrap_ks_critical(spark, sf_dir):
     return rounded(found[0].unionByName(found[1]).unionByName(found[2]))
 
 
+def _runs(spark, sf_dir):
+    return stats.state_runs(stats.ordinal_bins(returns(spark, sf_dir), 5)).withColumnRenamed("bin", "state")
+
+
+def sojourn_families(spark, sf_dir):
+    """Negative binomial or truncated Pareto for the stays in each state, by likelihood."""
+    return rounded(sojourn.sojourn_families(_runs(spark, sf_dir)), 5)
+
+
+def pareto_table(spark, sf_dir):
+    return rounded(sojourn.pareto_table(sojourn.sojourn_families(_runs(spark, sf_dir))))
+
+
+def ged_deviations(spark, sf_dir):
+    """Deviation implied by the likeliest scale of a generalised error distribution around 0, for three shapes."""
+    rows = _scaled(spark, sf_dir).withColumn("shape", F.explode(F.array(*[F.lit(p) for p in SHAPES])))
+    fits = rows.groupBy("ticker", "shape").agg(F.pow(F.first("shape") * F.avg(F.pow(F.abs("g"), F.col("shape"))), 1 / F.first("shape")).alias("scale"))
+    return rounded(fits.withColumn("deviation", F.expr(special.ged_deviation("scale", "shape"))))
+
+
+def log_sum_exp(spark, sf_dir):
+    return rounded(logsums.log_sum_exp(returns(spark, sf_dir)))
+
+
+def rolling_log_sum_exp(spark, sf_dir):
+    return rounded(logsums.rolling_log_sum_exp(returns(spark, sf_dir), 20))
+
+
+def _grid(family: str) -> tuple[float, float]:
+    """Ends of the grid: the least and largest quantile of any state at 0.0001 and 0.9999."""
+    q = dists.quantile(family, 0.9999, NU) * max(SIGMA)
+    return -q, q
+
+
+def _mixture_var(spark, sf_dir, family: str):
+    low, high = _grid(family)
+    cdf = {"normal": special.normal_cdf, "t": lambda x: special.t_cdf(x, NU)}[family]
+    rows = likelihoods.filtered_states(_scaled(spark, sf_dir), MOVE, SIGMA)
+    got = mixture.grid_var(rows, "pred", [lambda x, s=s: cdf(f"({x} / {s!r}D)") for s in SIGMA], low, high, 0.05)
+    return rounded(got.select("ticker", "idx", "var", (F.col("x") < F.col("var")).alias("breach")))
+
+
+def mixture_var_normal(spark, sf_dir):
+    """5 % value at risk of every step under its predicted mixture of normal states."""
+    return _mixture_var(spark, sf_dir, "normal")
+
+
+def mixture_var_t(spark, sf_dir):
+    return _mixture_var(spark, sf_dir, "t")
+
+
+def decoded_state_var(spark, sf_dir):
+    """5 % value at risk of the decoded state, from its autoregression and from its still distribution."""
+    return rounded(mixture.decoded_state_var(stats.ordinal_bins(returns(spark, sf_dir), 5), NORMAL_05), 5)
+
+
 def _walked(k: int, variances: bool) -> str:
     """Recursive rows f of a filter: predictions q, probabilities p, with variances of their own (s) or fixed ones."""
     omega, alpha, beta, move, mu = REGIMES[k] if variances else ([], [], [], MOVE, 0.0)
@@ -237,6 +296,28 @@ ff AS (SELECT ticker, mean_length, b, n, t, last_value(begun IGNORE NULLS) OVER
 boots AS (SELECT ff.ticker, mean_length, b, r.g FROM ff JOIN returns r ON r.ticker = ff.ticker AND r.idx = 1 + (ff.start + t - ff.first) % n), {select}"""
 
 
+_FITS = f"""{BINS_SQL}, ch AS (SELECT ticker, idx, bin, CASE WHEN bin = lag(bin) OVER (PARTITION BY ticker ORDER BY idx) THEN 0 ELSE 1 END AS new FROM binned), rn AS (SELECT ticker, bin AS state, count(*) AS length FROM (SELECT *, sum(new) OVER (PARTITION BY ticker ORDER BY idx) AS run FROM ch) GROUP BY ticker, run, bin),
+mo AS (SELECT ticker, state, count(*) AS k, avg(length) AS m, var_samp(length) AS v, min(length) AS d_min, greatest(2 * max(length), 100) AS d_max, sum(ln(length)) - count(*) * ln(min(length)) AS gaps FROM rn GROUP BY 1, 2),
+pm AS (SELECT ticker, state, k, d_min, d_max, CASE WHEN k >= 3 AND v > m THEN greatest(0.1, m * m / (v - m)) END AS r, CASE WHEN k >= 3 AND v > m THEN least(1 - 1e-6, greatest(1e-6, m / v)) ELSE 1 / greatest(m, 1) END AS p, least(5, greatest(0.3, CASE WHEN gaps > 1e-12 THEN k / gaps ELSE 1.5 END)) AS alpha FROM mo),
+pz AS (SELECT *, ln(list_sum(list_transform(range(d_min, d_max + 1), lambda d: CAST(d AS DOUBLE) ** (-alpha - 1)))) AS ln_z FROM pm),
+ll AS (SELECT ticker, state, sum(CASE WHEN r IS NULL THEN length * CASE WHEN p < 1 THEN ln(1 - p) ELSE CAST('-inf' AS DOUBLE) END + ln(p) ELSE lgamma(length + r) - lgamma(r) - lgamma(length + 1) + r * ln(p) + length * ln(1 - p) END) AS ll_nb, sum((-alpha - 1) * ln(length) - ln_z) AS ll_pareto FROM rn JOIN pz USING (ticker, state) GROUP BY 1, 2)"""
+
+
+def _mixture_sql(family: str) -> str:
+    low, high = _grid(family)
+    if family == "normal":
+        y = "(x / {s}::DOUBLE)"
+        cdf = "0.5 + list_reduce(range(1, 201), lambda a, i: {{'t': a.t * {y} * {y} / (2 * i + 1), 's': a.s + a.t * {y} * {y} / (2 * i + 1)}}, {{'t': {y}, 's': {y}}}).s * exp(-{y} * {y} / 2) / sqrt(2 * pi())"
+    else:
+        y = "(x / {s}::DOUBLE)"
+        z = f"({{y}} * {{y}} / ({NU} + {{y}} * {{y}}))"
+        cdf = f"0.5 + exp(lgamma({(NU + 1) / 2}) - lgamma({NU / 2})) / sqrt(pi() * {NU}) * {{y}} / sqrt(1 + {{y}} * {{y}} / {NU}) * list_reduce(range(1, 1001), lambda a, n: {{{{'c': a.c * (n - {NU / 2}::DOUBLE) / n * {z}, 's': a.s + a.c * (n - {NU / 2}::DOUBLE) / n * {z} / (2 * n + 1)}}}}, {{{{'c': 1.0::DOUBLE, 's': 1.0::DOUBLE}}}}).s"
+    columns = ", ".join(cdf.format(y=y.format(s=s)) + f" AS c{k + 1}" for k, s in enumerate(SIGMA))
+    return f"""{_walked(3, False)}, grid AS (SELECT i, {low!r}::DOUBLE + i * {(high - low) / (mixture.GRID - 1)!r}::DOUBLE AS x FROM (SELECT unnest(range(0, {mixture.GRID})) AS i)), cdf AS (SELECT x, {columns} FROM grid),
+hit AS (SELECT ticker, idx, coalesce(min(cdf.x) FILTER (q1 * c1 + q2 * c2 + q3 * c3 >= 0.05), {high!r}) AS var, any_value(told.x) AS y FROM told, cdf GROUP BY ticker, idx)
+SELECT ticker, idx, round(var, 6) AS var, y < var AS breach FROM hit"""
+
+
 ORACLES = {
     "hamilton_filter": _hamilton_sql(2),
     "hamilton_filter_three": _hamilton_sql(3),
@@ -244,6 +325,19 @@ ORACLES = {
     "har_fit": f"""WITH {RETURNS_SQL}, {_SCALED}, {_har_sql("f0", "scaled")}, f AS (SELECT ticker, ln(rv) AS y, ln(rv_d) AS d, ln(rv_w) AS w, ln(rv_m) AS m FROM f0 WHERE rv > 0 AND rv_d > 0), {_solved_sql("fit", "f", ["1.0::DOUBLE", "d", "w", "m"], "y")}
 SELECT ticker, n, round(b0, 6) AS b0, round(b1, 6) AS b_d, round(b2, 6) AS b_w, round(b3, 6) AS b_m FROM fit""",
     "dynamic_quantile": _dq_sql(),
+    "sojourn_families": f"""WITH {_FITS} SELECT ticker, state, k AS n_runs, round(r, 5) AS nb_r, round(p, 5) AS nb_p, round(alpha, 5) AS pareto_alpha, d_min, d_max, round(ll_nb, 5) AS ll_nb, round(ll_pareto, 5) AS ll_pareto, CASE WHEN k >= 3 AND ll_pareto > ll_nb THEN 'pareto' ELSE 'nb' END AS family FROM pz JOIN ll USING (ticker, state)""",
+    "pareto_table": f"""WITH {_FITS}, t AS (SELECT ticker, state, d, CAST(d AS DOUBLE) ** (-alpha - 1) / exp(ln_z) AS pmf FROM (SELECT *, unnest(range(d_min, d_max + 1)) AS d FROM pz))
+SELECT ticker, state, d, round(pmf, 6) AS pmf, round(sum(pmf) OVER (PARTITION BY ticker, state ORDER BY d), 6) AS cdf, round(sum(d * pmf) OVER (PARTITION BY ticker, state), 6) AS mean FROM t""",
+    "ged_deviations": f"""WITH {RETURNS_SQL}, s AS (SELECT ticker, shape, (shape * avg(abs(g / 100) ** shape)) ** (1 / shape) AS scale FROM returns, (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in SHAPES)}]) AS shape) GROUP BY ticker, shape)
+SELECT ticker, shape, round(scale, 6) AS scale, round(scale * exp(0.5 * (lgamma(3 / shape) - lgamma(1 / shape))), 6) AS deviation FROM s""",
+    "log_sum_exp": f"WITH {RETURNS_SQL}, m AS (SELECT ticker, max(g) AS m FROM returns GROUP BY ticker) SELECT ticker, count(*) AS n, round(any_value(m) + ln(sum(exp(g - m))), 6) AS lse FROM returns JOIN m USING (ticker) GROUP BY ticker",
+    "rolling_log_sum_exp": f"WITH {RETURNS_SQL}, w AS (SELECT ticker, idx, list(g) OVER (PARTITION BY ticker ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS v FROM returns) SELECT ticker, idx, round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 6) AS lse FROM w WHERE idx >= 20",
+    "mixture_var_normal": _mixture_sql("normal"),
+    "mixture_var_t": _mixture_sql("t"),
+    "decoded_state_var": f"""WITH {BINS_SQL}, r AS (SELECT ticker, idx, g, bin AS state, lag(g) OVER o AS b, lag(bin) OVER o AS was FROM binned WINDOW o AS (PARTITION BY ticker ORDER BY idx)),
+p AS (SELECT ticker, state, avg(g) AS mu, stddev_samp(g) AS sd, coalesce(least(0.999, greatest(-0.999, regr_slope(g, b) FILTER (was = state))), 0) AS phi FROM r GROUP BY 1, 2),
+s AS (SELECT ticker, state, any_value(mu) AS mu, any_value(phi) AS phi, coalesce(stddev_samp((g - mu) - phi * (b - mu)) FILTER (was = state), any_value(sd)) AS sigma FROM r JOIN p USING (ticker, state) GROUP BY 1, 2)
+SELECT ticker, idx, round(g, 5) AS g, state, round(mu + phi * (coalesce(b, mu) - mu) + sigma * {NORMAL_05}, 5) AS var_step, round(mu + sigma / sqrt(greatest(1 - phi * phi, 1e-6)) * {NORMAL_05}, 5) AS var_still FROM r JOIN s USING (ticker, state)""",
     "bootstrap_kurtosis": _resampled_sql("k AS (SELECT ticker, mean_length, b, (kurtosis_pop(g) + 3) * ((count(*) - 1) / count(*)::DOUBLE) ** 2 - 3 AS k FROM boots GROUP BY ALL) SELECT ticker, CAST(mean_length AS INTEGER) AS mean_length, count(*) AS resamples, round(quantile_cont(k, 0.025), 4) AS q025, round(quantile_cont(k, 0.5), 4) AS q500, round(quantile_cont(k, 0.975), 4) AS q975 FROM k GROUP BY ALL"),
     "bootstrap_ks_critical": _resampled_sql("""c AS (SELECT ticker, mean_length, b, x, sum(p) AS p, sum(q) AS q FROM (SELECT ticker, mean_length, b, g AS x, 1 AS p, 0 AS q FROM boots UNION ALL SELECT ticker, mean_length, b, g, 0, 1 FROM (SELECT DISTINCT ticker, mean_length, b FROM boots) JOIN returns USING (ticker)) GROUP BY ALL),
 e AS (SELECT ticker, mean_length, b, abs(sum(p) OVER o / sum(p) OVER w - sum(q) OVER o / sum(q) OVER w) AS gap FROM c WINDOW w AS (PARTITION BY ticker, mean_length, b), o AS (PARTITION BY ticker, mean_length, b ORDER BY x)),
