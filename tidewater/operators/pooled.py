@@ -10,6 +10,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.fidelity import ks_p_value
+from tidewater.operators.stats import autocorrelations, path_autocorrelations, sample_excess_kurtosis
+from tidewater.operators.summaries import acf_error
+
 #: Published quantile coefficients of the standardised statistic, by upper tail probability: fixed values.
 _TAILS = (0.25, 0.1, 0.05, 0.025, 0.01, 0.005, 0.001)
 _B0 = (0.675, 1.281, 1.645, 1.96, 2.326, 2.573, 3.085)
@@ -72,3 +76,54 @@ def anderson_darling(statistics: DataFrame) -> DataFrame:
     least = np.array(_B0) + np.array(_B1) + np.array(_B2)
     p = F.when(F.col("z") <= float(least[0]), _TAILS[0]).when(F.col("z") >= float(least[-1]), _TAILS[-1]).otherwise(p)
     return statistics.join(sizes, ["n", "m"]).withColumn("z", (F.col("a2") - 1) / F.sqrt("variance")).withColumn("p", F.when(F.col("z").isNotNull(), p)).drop("variance")
+
+
+def wasserstein(counts: DataFrame, observed: DataFrame) -> DataFrame:
+    """(ticker, path_id, w1): mean gap of sorted values, the longer sample taken at round-half-even(k n / n_min).
+
+    A path's ranks come from its pooled counts; the observed series is ranked once for all paths.
+    """
+    ranked = observed.select("ticker", F.col("g").alias("y"), F.row_number().over(Window.partitionBy("ticker").orderBy("g", "idx")).cast("long").alias("r"))
+    least = F.least("n", "m")
+    lo, hi = F.col("p_upto") - F.col("p") + 1, F.col("p_upto")
+    first = F.greatest(F.lit(1).cast("long"), F.ceil((lo - 0.5) * least / F.col("n")))
+    last = F.least(least, F.floor((hi + 0.5) * least / F.col("n")))
+    rows = counts.where("p > 0").withColumns({"lo": lo, "hi": hi, "least": least, "first": first, "last": last}).where("first <= last")
+    rows = rows.withColumn("k", F.explode(F.sequence("first", "last"))).where(F.bround(F.col("k") * F.col("n") / F.col("least")).between(F.col("lo"), F.col("hi")))
+    rows = rows.withColumn("r", F.bround(F.col("k") * F.col("m") / F.col("least")).cast("long"))
+    return rows.join(ranked, ["ticker", "r"]).groupBy("ticker", "path_id").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("w1"))
+
+
+def hellinger(counts: DataFrame, bins: int = 100, pad: float = 10.0) -> DataFrame:
+    """(ticker, path_id, hellinger) of histograms over `bins` equal bins of each path's pooled range, widened by pad."""
+    whole = Window.partitionBy("ticker", "path_id")
+    rows = counts.withColumns({"low": F.min("x").over(whole) - pad, "high": F.max("x").over(whole) + pad})
+    rows = rows.withColumn("bucket", F.least(F.floor((F.col("x") - F.col("low")) / ((F.col("high") - F.col("low")) / bins)), F.lit(bins - 1)))
+    shares = rows.groupBy("ticker", "path_id", "bucket").agg((F.sum("p") / F.first("n")).alias("a"), (F.sum("q") / F.first("m")).alias("b"))
+    return shares.groupBy("ticker", "path_id").agg(F.sqrt(F.sum((F.sqrt("a") - F.sqrt("b")) ** 2) / 2).alias("hellinger"))
+
+
+def quantile_coverage(paths: DataFrame, observed: DataFrame, n: int = 99) -> DataFrame:
+    """(ticker, coverage): share of n observed quantiles within the paths' own 5 % - 95 % band."""
+    probs = F.array(*[F.lit(i / (n + 1)) for i in range(1, n + 1)])
+    made = paths.groupBy("ticker", "path_id").agg(F.percentile("g", probs).alias("q")).select("ticker", F.posexplode("q").alias("i", "q"))
+    band = made.groupBy("ticker", "i").agg(F.percentile("q", F.array(F.lit(0.05), F.lit(0.95))).alias("b"))
+    seen = observed.groupBy("ticker").agg(F.percentile("g", probs).alias("q")).select("ticker", F.posexplode("q").alias("i", "y"))
+    return band.join(seen, ["ticker", "i"]).groupBy("ticker").agg(F.avg(F.col("y").between(F.col("b")[0], F.col("b")[1]).cast("double")).alias("coverage"))
+
+
+def path_panel(paths: DataFrame, observed: DataFrame, lags: int) -> DataFrame:
+    """A row for each ticker: the seven scores of its paths. One pooled relation feeds both rank tests, the distance and the histograms."""
+    counts = pooled_counts(paths, observed)
+    ranks = anderson_darling(rank_statistics(counts)).withColumn("ks_p", ks_p_value(F.col("ks"), F.col("n"), F.col("m")))
+    passed = lambda p: F.avg(F.coalesce(F.col(p) > 0.05, F.lit(False)).cast("double"))
+    tests = ranks.groupBy("ticker").agg(F.count("*").alias("paths"), passed("ks_p").alias("ks_pass"), passed("p").alias("ad_pass"))
+    w1 = wasserstein(counts, observed).groupBy("ticker").agg(F.avg("w1").alias("w1"))
+    bins = hellinger(counts).groupBy("ticker").agg(F.avg("hellinger").alias("hellinger"))
+    kurtosis = paths.groupBy("ticker", "path_id").agg(sample_excess_kurtosis().alias("k")).groupBy("ticker").agg(F.avg("k").alias("kurtosis"))
+    acf = path_autocorrelations(paths.withColumn("g", F.abs("g")), lags)
+    errors = acf_error(acf, autocorrelations(observed.withColumn("g", F.abs("g")), lags)).select("ticker", F.col("mean_of_mae").alias("acf_mae"))
+    got = tests
+    for part in (w1, bins, kurtosis, errors, quantile_coverage(paths, observed)):
+        got = got.join(part, "ticker")
+    return got

@@ -35,6 +35,12 @@ def autocorrelations(returns: DataFrame, lags: int, x: str = X) -> DataFrame:
     return held.where("k < size(d)").select("ticker", F.col("k").alias("lag"), F.try_divide(num, den).alias("rho"))
 
 
+def path_autocorrelations(paths: DataFrame, lags: int) -> DataFrame:
+    """(ticker, path, lag, rho) of every path (ticker, path_id, t, g)."""
+    rows = paths.select(F.struct("ticker", "path_id").alias("ticker"), F.col("t").alias("idx"), "g")
+    return autocorrelations(rows, lags).select("ticker.ticker", F.col("ticker.path_id").alias("path"), "lag", "rho")
+
+
 def ljung_box(returns: DataFrame, lags: int = 20, x: str = X) -> DataFrame:
     """n (n + 2) sum of rho_k^2 / (n - k)."""
     n = returns.groupBy("ticker").agg(F.count(x).alias("n"))

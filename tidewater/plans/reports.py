@@ -180,10 +180,8 @@ def path_kurtosis(spark, sf_dir):
 
 
 def _path_acf(spark, sf_dir, size: bool = False):
-    g = F.abs("g") if size else F.col("g")
-    rows = _paths(spark, sf_dir).select(F.concat_ws("/", "ticker", "path_id").alias("ticker"), F.col("t").alias("idx"), g.alias("g"))
-    parts = F.split("ticker", "/")
-    return stats.autocorrelations(rows, 5).select(parts[0].alias("ticker"), parts[1].alias("path"), "lag", "rho")
+    paths = _paths(spark, sf_dir)
+    return stats.path_autocorrelations(paths.withColumn("g", F.abs("g")) if size else paths, 5)
 
 
 def path_acf_error(spark, sf_dir):

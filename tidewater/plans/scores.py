@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import dists, special
 from tidewater.operators import likelihoods, linear, logsums, mixture, pooled, resampling, risk, scans, signatures, sojourn, stats, tiles, timeseries, windowing
 from tidewater.plans.panel import BINS_SQL, RETURNS_SQL, returns, rounded
-from tidewater.plans.reports import MOVE, SIGMA, _paths, _scaled
+from tidewater.plans.reports import _KS_SQL, MOVE, SIGMA, _acf_error_sql, _paths, _scaled
 from tidewater.plans.validation import _boot, _uniform
 
 #: Degrees of freedom of the t mixture, the normal's 5 % quantile, shapes of the generalised error distributions.
@@ -51,6 +51,11 @@ def path_ad_pass(spark, sf_dir):
     return rounded(got.groupBy("ticker").agg(F.count("*").alias("paths"), F.avg("z").alias("mean_z"), F.avg(passed).alias("pass_rate")), 5)
 
 
+def path_panel(spark, sf_dir):
+    """Rank tests, distances, kurtosis, clustering and coverage of all paths of a ticker."""
+    return rounded(pooled.path_panel(_paths(spark, sf_dir), returns(spark, sf_dir), 5), 5)
+
+
 def _archive(spark, sf_dir):
     return tiles.archive_windows(_paths(spark, sf_dir), 20, 100, 20, 50)
 
@@ -221,6 +226,24 @@ z AS (SELECT st.*, (a2 - 1) / sqrt(v) AS z FROM st JOIN vs USING (n, m)),
 ad AS (SELECT *, CASE WHEN z <= {low!r} THEN 0.25 WHEN z >= {high!r} THEN 0.001 ELSE exp({c2!r} * z * z + {c1!r} * z + {c0!r}) END AS p FROM z)"""
 
 
+def _panel_sql() -> str:
+    acf = _acf_error_sql("abs(g)").removeprefix("WITH ").partition("pa AS")[2]
+    acf, _, last = ("pa AS" + acf).rpartition("\nSELECT ticker, round(a, 6)")
+    probs = ", ".join(str(i / 100) for i in range(1, 100))
+    return f"""{_ad_sql()}, b AS (SELECT ticker, path_id, t AS i, abs(g) AS g FROM boot), o AS (SELECT ticker, idx AS i, abs(g) AS g FROM returns), {acf},
+kp AS (SELECT ticker, path_id, ks, CAST(n AS DOUBLE) AS n, CAST(m AS DOUBLE) AS m FROM st), kr AS (SELECT ticker, avg(CASE WHEN {_KS_SQL} > 0.05 THEN 1.0 ELSE 0 END) AS ks_pass FROM kp GROUP BY ticker),
+ar AS (SELECT ticker, count(*) AS paths, avg(CASE WHEN p > 0.05 THEN 1.0 ELSE 0 END) AS ad_pass FROM ad GROUP BY ticker),
+br AS (SELECT ticker, path_id, g, row_number() OVER (PARTITION BY ticker, path_id ORDER BY g) AS r, count(*) OVER (PARTITION BY ticker, path_id) AS n FROM boot), rr AS (SELECT ticker, g, row_number() OVER (PARTITION BY ticker ORDER BY g) AS r, count(*) OVER (PARTITION BY ticker) AS m FROM returns),
+sk AS (SELECT ticker, path_id, n, m, unnest(range(1, least(n, m) + 1)) AS k FROM (SELECT DISTINCT br.ticker, path_id, n, m FROM br JOIN rr USING (ticker))),
+wp AS (SELECT sk.ticker, sk.path_id, avg(abs(br.g - rr.g)) AS w FROM sk JOIN br ON br.ticker = sk.ticker AND br.path_id = sk.path_id AND br.r = round_even(k * sk.n / least(sk.n, sk.m), 0) JOIN rr ON rr.ticker = sk.ticker AND rr.r = round_even(k * sk.m / least(sk.n, sk.m), 0) GROUP BY 1, 2),
+he AS (SELECT *, min(x) OVER w - 10 AS lo, max(x) OVER w + 10 AS hi FROM t WINDOW w AS (PARTITION BY ticker, path_id)), hb AS (SELECT ticker, path_id, least(floor((x - lo) / ((hi - lo) / 100)), 99) AS bucket, sum(p) / any_value(n) AS a, sum(q) / any_value(m) AS c FROM he GROUP BY ALL),
+hp AS (SELECT ticker, path_id, sqrt(sum((sqrt(a) - sqrt(c)) ** 2) / 2) AS h FROM hb GROUP BY 1, 2),
+ku AS (SELECT ticker, path_id, (kurtosis_pop(g) + 3) * ((count(*) - 1) / count(*)::DOUBLE) ** 2 - 3 AS k FROM boot GROUP BY 1, 2),
+qi AS (SELECT unnest(range(1, 100)) AS i), qp AS (SELECT ticker, path_id, quantile_cont(g, [{probs}]) AS q FROM boot GROUP BY 1, 2), qb AS (SELECT ticker, i, quantile_cont(q[i], 0.05) AS lo, quantile_cont(q[i], 0.95) AS hi FROM qp, qi GROUP BY 1, 2), qo AS (SELECT ticker, quantile_cont(g, [{probs}]) AS q FROM returns GROUP BY ticker),
+co AS (SELECT ticker, avg(CASE WHEN q[i] BETWEEN lo AND hi THEN 1.0 ELSE 0 END) AS coverage FROM qb JOIN qo USING (ticker) GROUP BY ticker)
+SELECT ticker, paths, round(ks_pass, 5) AS ks_pass, round(ad_pass, 5) AS ad_pass, round((SELECT avg(w) FROM wp WHERE wp.ticker = ar.ticker), 5) AS w1, round((SELECT avg(h) FROM hp WHERE hp.ticker = ar.ticker), 5) AS hellinger, round((SELECT avg(k) FROM ku WHERE ku.ticker = ar.ticker), 5) AS kurtosis, round((SELECT avg(e) FROM e WHERE e.ticker = ar.ticker), 5) AS acf_mae, round(coverage, 5) AS coverage FROM ar JOIN kr USING (ticker) JOIN co USING (ticker)"""
+
+
 _SEEN = "seen AS (SELECT ticker, w + 1 AS id, idx - 15 * w AS pos, g / 100 AS g FROM (SELECT ticker, unnest(range(0, (n - 20) // 15 + 1)) AS w FROM (SELECT ticker, count(*) AS n FROM returns GROUP BY ticker HAVING count(*) >= 20)) JOIN returns USING (ticker) WHERE idx BETWEEN 15 * w + 1 AND 15 * w + 20)"
 
 
@@ -345,6 +368,7 @@ k AS (SELECT ticker, mean_length, b, max(gap) AS k FROM e GROUP BY ALL) SELECT t
     "har_synthetic": _har_synthetic_sql(),
     "path_anderson_darling": f"{_ad_sql()} SELECT ticker, path_id, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(ks, 5) AS ks, round(a2, 5) AS a2, round(z, 5) AS z, round(p, 5) AS p FROM ad",
     "path_ad_pass": f"{_ad_sql()} SELECT ticker, count(*) AS paths, round(avg(z), 5) AS mean_z, round(avg(CASE WHEN p > 0.05 THEN 1.0 ELSE 0 END), 5) AS pass_rate FROM ad GROUP BY ticker",
+    "path_panel": _panel_sql(),
     "archive_windows": f'WITH {_drawn_sql()} SELECT ticker, id AS "window", pos, round(g, 6) AS g FROM drawn',
     "median_bandwidth": f"WITH {_drawn_sql()}, {_VECTORS} SELECT ticker, round(bandwidth, 6) AS bandwidth FROM band",
     "window_mmd": f"""WITH {_drawn_sql()}, {_VECTORS}, sizes AS (SELECT ticker, count(*) FILTER (side = 0) AS n, count(*) FILTER (side = 1) AS m FROM v GROUP BY ticker),
