@@ -47,26 +47,26 @@ def kendall_tau(returns: DataFrame) -> DataFrame:
     return aligned_pairs(returns).groupBy("a", "b").applyInPandas(run, "a string, b string, n long, tau double")
 
 
-def previous_value(rows: DataFrame, values: DataFrame, at: str, value: str) -> DataFrame:
-    """rows with the last `value` strictly before each `at`: a shuffle by month, carried over months with few rows."""
-    month = F.trunc(at, "month")
-    both = rows.select(at, F.lit(1).alias("side"), F.lit(None).cast("double").alias(value)).unionByName(values.select(at, F.lit(0).alias("side"), F.col(value).cast("double").alias(value))).withColumn("month", month)
+def previous_value(rows: DataFrame, values: DataFrame, at: str, value: str, key: str = "ticker") -> DataFrame:
+    """rows (key, at) with the key's last `value` strictly before each `at`: a shuffle by key and month, carried over the months of a key."""
+    month = F.trunc(at, "month").alias("month")
+    both = rows.select(key, at, month, F.lit(1).alias("side"), F.lit(None).cast("double").alias(value)).unionByName(values.select(key, at, month, F.lit(0).alias("side"), F.col(value).cast("double").alias(value)))
     # the side of the rows sorts first on one day, so that day's own value isn't seen
-    w = Window.partitionBy("month").orderBy(at, F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("found", F.last(value, ignorenulls=True).over(w))
-    last = values.groupBy(F.trunc(at, "month").alias("month")).agg(F.max_by(value, at).alias("last"))
-    months = both.select("month").distinct().join(last, "month", "left")
-    carried = months.withColumn("before", F.last("last", ignorenulls=True).over(Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1))).select("month", "before")
-    return seen.where("side = 1").join(F.broadcast(carried), "month", "left").select(at, F.coalesce("found", "before").alias(value))
+    within = Window.partitionBy(key, "month").orderBy(at, F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("found", F.last(value, ignorenulls=True).over(within))
+    last = both.groupBy(key, "month").agg(F.max_by(value, F.when(F.col("side") == 0, F.col(at))).alias("last"))
+    earlier = Window.partitionBy(key).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(key, "month", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    return seen.where("side = 1").join(carried, [key, "month"], "left").select(key, at, F.coalesce("found", "before").alias(value))
 
 
 def vendor_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Relative price gaps and return gaps of two sources of one series on common dates."""
-    both = a.select("dt", F.col("vwap").alias("x")).join(b.select("dt", F.col("vwap").alias("y")), "dt").withColumn("series", F.lit(1))
+    """Per series: relative price gaps and return gaps of two sources (series, dt, vwap) on common dates."""
+    both = a.select("series", "dt", F.col("vwap").alias("x")).join(b.select("series", "dt", F.col("vwap").alias("y")), ["series", "dt"])
     w = Window.partitionBy("series").orderBy("dt")
     gap, step = (F.col("x") - F.col("y")) / F.col("y"), lambda c: F.log(F.col(c) / F.lag(c).over(w))
     out = both.withColumn("d", gap).withColumn("r", step("x") - step("y"))
-    return out.agg(F.count("*").alias("n"), F.avg("d").alias("mean_gap"), F.stddev_samp("d").alias("sd_gap"), F.max(F.abs("d")).alias("max_gap"), F.stddev_samp("r").alias("sd_return_gap"))
+    return out.groupBy("series").agg(F.count("*").alias("n"), F.avg("d").alias("mean_gap"), F.stddev_samp("d").alias("sd_gap"), F.max(F.abs("d")).alias("max_gap"), F.stddev_samp("r").alias("sd_return_gap"))
 
 
 def nearest_correlation(tau: np.ndarray, floor: float = 1e-8) -> np.ndarray:

@@ -54,26 +54,21 @@ def hellinger(rows: DataFrame, *key: str, bins: int = 100, pad: float = 10.0) ->
 
 
 def crps(paths: DataFrame, observed: DataFrame) -> DataFrame:
-    """Unbiased ensemble CRPS per step: paths (t, path_id, g), observed (t, y)."""
-    w = Window.partitionBy("t")
-    rows = paths.join(F.broadcast(observed), "t").withColumn("i", F.row_number().over(w.orderBy("g", "path_id"))).withColumn("n", F.count("*").over(w))
+    """Unbiased ensemble CRPS per step: paths (ticker, t, path_id, g), observed (ticker, t, y)."""
+    w = Window.partitionBy("ticker", "t")
+    rows = paths.join(observed, ["ticker", "t"]).withColumn("i", F.row_number().over(w.orderBy("g", "path_id"))).withColumn("n", F.count("*").over(w))
     spread = F.sum(F.col("g") * (2 * F.col("i") - F.col("n") - 1)) / (F.first("n") * (F.first("n") - 1))
-    return rows.groupBy("t").agg((F.avg(F.abs(F.col("g") - F.col("y"))) - spread).alias("crps"))
-
-
-def quantile_coverage(paths: DataFrame, observed: DataFrame, n: int = 99) -> DataFrame:
-    """Share of n observed quantiles within the paths' own 5 % - 95 % band."""
-    probs = F.array(*[F.lit(i / (n + 1)) for i in range(1, n + 1)])
-    per = paths.groupBy("path_id").agg(F.percentile("g", probs).alias("q")).select("path_id", F.posexplode("q").alias("i", "q"))
-    band = per.groupBy("i").agg(F.expr("percentile(q, 0.05)").alias("lo"), F.expr("percentile(q, 0.95)").alias("hi"))
-    seen = observed.agg(F.percentile("y", probs).alias("q")).select(F.posexplode("q").alias("i", "y"))
-    return band.join(seen, "i").agg(F.avg(((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("double")).alias("coverage"))
-
-
-def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve by average ranks of ties: counts by score, then a running sum over distinct scores."""
-    by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    return rows.groupBy("ticker", "t").agg((F.avg(F.abs(F.col("g") - F.col("y"))) - spread).alias("crps"))
+
+
+def auc(rows: DataFrame, score: str, positive: str, ranges: int = 1024) -> DataFrame:
+    """Area under the ROC curve by average ranks of ties: counts by score, then running sums within even ranges of scores and over the ranges."""
+    by = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
+    ends = by.agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    by = by.join(F.broadcast(ends)).withColumn("range", F.when(F.col("high") > F.col("low"), F.least(F.lit(ranges - 1), F.floor((F.col("s") - F.col("low")) / (F.col("high") - F.col("low")) * ranges))).otherwise(0))  # one row
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over `ranges` rows at most
+    before = by.groupBy("range").agg(F.sum("n").alias("held")).select("range", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("before"))
+    inner = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(before, "range").withColumn("rank", F.col("before") + F.col("inner") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))).alias("auc"))

@@ -74,7 +74,7 @@ def ordinal_bins(returns: DataFrame, bins: int) -> DataFrame:
     """returns with `bin` from 1: the first k with x below quantile edge k; the last bin takes the rest."""
     edges = returns.groupBy("ticker").agg(F.percentile(X, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
     found = F.size(F.filter("edges", lambda e: e <= F.col(X))) + 1
-    return returns.join(F.broadcast(edges), "ticker").withColumn("bin", found.cast("int")).drop("edges")
+    return returns.join(edges, "ticker").withColumn("bin", found.cast("int")).drop("edges")
 
 
 def transition_matrix(binned: DataFrame, bins: int, state: str = "bin") -> DataFrame:

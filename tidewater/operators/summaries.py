@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.special import lgamma
+
 
 def group_rollup(scores: DataFrame, groups: DataFrame, limit: float, score: str = "score", worst_is_least: bool = True) -> DataFrame:
     """Per group of a dimension (ticker, grp): members, median, the worst member, members beyond the limit and their share.
@@ -18,10 +20,11 @@ def group_rollup(scores: DataFrame, groups: DataFrame, limit: float, score: str
 
 
 def five_stats(rows: DataFrame, key: str, x: str) -> DataFrame:
-    """Median, quartiles as the sorted value at round-half-even(q (n + 1)), mean and sd."""
-    at = lambda q: F.expr(f"element_at(s, cast(greatest(1, least(n, bround({q}D * (n + 1)))) as int))")
-    held = rows.groupBy(key).agg(F.count(x).alias("n"), F.sort_array(F.collect_list(x)).alias("s"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
-    return held.select(key, "n", "median", at(0.25).alias("q1"), at(0.75).alias("q3"), "mean", "sd")
+    """Median, quartiles as the sorted value at round-half-even(q (n + 1)), mean and sd; a key's values are ranked, not gathered."""
+    whole = Window.partitionBy(key)
+    held = rows.where(F.col(x).isNotNull()).select(key, x, F.row_number().over(whole.orderBy(x)).alias("r"), F.count("*").over(whole).alias("n"))
+    at = lambda q: F.max(F.when(F.col("r") == F.greatest(F.lit(1), F.least("n", F.bround(q * (F.col("n") + 1)))), F.col(x)))
+    return held.groupBy(key).agg(F.first("n").alias("n"), F.median(x).alias("median"), at(0.25).alias("q1"), at(0.75).alias("q3"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"))
 
 
 def across(rows: DataFrame, key: str, x: str) -> DataFrame:
@@ -108,8 +111,8 @@ def correlation_gaps(observed: DataFrame, paths: DataFrame) -> DataFrame:
 
 def binomial_two_sided(counts: DataFrame, p: float) -> DataFrame:
     """Exact two-sided test of x breaches in n: the probability of all counts that are at most as likely."""
-    logs = "aggregate(sequence(1, n), array(0D), (s, k) -> array_append(s, element_at(s, -1) + ln(k)))"  # log factorials
-    pmf = f"transform(sequence(0, n), j -> exp(f[n] - f[j] - f[n - j] + j * ln({p}D) + (n - j) * ln(1 - {p}D)))"
-    held = counts.withColumn("n", F.col("n").cast("int")).withColumn("f", F.expr(f"if(n > 0, {logs}, array(0D))")).withColumn("pmf", F.expr(pmf))
+    choose = f"{lgamma('(n + 1D)')} - {lgamma('(j + 1D)')} - {lgamma('(n - j + 1D)')}"
+    pmf = f"transform(sequence(0, n), j -> exp({choose} + j * ln({p}D) + (n - j) * ln(1 - {p}D)))"
+    held = counts.withColumn("n", F.col("n").cast("int")).withColumn("pmf", F.expr(pmf))
     total = "least(1D, aggregate(filter(pmf, q -> q <= pmf[cast(x as int)] + 1e-10D), 0D, (s, q) -> s + q))"
-    return held.withColumn("p_exact", F.expr(total)).drop("f", "pmf")
+    return held.withColumn("p_exact", F.expr(total)).drop("pmf")

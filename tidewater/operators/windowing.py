@@ -61,10 +61,9 @@ def by_priority(key: list[str], *archives: DataFrame) -> DataFrame:
     """One row a key: that of the last archive that has it."""
     merged = None
     for i, a in enumerate(archives):
-        a = a.withColumn("priority", F.lit(i))
+        a = a.select(*key, F.struct(F.lit(i).alias("priority"), F.struct(*[c for c in a.columns if c not in key]).alias("row")).alias("kept"))
         merged = a if merged is None else merged.unionByName(a)
-    w = Window.partitionBy(*key).orderBy(F.desc("priority"))
-    return merged.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place", "priority")
+    return merged.groupBy(*key).agg(F.max_by("kept.row", "kept.priority").alias("row")).select(*key, "row.*")
 
 
 def rank_reordered(values: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import dependence, fidelity, recursions, risk, simulate, stats
+from tidewater.operators import dependence, fidelity, pooled, recursions, risk, simulate, stats
 from tidewater.operators.dependence import previous_value, vendor_overlap
 from tidewater.plans.panel import BARS_SQL, BINS_SQL, RETURNS_SQL, bars, returns, rounded
 
 
 #: Fixed: the grid of (alpha, beta) that GARCH fits start from.
+FOLDS = 6
 GRID = [0.02, 0.05, 0.10, 0.15], [0.70, 0.80, 0.85, 0.90]
 
 
@@ -86,14 +87,13 @@ def markov_walk_hash(spark, sf_dir):
 
 
 def crps_ensemble(spark, sf_dir):
-    paths = simulate.bootstrap_paths(returns(spark, sf_dir), 40, 30).where("ticker = 'A'")
-    observed = returns(spark, sf_dir).where("ticker = 'R'").select(F.col("idx").alias("t"), F.col("g").alias("y"))
-    return rounded(fidelity.crps(paths, observed), 5)
+    """Every ticker's first 30 steps under 40 paths of its own."""
+    observed = returns(spark, sf_dir).select("ticker", F.col("idx").alias("t"), F.col("g").alias("y"))
+    return rounded(fidelity.crps(simulate.bootstrap_paths(returns(spark, sf_dir), 40, 30), observed), 5)
 
 
 def quantile_coverage(spark, sf_dir):
-    paths = simulate.bootstrap_paths(returns(spark, sf_dir), 40, 200).where("ticker = 'A'")
-    return rounded(fidelity.quantile_coverage(paths, returns(spark, sf_dir).where("ticker = 'R'").select(F.col("g").alias("y"))))
+    return rounded(pooled.quantile_coverage(simulate.bootstrap_paths(returns(spark, sf_dir), 40, 200), returns(spark, sf_dir)))
 
 
 def auc_tied_rank(spark, sf_dir):
@@ -106,20 +106,26 @@ def kendall_tau(spark, sf_dir):
 
 
 def asof_previous(spark, sf_dir):
+    """Every ticker's last price before each order date."""
     days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("dt")).distinct()
-    return rounded(previous_value(days, bars(spark, sf_dir).where("ticker = 'A'").select("dt", "vwap"), "dt", "vwap"))
+    held = bars(spark, sf_dir).select("ticker", "dt", "vwap")
+    return rounded(previous_value(held.select("ticker").distinct().join(days), held, "dt", "vwap"))
 
 
 def vendor_overlap_diff(spark, sf_dir):
-    b = bars(spark, sf_dir)
-    return rounded(vendor_overlap(b.where("ticker = 'A'"), b.where("ticker = 'R'")), 7)
+    """Every pair of tickers, taken as two sources of one series."""
+    b = bars(spark, sf_dir).select("ticker", "dt", "vwap")
+    names = b.select("ticker").distinct()
+    pairs = names.select(F.col("ticker").alias("a")).join(names.select(F.col("ticker").alias("b")), F.col("a") < F.col("b")).withColumn("series", F.concat_ws("-", "a", "b"))
+    side = lambda c: b.join(pairs.select(F.col(c).alias("ticker"), "series"), "ticker")
+    return rounded(vendor_overlap(side("a"), side("b")), 7)
 
 
 def walk_forward_folds(spark, sf_dir):
-    folds = spark.createDataFrame([(i, f"{1995 + i}-01-01", f"{1998 + i}-01-01", f"{1999 + i}-01-01") for i in range(3)], "fold int, t0 string, t1 string, t2 string")
-    folds = folds.select("fold", *[F.col(c).cast("date").alias(c) for c in ("t0", "t1", "t2")])
-    rows = returns(spark, sf_dir).join(F.broadcast(folds), (F.col("dt") >= F.col("t0")) & (F.col("dt") < F.col("t2")))
-    rows = rows.withColumn("part", F.when(F.col("dt") < F.col("t1"), "train").otherwise("test"))
+    """Statistics of three years of training and one of testing, by the six folds."""
+    rows = returns(spark, sf_dir).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    year = F.year("dt") - 1995 - F.col("fold")
+    rows = rows.where((year >= 0) & (year < 4)).withColumn("part", F.when(year < 3, "train").otherwise("test"))
     return rounded(rows.groupBy("fold", "ticker", "part").agg(F.count("*").alias("n"), F.avg("g").alias("mean"), F.stddev_samp("g").alias("sd")), 5)
 
 
@@ -201,17 +207,17 @@ c AS (SELECT ticker, bin AS f, t, count(*) AS n FROM q WHERE t IS NOT NULL GROUP
 edges5 AS (SELECT ticker, f, list(c ORDER BY t) AS c FROM p GROUP BY 1, 2), w AS (SELECT DISTINCT ticker, path_id, CAST(0 AS BIGINT) AS t, 1 AS state FROM edges5, u
 UNION ALL SELECT w.ticker, w.path_id, u.t, CAST(least(5, 1 + len(list_filter(e.c, lambda x : x <= u.u))) AS INTEGER) FROM w JOIN u ON u.path_id = w.path_id AND u.t = w.t + 1 JOIN edges5 e ON e.ticker = w.ticker AND e.f = w.state)
 SELECT ticker, path_id, CAST(t AS INTEGER) AS t, state FROM w""",
-    "crps_ensemble": f"""WITH {_boot(40, 30)}, o AS (SELECT idx AS t, g AS y FROM returns WHERE ticker = 'R'), r AS (SELECT t, g, y, row_number() OVER (PARTITION BY t ORDER BY g, path_id) AS i, count(*) OVER (PARTITION BY t) AS n FROM boot JOIN o USING (t) WHERE ticker = 'A')
-SELECT t, round(avg(abs(g - y)) - sum(g * (2 * i - n - 1)) / (any_value(n) * (any_value(n) - 1)), 5) AS crps FROM r GROUP BY t""",
-    "quantile_coverage": f"""WITH {_boot(40, 200)}, i AS (SELECT unnest(range(1, 100)) AS i), q AS (SELECT path_id, quantile_cont(g, [{", ".join(str(i / 100) for i in range(1, 100))}]) AS q FROM boot WHERE ticker = 'A' GROUP BY path_id),
-b AS (SELECT i, quantile_cont(q[i], 0.05) AS lo, quantile_cont(q[i], 0.95) AS hi FROM q, i GROUP BY i), o AS (SELECT quantile_cont(g, [{", ".join(str(i / 100) for i in range(1, 100))}]) AS o FROM returns WHERE ticker = 'R')
-SELECT round(avg(CAST(o[i] >= lo AND o[i] <= hi AS DOUBLE)), 6) AS coverage FROM b, o""",
+    "crps_ensemble": f"""WITH {_boot(40, 30)}, o AS (SELECT ticker, idx AS t, g AS y FROM returns), r AS (SELECT ticker, t, g, y, row_number() OVER (PARTITION BY ticker, t ORDER BY g, path_id) AS i, count(*) OVER (PARTITION BY ticker, t) AS n FROM boot JOIN o USING (ticker, t))
+SELECT ticker, t, round(avg(abs(g - y)) - sum(g * (2 * i - n - 1)) / (any_value(n) * (any_value(n) - 1)), 5) AS crps FROM r GROUP BY ticker, t""",
+    "quantile_coverage": f"""WITH {_boot(40, 200)}, i AS (SELECT unnest(range(1, 100)) AS i), q AS (SELECT ticker, path_id, quantile_cont(g, [{", ".join(str(i / 100) for i in range(1, 100))}]) AS q FROM boot GROUP BY 1, 2),
+b AS (SELECT ticker, i, quantile_cont(q[i], 0.05) AS lo, quantile_cont(q[i], 0.95) AS hi FROM q, i GROUP BY 1, 2), o AS (SELECT ticker, quantile_cont(g, [{", ".join(str(i / 100) for i in range(1, 100))}]) AS o FROM returns GROUP BY ticker)
+SELECT ticker, round(avg(CAST(o[i] >= lo AND o[i] <= hi AS DOUBLE)), 6) AS coverage FROM b JOIN o USING (ticker) GROUP BY ticker""",
     "auc_tied_rank": """WITH r AS (SELECT l_returnflag = 'R' AS p, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem)
 SELECT round((sum(r) FILTER (p) - count(*) FILTER (p) * (count(*) FILTER (p) + 1) / 2) / (count(*) FILTER (p) * count(*) FILTER (NOT p)), 9) AS auc FROM r""",
-    "asof_previous": f"""WITH {BARS_SQL}, d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS dt FROM orders), a AS (SELECT dt, vwap FROM bars WHERE ticker = 'A')
-SELECT d.dt, round(arg_max(a.vwap, a.dt), 6) AS vwap FROM d LEFT JOIN a ON a.dt < d.dt GROUP BY d.dt""",
-    "vendor_overlap_diff": f"""WITH {BARS_SQL}, j AS (SELECT x.dt, (x.vwap - y.vwap) / y.vwap AS d, ln(x.vwap / lag(x.vwap) OVER (ORDER BY x.dt)) - ln(y.vwap / lag(y.vwap) OVER (ORDER BY x.dt)) AS r FROM bars x JOIN bars y ON x.dt = y.dt AND x.ticker = 'A' AND y.ticker = 'R')
-SELECT count(*) AS n, round(avg(d), 7) AS mean_gap, round(stddev_samp(d), 7) AS sd_gap, round(max(abs(d)), 7) AS max_gap, round(stddev_samp(r), 7) AS sd_return_gap FROM j""",
-    "walk_forward_folds": f"""WITH {RETURNS_SQL}, f AS (SELECT CAST(i AS INTEGER) AS fold, make_date(1995 + i, 1, 1) AS t0, make_date(1998 + i, 1, 1) AS t1, make_date(1999 + i, 1, 1) AS t2 FROM (SELECT unnest(range(0, 3)) AS i))
-SELECT fold, ticker, CASE WHEN dt < t1 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(g), 5) AS mean, round(stddev_samp(g), 5) AS sd FROM returns JOIN f ON dt >= t0 AND dt < t2 GROUP BY 1, 2, 3""",
+    "asof_previous": f"""WITH {BARS_SQL}, d AS (SELECT DISTINCT ticker, CAST(o_orderdate AS DATE) AS dt FROM orders, (SELECT DISTINCT ticker FROM bars))
+SELECT d.ticker, d.dt, round(arg_max(a.vwap, a.dt), 6) AS vwap FROM d LEFT JOIN bars a ON a.ticker = d.ticker AND a.dt < d.dt GROUP BY d.ticker, d.dt""",
+    "vendor_overlap_diff": f"""WITH {BARS_SQL}, j AS (SELECT x.ticker || '-' || y.ticker AS series, (x.vwap - y.vwap) / y.vwap AS d, ln(x.vwap / lag(x.vwap) OVER w) - ln(y.vwap / lag(y.vwap) OVER w) AS r FROM bars x JOIN bars y ON x.dt = y.dt AND x.ticker < y.ticker WINDOW w AS (PARTITION BY x.ticker, y.ticker ORDER BY x.dt))
+SELECT series, count(*) AS n, round(avg(d), 7) AS mean_gap, round(stddev_samp(d), 7) AS sd_gap, round(max(abs(d)), 7) AS max_gap, round(stddev_samp(r), 7) AS sd_return_gap FROM j GROUP BY series""",
+    "walk_forward_folds": f"""WITH {RETURNS_SQL}, f AS (SELECT CAST(fold AS INTEGER) AS fold, ticker, g, year(dt) - 1995 - fold AS y FROM returns, (SELECT unnest(range(0, {FOLDS})) AS fold))
+SELECT fold, ticker, CASE WHEN y < 3 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(g), 5) AS mean, round(stddev_samp(g), 5) AS sd FROM f WHERE y >= 0 AND y < 4 GROUP BY 1, 2, 3""",
 }
