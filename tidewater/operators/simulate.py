@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _M = 2147483647
@@ -116,3 +116,28 @@ def garch_paths(fits: DataFrame, n_paths: int, n_steps: int, seed: int = 1) -> D
                 yield pd.DataFrame({"ticker": r.ticker, "path_id": r.path_id, "t": np.arange(1, n_steps + 1), "g": g})
 
     return grid.repartition("ticker", "path_id").mapInPandas(run, "ticker string, path_id long, t long, g double")
+
+
+def gaussian_paths(returns: DataFrame, n_paths: int, n_steps: int, seed: int = 1) -> DataFrame:
+    """Independent normal draws of each ticker's mean and deviation, by pairs of hashed uniforms."""
+    fits = returns.groupBy("ticker").agg(F.avg("g").alias("mean"), F.stddev_samp("g").alias("sd"))
+    u = steps(returns.sparkSession, n_paths, n_steps)
+    u = u.withColumn("a", hash_uniform(F.col("path_id"), F.col("t"), 2 * seed)).withColumn("b", hash_uniform(F.col("path_id"), F.col("t"), 2 * seed + 1))
+    z = F.sqrt(-2 * F.log("a")) * F.cos(2 * F.pi() * F.col("b"))
+    return u.join(fits).select("ticker", "path_id", "t", (F.col("mean") + F.col("sd") * z).alias("g"))
+
+
+def index_residuals(returns: DataFrame, market: str) -> DataFrame:
+    """(ticker, place, alpha, beta, residual): what the line on the market ticker leaves, on common dates in their order."""
+    m = returns.where(F.col("ticker") == market).select("dt", F.col("g").alias("x"))
+    rows = returns.where(F.col("ticker") != market).select("ticker", "dt", "g").join(m, "dt")
+    fits = rows.groupBy("ticker").agg(F.regr_slope("g", "x").alias("beta"), F.regr_intercept("g", "x").alias("alpha"))
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy("dt")).cast("long")
+    return rows.withColumn("place", place).join(fits, "ticker").select("ticker", "place", "alpha", "beta", (F.col("g") - F.col("alpha") - F.col("beta") * F.col("x")).alias("residual"))
+
+
+def index_paths(residuals: DataFrame, market_paths: DataFrame, seed: int = 1) -> DataFrame:
+    """(ticker, path_id, t, g): the line at each step of a market path (path_id, t, m), and a residual drawn with replacement."""
+    fits = residuals.groupBy("ticker").agg(F.first("alpha").alias("alpha"), F.first("beta").alias("beta"), F.count("*").alias("n"))
+    drawn = market_paths.join(fits).withColumn("place", (F.floor(hash_uniform(F.col("path_id"), F.col("t"), seed) * F.col("n")) + 1).cast("long"))
+    return drawn.join(residuals.select("ticker", "place", "residual"), ["ticker", "place"]).select("ticker", "path_id", "t", (F.col("alpha") + F.col("beta") * F.col("m") + F.col("residual")).alias("g"))

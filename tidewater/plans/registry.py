@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import models, panel, reports, scores, validation
+from tidewater.plans import details, models, panel, reports, scores, validation
 
-_MODULES = (panel, validation, reports, scores, models)
+_MODULES = (panel, validation, reports, scores, details, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DAILY = "PERMNO int, Ticker string, DlyCalDt date, DlyPrc double, DlyFacPrc double"
 
@@ -31,3 +32,26 @@ def stitched(a: DataFrame, b: DataFrame, since: str) -> DataFrame:
 def write_paths(paths: DataFrame, folder: str, *by: str) -> None:
     """Simulated paths as Parquet, partitioned by model and window so that a score reads only its own."""
     paths.write.mode("overwrite").partitionBy(*by).parquet(folder)
+
+
+def write_report(rows: DataFrame, folder: str, digits: int = 4) -> None:
+    """A report's rows as CSV with a header: doubles rounded half to even, which is how reports round."""
+    told = [F.bround(c, digits).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
+    rows.select(*told).write.mode("overwrite").option("header", True).csv(folder)
+
+
+def read_report(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """A report's CSV by its schema; columns are found by name, so that their order doesn't matter."""
+    held = spark.read.option("header", True).csv(folder)
+    kinds = StructType.fromDDL(schema)
+    return held.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def write_text_table(rows: DataFrame, folder: str, widths: dict[str, int], digits: int = 4) -> None:
+    """Fixed-width lines under a line of names, in the order of the first column; a partition at a time, none gathered."""
+    first = next(iter(widths))
+    cell = {c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", c)) if t == "double" else F.col(c).cast("string") for c, t in rows.dtypes}
+    line = F.concat_ws(" ", *[F.lpad(F.coalesce(cell[c], F.lit("-")), w, " ") for c, w in widths.items()])
+    head = rows.sparkSession.createDataFrame([(0, None, " ".join(c.rjust(w)[:w] for c, w in widths.items()))], f"part int, key {dict(rows.dtypes)[first]}, value string")
+    body = rows.select(F.lit(1).alias("part"), F.col(first).alias("key"), line.alias("value"))
+    head.unionByName(body).sort("part", "key", "value").select("value").write.mode("overwrite").text(folder)
