@@ -1,5 +1,6 @@
 import random
 
+from tidewater.llm import common
 from tidewater.llm import op3_repeats as op
 
 
@@ -52,3 +53,13 @@ def test_short_windows_and_ties(spark):
 
 def test_empty(spark):
     assert op.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_marks_are_shuffled(spark, monkeypatch):
+    """Beyond the bound on what is sent to every task, rows go to their keys by shuffle, with the same result."""
+    text = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([(i, text if i % 3 else f"own {i}", "x") for i in range(40)], "doc_id long, text string, key_hash string")
+    few = sorted(map(str, op.remove_repeats(docs).collect()))
+    monkeypatch.setattr(common.split_by_keys, "__defaults__", (0,))
+    assert sorted(map(str, op.remove_repeats(docs).collect())) == few
+    assert sum(r.removed_words for r in op.remove_repeats(docs).collect()) == 70 * 25

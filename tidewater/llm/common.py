@@ -83,6 +83,26 @@ def written(df: DataFrame, name: str, lasting: bool = False, path: str | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Hashes of keys, 8 bytes each, up to which they are sent to every task; beyond, rows are shuffled to their keys.
+MOST_SENT = 2_000_000
+
+
+def split_by_keys(rows: DataFrame, marks: DataFrame, keys: list[str], most: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
+    """rows that may have a mark, and rows that have none: wide rows without a mark needn't be shuffled to a join with marks.
+
+    marks is a written table whose keys are not null. Keys are told apart by hash, so that a few of the first may have no mark
+    either: the join with marks is still to be made. With over `most` marks all rows are among the first.
+    """
+    from pyspark.sql import functions as F
+
+    if marks.limit(most + 1).count() > most:
+        return rows, rows.limit(0)
+    name = unused(rows, "key_hash")[0]
+    sent = F.broadcast(marks.select(F.xxhash64(*keys).alias(name)).distinct())  # its size is checked above
+    hashed = rows.withColumn(name, F.xxhash64(*keys))
+    return hashed.join(sent, name, "left_semi").drop(name), hashed.join(sent, name, "left_anti").drop(name)
+
+
 def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
     """The names, each with as many underscores behind it as it takes for df not to have it."""
     held = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import chunks, documents, mix, n_partitions, scratch, text_bytes, windows, words, written
+from tidewater.llm.common import chunks, documents, mix, n_partitions, scratch, split_by_keys, text_bytes, windows, words, written
 from tidewater.llm.components import components, roots
 
 WORDS, GROUPS, LEAF = 5, 128, 32
@@ -410,8 +410,9 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     mark = written(mark.where("not k_first or k_rows > 1").select("k_none", "k_id", "k_text", "k_first"), "other-rows")
     own = docs.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)], *key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_text"))
     keys = ["k_none", "k_id", "k_text"]
-    once = own.join(mark.where("k_first").select(keys), keys).dropDuplicates(keys)  # repeated rows alone
-    got = own.join(mark.select(keys), keys, "left_anti").unionByName(once)
+    marked, others = split_by_keys(own, mark, keys)
+    once = marked.join(mark.where("k_first").select(keys), keys).dropDuplicates(keys)  # repeated rows alone
+    got = others.unionByName(marked.join(mark.select(keys), keys, "left_anti")).unionByName(once)
     return got.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

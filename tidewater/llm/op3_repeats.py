@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewater.llm.common import chunks, documents, mix, n_partitions, scratch, text_bytes, windows, words, written
+from tidewater.llm.common import chunks, documents, mix, n_partitions, scratch, split_by_keys, text_bytes, windows, words, written
 
 WINDOW = 50
 ADDED = ("kept_text", "kept_words", "removed_words")
@@ -159,7 +159,8 @@ def repeat_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 got = windows(h, window)[first[near]] if len(first) else np.zeros(0, np.uint64)
                 yield _pack(*_ids(part), owner[near], place[near], got, _of_hash(got, buckets))
 
-    return _found(docs.join(hits, ["doc_id", "key"]).mapInArrow(extended, _PACKED), _later)
+    near, _ = split_by_keys(docs, hits, ["doc_id", "key"])
+    return _found(near.join(hits, ["doc_id", "key"]).mapInArrow(extended, _PACKED), _later)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, columns: tuple[str, str, str] = ADDED) -> DataFrame:
@@ -172,7 +173,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, columns: tuple[str, st
         starts = written(repeat_starts(keyed(docs), window), "repeat-starts", lasting=True).withColumnsRenamed({"doc_id": "k_doc", "key": "k_text"})
     id_, key = _keys()
     joined = docs.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(names)], id_.alias("k_doc"), key.alias("k_text"))
-    joined = joined.join(starts, ["k_doc", "k_text"], "left").drop("k_doc", "k_text")
+    cut_from, whole = split_by_keys(joined, starts, ["k_doc", "k_text"])
+    joined = cut_from.join(starts, ["k_doc", "k_text"], "left").unionByName(whole.withColumn("places", F.lit(None).cast("array<int>"))).drop("k_doc", "k_text")
     text = f"own_{names.index('text')}"
     kind = StructType([f for f in joined.schema if f.name != "places"]).add(columns[0], "string").add(columns[1], "long").add(columns[2], "long")
 
