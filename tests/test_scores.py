@@ -123,3 +123,39 @@ def test_log_sums_and_sojourns(spark):
     assert fits[1].family == "pareto" and fits[2].family == "nb"
     table = sojourn.pareto_table(sojourn.sojourn_families(runs)).where("state = 1").orderBy("d").collect()
     assert table[0].d == 1 and table[-1].d == 120 and table[-1].cdf == pytest.approx(1)
+
+
+def test_signature_discrepancy(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(14, 6)) * np.where(np.arange(14) < 8, 1.0, 1.7)[:, None]
+    rows = [("A", i, j + 1, float(x)) for i in range(14) for j, x in enumerate(v[i])]
+    sides = [spark.createDataFrame([r for r in rows if (r[1] < 8) == (s == 0)], "ticker string, window long, pos long, g double") for s in (0, 1)]
+    got = signatures.vectors(sides[0], 0).unionByName(signatures.vectors(sides[1], 1))
+    row = tiles.mmd2(got, tiles.median_distance(got, tile=3), tile=3).first()
+    assert row["n"] == 8 and row["m"] == 6
+    plain = np.array([r["v"] for r in got.orderBy("side", "id").collect()])
+    d = ((plain[:, None] - plain[None]) ** 2).sum(-1)
+    k = np.exp(-d / np.median(d[np.triu_indices(14, 1)]))
+    own = lambda a: (a.sum() - np.trace(a)) / (len(a) * (len(a) - 1))
+    assert math.isclose(row["mmd2"], max(0.0, own(k[:8, :8]) + own(k[8:, 8:]) - 2 * k[:8, 8:].mean()), abs_tol=1e-12)
+
+
+def test_generator_paths(spark):
+    rng = np.random.default_rng(5)
+    rows = [("A", i + 1, float(rng.normal()), i < 25) for i in range(40)] + [("B", 1, 0.5, False), ("C", 1, 0.25, True)]
+    frame = spark.createDataFrame(rows, "ticker string, idx long, g double, first boolean")
+    made = resampling.generator_paths(frame, F.col("first"), 6)
+    held = {name: {(r["ticker"], r["path_id"], r["t"]): r["g"] for r in paths.collect()} for name, paths, _ in made}
+    own, other = [r[2] for r in rows[:25]], [r[2] for r in rows[25:40]]
+    assert {k[0] for k in held["later"]} == {"A", "B"} and {k[0] for k in held["earlier"]} == {k[0] for k in held["normal"]} == {"A"}
+    assert len(held["earlier"]) == 6 * 15 and len(held["normal"]) == 6 * 25 and len(held["later"]) == 6 * 16
+    assert {v for k, v in held["later"].items() if k[0] == "A"} <= set(other) and set(held["earlier"].values()) <= set(own)
+    got = {(r["ticker"], r["generator"]): r for r in pooled.pass_rates(made).collect()}
+    assert set(got) == {("A", "later"), ("B", "later"), ("A", "earlier"), ("A", "normal")}
+    for name, against in (("later", other), ("earlier", other), ("normal", own)):
+        gaps = []
+        for p in range(1, 7):
+            path = [v for k, v in held[name].items() if k[0] == "A" and k[1] == p]
+            gaps.append(max(abs(np.mean(np.array(path) <= x) - np.mean(np.array(against) <= x)) for x in path + against))
+        assert math.isclose(got["A", name]["mean_ks"], float(np.mean(gaps)), rel_tol=1e-12)
+    assert got["B", "later"]["mean_ks"] == 0 and got["B", "later"]["pass_rate"] == 1

@@ -16,10 +16,11 @@ def ks_distance(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def ks_p_value(ks: Column, n: Column, m: Column) -> Column:
-    """Kolmogorov's asymptotic p-value, 100 terms."""
+    """Kolmogorov's asymptotic p-value, 100 terms; 1 near no distance, where it is 1 to 1e-12 and the terms don't settle."""
     lam2 = ks * ks * n * m / (n + m)
     terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * lam2))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
+    total = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
+    return F.when(lam2 < 0.04, 1.0).otherwise(total)
 
 
 def ticker_pairs(returns: DataFrame, x: str = "g") -> DataFrame:

@@ -6,6 +6,8 @@ and the observed ones, with counts, dealt out by path: as many rows as terms, an
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,6 +105,16 @@ def hellinger(counts: DataFrame, bins: int = 100, pad: float = 10.0) -> DataFram
     return shares.groupBy("ticker", "path_id").agg(F.sqrt(F.sum((F.sqrt("a") - F.sqrt("b")) ** 2) / 2).alias("hellinger"))
 
 
+def pass_rates(generators: list[tuple[str, DataFrame, DataFrame]], level: float = 0.05) -> DataFrame:
+    """(ticker, generator, paths, mean_ks, pass_rate): share of each generator's paths with a Kolmogorov-Smirnov p-value over level."""
+    found = []
+    for name, paths, observed in generators:
+        ranks = rank_statistics(pooled_counts(paths, observed))
+        passed = (ks_p_value(F.col("ks"), F.col("n"), F.col("m")) > level).cast("double")
+        found.append(ranks.groupBy("ticker").agg(F.count("*").alias("paths"), F.avg("ks").alias("mean_ks"), F.avg(passed).alias("pass_rate")).withColumn("generator", F.lit(name)))
+    return reduce(DataFrame.unionByName, found)
+
+
 def quantile_coverage(paths: DataFrame, observed: DataFrame, n: int = 99) -> DataFrame:
     """(ticker, coverage): share of n observed quantiles within the paths' own 5 % - 95 % band."""
     probs = F.array(*[F.lit(i / (n + 1)) for i in range(1, n + 1)])

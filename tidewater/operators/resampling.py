@@ -7,7 +7,7 @@ its distribution is the series' ranks weighted by how often blocks cover each st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.simulate import hash_uniform
@@ -73,3 +73,30 @@ def interval(rows: DataFrame, x: str, probs: tuple[float, ...]) -> DataFrame:
     """Interpolated quantiles of x over the resamples of a ticker, as columns q025 and so on."""
     q = rows.groupBy("ticker").agg(F.count("*").alias("resamples"), F.percentile(x, F.array(*map(F.lit, probs))).alias("q"))
     return q.select("ticker", "resamples", *[F.col("q")[i].alias(f"q{round(1000 * p):03d}") for i, p in enumerate(probs)])
+
+
+def generator_paths(returns: DataFrame, early: Column, paths: int, seed: int = 5) -> list[tuple[str, DataFrame, DataFrame]]:
+    """(generator, paths, observed) of three generators, to show how often a test passes what is right, nearly right and wrong.
+
+    later: steps drawn from the later part, against it; earlier: as many steps drawn from the earlier part, against the later one;
+    normal: as many normal draws as the earlier part has steps, with its mean and sample deviation, against it. idx runs from 1
+    without gaps. Every step of the part gives the step of each path, so draws are spread as the rows are. A ticker without
+    an earlier or a later part has no paths of the generators that need it; one earlier step has no deviation, so no normal path.
+    """
+    part = returns.select("ticker", "idx", "g", F.coalesce(early, F.lit(False)).alias("early"))
+    mine = F.when(F.col("early"), F.col("g"))
+    sizes = part.groupBy("ticker").agg(F.count_if("early").alias("n_early"), F.count_if(~F.col("early")).alias("n_late"), F.avg(mine).alias("mu"), F.stddev_samp(mine).alias("sd"))
+    steps = part.join(sizes, "ticker").withColumn("path_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(paths).cast("long"))))
+    steps = steps.withColumn("t", F.col("idx") - F.when(F.col("early"), 0).otherwise(F.col("n_early")))
+    drawn = lambda k: hash_uniform(F.col("path_id"), F.col("t"), seed + k)
+    own, other = part.where("early"), part.where("not early")
+
+    def gathered(at: Column, source: DataFrame) -> DataFrame:
+        return steps.where("not early").select("ticker", "path_id", "t", at.cast("long").alias("idx")).join(source.select("ticker", "idx", "g"), ["ticker", "idx"]).select("ticker", "path_id", "t", "g")
+
+    normal = F.col("mu") + F.col("sd") * F.sqrt(-2 * F.log(drawn(2))) * F.cos(2 * F.pi() * drawn(3))
+    return [
+        ("later", gathered(F.col("n_early") + F.floor(drawn(0) * F.col("n_late")) + 1, other), other),
+        ("earlier", gathered(F.floor(drawn(1) * F.col("n_early")) + 1, own), other),
+        ("normal", steps.where("early and sd is not null").select("ticker", "path_id", "t", normal.alias("g")), own),
+    ]

@@ -55,3 +55,9 @@ def signatures(windows: DataFrame, depth: int = 3, size: int = SIZE) -> DataFram
     scale = [" * ".join(["1D", *(["1D / (n - 1)", "1D / sd"][i] for i in w)]) for w in words(depth)]
     scaled = "array({})".format(", ".join(f"m[{i}] * {s}" for i, s in enumerate(scale)))
     return sizes.join(whole, key, "left").select(*key, "n", F.expr(f"if(m is null, {none}, {scaled})").alias("s"))
+
+
+def vectors(windows: DataFrame, side: int, depth: int = 3) -> DataFrame:
+    """(ticker, side, id, v): the signature of every window, for scores by tiles."""
+    rows = signatures(windows, depth)
+    return rows.select("ticker", F.lit(side).alias("side"), F.col("window").cast("long").alias("id"), F.col("s").alias("v"))

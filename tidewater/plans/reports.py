@@ -297,7 +297,7 @@ def _acf_envelope_sql(g: str) -> str:
     return f"WITH {_path_acf_sql(g)} SELECT ticker, CAST(lag AS INTEGER) AS lag, round(avg(rho), 6) AS mean, round(quantile_cont(rho, 0.1), 6) AS q10, round(quantile_cont(rho, 0.9), 6) AS q90 FROM pa GROUP BY ticker, lag"
 
 
-_KS_SQL = "least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda j : CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * ks * ks * n * m / (n + m))))))"
+_KS_SQL = "CASE WHEN ks * ks * n * m / (n + m) < 0.04 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda j : CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * ks * ks * n * m / (n + m)))))) END"
 _GARCH = "SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS idx, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS s2, CAST(0.05 / (1.0::DOUBLE - 0.08 - 0.85) AS DOUBLE) AS next FROM v UNION ALL SELECT f.ticker, v.idx, v.x, f.next, greatest(0.05::DOUBLE + 0.08 * v.x * v.x + 0.85 * f.next, 1e-12) FROM f JOIN v ON v.ticker = f.ticker AND v.idx = f.idx + 1"
 _GARCH_PATH = f"WITH RECURSIVE {RETURNS_SQL}, v AS (SELECT ticker, idx, g / 100 AS x FROM returns), f AS ({_GARCH}), path AS (SELECT ticker, idx, x, s2 FROM f WHERE idx > 0)"
 

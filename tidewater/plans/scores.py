@@ -82,6 +82,20 @@ def window_mmd(spark, sf_dir):
     return rounded(tiles.mmd2(rows, tiles.median_distance(rows)))
 
 
+def signature_mmd(spark, sf_dir):
+    """Discrepancy of the signatures of observed and drawn windows at their median bandwidth."""
+    seen = windowing.windowize(_scaled(spark, sf_dir), 20, 15)
+    drawn = _archive(spark, sf_dir).withColumn("g", F.col("g") / 100)
+    rows = signatures.vectors(seen, 0).unionByName(signatures.vectors(drawn, 1))
+    return rounded(tiles.mmd2(rows, tiles.median_distance(rows)))
+
+
+def ks_power(spark, sf_dir):
+    """How often the Kolmogorov-Smirnov test passes paths of a right, a nearly right and a wrong generator."""
+    got = resampling.generator_paths(returns(spark, sf_dir), F.col("dt") < F.lit("1996-01-01").cast("date"), POWER_PATHS)
+    return rounded(pooled.pass_rates(got))
+
+
 def window_signatures(spark, sf_dir):
     """Signatures to depth 3 of every observed window."""
     got = signatures.signatures(windowing.windowize(_scaled(spark, sf_dir), 20, 15))
@@ -115,6 +129,8 @@ def har_synthetic(spark, sf_dir):
 
 
 RESAMPLES, LENGTHS = 20, (5, 10, 20)
+#: Paths a generator of the power calibration.
+POWER_PATHS = 40
 
 
 def bootstrap_kurtosis(spark, sf_dir):
@@ -253,19 +269,33 @@ def _drawn_sql() -> str:
 drawn AS (SELECT ticker, id, t - s + 1 AS pos, g FROM draws JOIN boot ON path_id = p AND t BETWEEN s AND s + 19)"""
 
 
-_VECTORS = f"""{_SEEN}, v AS (SELECT ticker, 0 AS side, id, list(g ORDER BY pos) AS v FROM seen GROUP BY ticker, id UNION ALL SELECT ticker, 1, id, list(g / 100 ORDER BY pos) FROM drawn GROUP BY ticker, id),
-pairs AS (SELECT a.ticker, a.side + b.side AS kind, list_sum(list_transform(range(1, 21), lambda i: (a.v[i] - b.v[i]) ** 2)) AS d FROM v a JOIN v b ON a.ticker = b.ticker AND (a.side, a.id) < (b.side, b.id)),
+def _distances_sql(length: int) -> str:
+    """Squared distances of all pairs of the vectors v, and their median."""
+    return f"""pairs AS (SELECT a.ticker, a.side + b.side AS kind, list_sum(list_transform(range(1, {length + 1}), lambda i: (a.v[i] - b.v[i]) ** 2)) AS d FROM v a JOIN v b ON a.ticker = b.ticker AND (a.side, a.id) < (b.side, b.id)),
 band AS (SELECT ticker, median(d) AS bandwidth FROM pairs GROUP BY ticker)"""
 
 
-def _signature_sql(rows: str, key: str, first: str) -> str:
-    """Iterated sums by running sums. rows: key, pos, g, with n and the deviation sd of the key."""
+_VECTORS = f"""{_SEEN}, v AS (SELECT ticker, 0 AS side, id, list(g ORDER BY pos) AS v FROM seen GROUP BY ticker, id UNION ALL SELECT ticker, 1, id, list(g / 100 ORDER BY pos) FROM drawn GROUP BY ticker, id),
+{_distances_sql(20)}"""
+_DISCREPANCY = """sizes AS (SELECT ticker, count(*) FILTER (side = 0) AS n, count(*) FILTER (side = 1) AS m FROM v GROUP BY ticker),
+k AS (SELECT ticker, kind, sum(exp(-d / bandwidth)) AS s FROM pairs JOIN band USING (ticker) GROUP BY 1, 2)
+SELECT ticker, n, m, round(greatest(0, sum(CASE kind WHEN 0 THEN 2 * s / (n * (n - 1)) WHEN 2 THEN 2 * s / (m * (m - 1)) ELSE -2 * s / (n * m) END)), 6) AS mmd2 FROM sizes JOIN k USING (ticker) GROUP BY ticker, n, m"""
+
+
+def _signature_sql(rows: str, key: str, first: str, vector: bool = False) -> str:
+    """Iterated sums by running sums, as columns or as one list v. rows: key, pos, g, with n and the deviation sd of the key."""
     level2 = ", ".join(f"sum({i}0 * {j}) OVER o - {i}0 * {j} AS {i}{j}0, sum({i}0 * {j}) OVER w AS {i}{j}" for j in "tx" for i in "tx")
     ends = ["sum(t)", "sum(x)", *(f"any_value({i}{j})" for j in "tx" for i in "tx"), *(f"sum({i}{j}0 * {k})" for k in "tx" for j in "tx" for i in "tx")]
     return f"""i AS (SELECT *, 1 / CAST(n - 1 AS DOUBLE) AS t, (g - lag(g) OVER (PARTITION BY {key} ORDER BY pos)) / greatest(sd, 1e-12) AS x FROM {rows}),
 l AS (SELECT *, sum(t) OVER o - t AS t0, sum(x) OVER o - x AS x0 FROM i WHERE x IS NOT NULL WINDOW o AS (PARTITION BY {key} ORDER BY pos)),
 m AS (SELECT *, {level2} FROM l WINDOW o AS (PARTITION BY {key} ORDER BY pos), w AS (PARTITION BY {key}))
-SELECT {first}, {', '.join(f'round({e}, 6) AS s{n + 1:02d}' for n, e in enumerate(ends))} FROM m GROUP BY {key}"""
+SELECT {first}, {f"[{', '.join(ends)}] AS v" if vector else ', '.join(f'round({e}, 6) AS s{n + 1:02d}' for n, e in enumerate(ends))} FROM m GROUP BY {key}"""
+
+
+def _signature_mmd_sql() -> str:
+    rows = "both_ AS (SELECT ticker, 0 AS side, id, pos, g FROM seen UNION ALL SELECT ticker, 1, id, pos, g / 100 FROM drawn), r AS (SELECT *, count(*) OVER w AS n, stddev_samp(g) OVER w AS sd FROM both_ WINDOW w AS (PARTITION BY ticker, side, id))"
+    parts, _, last = _signature_sql("r", "ticker, side, id", "ticker, side, id", vector=True).rpartition("\nSELECT ")
+    return f"WITH {_drawn_sql()}, {_SEEN}, {rows}, {parts}, v AS (SELECT {last}), {_distances_sql(14)}, {_DISCREPANCY}"
 
 
 def _solved_sql(name: str, rows: str, features: list[str], y: str, key: str = "ticker") -> str:
@@ -326,6 +356,21 @@ pz AS (SELECT *, ln(list_sum(list_transform(range(d_min, d_max + 1), lambda d: C
 ll AS (SELECT ticker, state, sum(CASE WHEN r IS NULL THEN length * CASE WHEN p < 1 THEN ln(1 - p) ELSE CAST('-inf' AS DOUBLE) END + ln(p) ELSE lgamma(length + r) - lgamma(r) - lgamma(length + 1) + r * ln(p) + length * ln(1 - p) END) AS ll_nb, sum((-alpha - 1) * ln(length) - ln_z) AS ll_pareto FROM rn JOIN pz USING (ticker, state) GROUP BY 1, 2)"""
 
 
+def _ks_power_sql() -> str:
+    at = lambda seed, n: f"CAST(floor({_hashed('path_id', 't', seed)} * {n}) AS BIGINT) + 1"
+    normal = f"mu + sd * sqrt(-2 * ln({_hashed('path_id', 't', 7)})) * cos(2 * pi() * {_hashed('path_id', 't', 8)})"
+    return f"""WITH {RETURNS_SQL}, part AS (SELECT ticker, idx, g, dt < DATE '1996-01-01' AS early FROM returns),
+z AS (SELECT ticker, count(*) FILTER (early) AS n_early, count(*) FILTER (NOT early) AS n_late, avg(g) FILTER (early) AS mu, stddev_samp(g) FILTER (early) AS sd FROM part GROUP BY ticker),
+q AS (SELECT ticker, early, path_id, idx - CASE WHEN early THEN 0 ELSE n_early END AS t, n_early, n_late, mu, sd FROM part JOIN z USING (ticker), (SELECT unnest(range(1, {POWER_PATHS + 1})) AS path_id) x),
+places AS (SELECT ticker, 'later' AS generator, path_id, n_early + {at(5, "n_late")} AS idx FROM q WHERE NOT early UNION ALL SELECT ticker, 'earlier', path_id, {at(6, "n_early")} FROM q WHERE NOT early AND n_early > 0),
+made AS (SELECT ticker, generator, path_id, g FROM places JOIN part USING (ticker, idx) UNION ALL SELECT ticker, 'normal', path_id, {normal} FROM q WHERE early AND sd IS NOT NULL),
+s AS (SELECT ticker, generator, path_id, 0 AS side, g AS x FROM made UNION ALL SELECT ticker, generator, path_id, 1, part.g FROM (SELECT DISTINCT ticker, generator, path_id FROM made) d JOIN part USING (ticker) WHERE early = (generator = 'normal')),
+c AS (SELECT ticker, generator, path_id, x, count(*) FILTER (side = 0) AS p, count(*) FILTER (side = 1) AS q FROM s GROUP BY ALL),
+up AS (SELECT *, sum(p) OVER o AS pu, sum(q) OVER o AS qu, sum(p) OVER w AS n, sum(q) OVER w AS m FROM c WINDOW w AS (PARTITION BY ticker, generator, path_id), o AS (PARTITION BY ticker, generator, path_id ORDER BY x)),
+k AS (SELECT ticker, generator, path_id, any_value(n)::DOUBLE AS n, any_value(m)::DOUBLE AS m, max(abs(pu / n - qu / m)) AS ks FROM up GROUP BY ALL)
+SELECT ticker, generator, count(*) AS paths, round(avg(ks), 6) AS mean_ks, round(avg(CASE WHEN {_KS_SQL} > 0.05 THEN 1.0 ELSE 0 END), 6) AS pass_rate FROM k GROUP BY ALL"""
+
+
 def _mixture_sql(family: str) -> str:
     low, high = _grid(family)
     if family == "normal":
@@ -371,9 +416,9 @@ k AS (SELECT ticker, mean_length, b, max(gap) AS k FROM e GROUP BY ALL) SELECT t
     "path_panel": _panel_sql(),
     "archive_windows": f'WITH {_drawn_sql()} SELECT ticker, id AS "window", pos, round(g, 6) AS g FROM drawn',
     "median_bandwidth": f"WITH {_drawn_sql()}, {_VECTORS} SELECT ticker, round(bandwidth, 6) AS bandwidth FROM band",
-    "window_mmd": f"""WITH {_drawn_sql()}, {_VECTORS}, sizes AS (SELECT ticker, count(*) FILTER (side = 0) AS n, count(*) FILTER (side = 1) AS m FROM v GROUP BY ticker),
-k AS (SELECT ticker, kind, sum(exp(-d / bandwidth)) AS s FROM pairs JOIN band USING (ticker) GROUP BY 1, 2)
-SELECT ticker, n, m, round(greatest(0, sum(CASE kind WHEN 0 THEN 2 * s / (n * (n - 1)) WHEN 2 THEN 2 * s / (m * (m - 1)) ELSE -2 * s / (n * m) END)), 6) AS mmd2 FROM sizes JOIN k USING (ticker) GROUP BY ticker, n, m""",
+    "window_mmd": f"WITH {_drawn_sql()}, {_VECTORS}, {_DISCREPANCY}",
+    "signature_mmd": _signature_mmd_sql(),
+    "ks_power": _ks_power_sql(),
     "window_signatures": f"WITH {RETURNS_SQL}, {_SEEN}, r AS (SELECT *, count(*) OVER w AS n, stddev_samp(g) OVER w AS sd FROM seen WINDOW w AS (PARTITION BY ticker, id)), " + _signature_sql("r", "ticker, id", 'ticker, id AS "window"'),
     "series_signature": f"WITH {RETURNS_SQL}, r AS (SELECT ticker, idx AS pos, g / 100 AS g, count(*) OVER w AS n, stddev_samp(g / 100) OVER w AS sd FROM returns WINDOW w AS (PARTITION BY ticker)), " + _signature_sql("r", "ticker", "ticker, any_value(n) AS n"),
 }
