@@ -3,8 +3,8 @@
 Word counts of the training documents are gathered in buckets of the word's hash. The `HEAD` most frequent words (ties left
 out) are symbols of their own; other words are one tail symbol times their smoothed share of the tail, so every text has an
 exact probability. Each partition runs scaled forward-backward recursions over its documents, many at a time, and gives
-expected counts; their sums give the next model. `ROUNDS` rounds from a fixed start run over all of them. A text's score is the scaled forward recursion's likelihood,
-in log10, over the words and one end.
+expected counts; their sums give the next model. `ROUNDS` rounds from a fixed start run over all of them, in single precision. A text's score is the scaled forward recursion's
+likelihood in double precision, in log10, over the words and one end; texts are taken whole, however long.
 
 Only head words' hashes and counts (HEAD of them) and the model are sent to the executors; words of the tail meet their
 counts in a shuffle. Null texts are empty (one end). A row without doc_id is a training row. Repeated rows count each for
@@ -204,6 +204,9 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # symbols x states
 
+    def single(self) -> Model:
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
 
 def first_model(shares: np.ndarray, states: int = STATES) -> Model:
     """Sticky states whose emissions are the unigram shares, each word leaning to a state by fixed noise."""
@@ -226,8 +229,8 @@ def _time_major(lists: list[np.ndarray]):
 def forward(m: Model, lists: list[np.ndarray]):
     """Scaled forward recursion of sequences, longest first: natural log-likelihoods, and what `expected` needs."""
     flat, alive, offset = _time_major(lists)
-    e = m.emit[flat]
-    a, c, ones, before = np.empty_like(e), np.empty(len(flat)), np.ones(len(m.start)), None
+    e = m.emit.take(flat, axis=0)
+    a, c, ones, before = np.empty_like(e), np.empty(len(flat), e.dtype), np.ones(len(m.start), e.dtype), None
     for i, k in zip(offset.tolist(), alive.tolist(), strict=False):
         x, s = a[i : i + k], c[i : i + k]
         if before is None:
@@ -239,7 +242,7 @@ def forward(m: Model, lists: list[np.ndarray]):
         x /= s[:, None]
         before = x
     owner = np.arange(len(flat)) - np.repeat(offset[:-1], alive)
-    return np.bincount(owner, weights=np.log(c), minlength=len(lists)), (flat, alive, offset, e, a, c)
+    return np.bincount(owner, weights=np.log(c, dtype=float), minlength=len(lists)), (flat, alive, offset, e, a, c)
 
 
 def expected(m: Model, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +259,7 @@ def expected(m: Model, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.matmul(ahead, back, out=later[i : i + k])
     k = n[0]
     before = np.arange(k, len(flat)) - np.repeat(alive[:-1], alive[1:])  # each step's place a step earlier
-    move = a[before].T @ e[k:]
+    move = a.take(before, axis=0).T @ e[k:]
     a *= later
     start = a[:k].sum(0)
     return start, move * m.move, np.stack([np.bincount(flat, weights=a[:, s], minlength=len(m.emit)) for s in range(states)], 1)
@@ -276,16 +279,21 @@ def _groups(lists: list[np.ndarray]):
 
 
 def baum_welch(rows: DataFrame, m: Model, shares: np.ndarray) -> Model:
-    """One round over the rows' ids: partitions' expected counts, summed by slice of the symbols."""
+    """One round over the rows' ids: partitions' expected counts, summed by slice of the symbols.
+
+    Recursions run in single precision and their counts are summed in double: a step's values are shares of one, which
+    smoothing keeps above about (states / tokens)**2, so that neither they nor their inverses leave its range.
+    """
     states = len(m.start)
 
     def run(batches):
+        lean = m.single()
         total = np.zeros((len(shares), states))
         start, move = np.zeros(states), np.zeros((states, states))
         for batch in batches:
             lists = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
             for group in _groups(lists):
-                got = expected(m, forward(m, [lists[i] for i in group])[1])
+                got = expected(lean, forward(lean, [lists[i] for i in group])[1])
                 start += got[0]
                 move += got[1]
                 total += got[2]
