@@ -24,7 +24,7 @@ from tidewater.llm.common import chunks, documents, mix, n_partitions, noise, sh
 
 HEAD, STATES = 60_000, 8
 ROUNDS, PRIOR = 14, 30.0
-_TOKENS = 1 << 19
+_TOKENS = 1 << 20
 _SLICES = 16
 _MERGE = 2_000_000
 
@@ -229,7 +229,7 @@ def _time_major(lists: list[np.ndarray]):
 def forward(m: Model, lists: list[np.ndarray]):
     """Scaled forward recursion of sequences, longest first: natural log-likelihoods, and what `expected` needs."""
     flat, alive, offset = _time_major(lists)
-    e = m.emit.take(flat, axis=0)
+    e = m.emit.take(flat, axis=0, mode="clip")
     a, c, ones, before = np.empty_like(e), np.empty(len(flat), e.dtype), np.ones(len(m.start), e.dtype), None
     for i, k in zip(offset.tolist(), alive.tolist(), strict=False):
         x, s = a[i : i + k], c[i : i + k]
@@ -250,19 +250,19 @@ def expected(m: Model, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat, alive, offset, e, a, c = run
     states, back = len(m.start), np.ascontiguousarray(m.move.T)
     e /= c[:, None]
-    later = np.ones_like(e)
+    later, move = np.ones((int(alive[0]), states), e.dtype), np.zeros((states, states))
     at, n = offset.tolist(), alive.tolist()
-    for t in range(len(n) - 1, 0, -1):
+    for t in range(len(n) - 1, 0, -1):  # `later` of sequences that end at a step is still 1 there
         i, j, k = at[t - 1], at[t], n[t]
+        a[j : j + k] *= later[:k]
         ahead = e[j : j + k]
-        ahead *= later[j : j + k]
-        np.matmul(ahead, back, out=later[i : i + k])
+        ahead *= later[:k]
+        move += a[i : i + k].T @ ahead
+        np.matmul(ahead, back, out=later[:k])
     k = n[0]
-    before = np.arange(k, len(flat)) - np.repeat(alive[:-1], alive[1:])  # each step's place a step earlier
-    move = a.take(before, axis=0).T @ e[k:]
-    a *= later
+    a[:k] *= later
     start = a[:k].sum(0)
-    return start, move * m.move, np.stack([np.bincount(flat, weights=a[:, s], minlength=len(m.emit)) for s in range(states)], 1)
+    return start, move * m.move, np.stack([np.bincount(flat, weights=w, minlength=len(m.emit)) for w in a.T], 1)
 
 
 def _groups(lists: list[np.ndarray]):
