@@ -89,3 +89,69 @@ def test_every_round_sees_every_training_document(spark, monkeypatch):
     n = docs.where(~op.held_out()).count()
     assert n > 1500 and op.language_model_scores(docs).count() == 2500
     assert seen == [n] * 14
+
+
+def plain_rounds(m, sequences, shares):
+    """Baum-Welch step by step, unscaled and in double precision: start, moves and emissions as lists."""
+    states, symbols = range(len(m.start)), range(len(shares))
+    start, move, emit = m.start.tolist(), m.move.tolist(), m.emit.tolist()
+    for _ in range(op.ROUNDS):
+        n_start = [1 / len(states)] * len(states)
+        n_move = [[1 / len(states)] * len(states) for _ in states]
+        n_emit = [[op.PRIOR * shares[w]] * len(states) for w in symbols]
+        for x in sequences:
+            ahead = plain_forward(start, move, emit, x)
+            back = [[1.0] * len(states)]
+            for w in reversed(x[1:]):
+                back.insert(0, [sum(move[a][b] * emit[w][b] * back[0][b] for b in states) for a in states])
+            p = sum(ahead[-1])
+            for t, w in enumerate(x):
+                for a in states:
+                    here = ahead[t][a] * back[t][a] / p
+                    n_emit[w][a] += here
+                    if t == 0:
+                        n_start[a] += here
+                    else:
+                        for b in states:
+                            n_move[b][a] += ahead[t - 1][b] * move[b][a] * emit[w][a] * back[t][a] / p
+        start = [x / sum(n_start) for x in n_start]
+        move = [[x / sum(r) for x in r] for r in n_move]
+        sums = [sum(n_emit[w][a] for w in symbols) for a in states]
+        emit = [[n_emit[w][a] / sums[a] for a in states] for w in symbols]
+    return start, move, emit
+
+
+def plain_forward(start, move, emit, x):
+    rows = [[p * e for p, e in zip(start, emit[x[0]], strict=True)]]
+    for w in x[1:]:
+        rows.append([sum(rows[-1][a] * move[a][b] for a in range(len(start))) * emit[w][b] for b in range(len(start))])
+    return rows
+
+
+@pytest.mark.parametrize("head", [5, 1000])
+def test_scores_equal_a_plain_model(spark, monkeypatch, head):
+    """The whole query against counts, training and likelihoods worked out word by word, with and without a tail."""
+    monkeypatch.setattr(op.vocabulary, "__defaults__", (head,))
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, rng.integers(0, 12)) % 15) for _ in range(40)]
+    split = [[*t.split(), None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    count = {}
+    for x in (w for s, h in zip(split, held, strict=True) if not h for w in s[:-1]):
+        count[x] = count.get(x, 0) + 1
+    own = [w for w in count if sum(c >= count[w] for c in count.values()) <= head]
+    assert 0 < len(own) and (len(own) < len(count)) == (head == 5)
+    hashed = lambda w: int(op.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+    own.sort(key=hashed)
+    symbol = {w: i for i, w in enumerate(own)} | {None: len(own) + 1}
+    sequences = [[symbol.get(w, len(own)) for w in s] for s in split]
+    rest = {w: c for w, c in count.items() if w not in symbol}
+    shares = [float(count[w]) for w in own] + [sum(rest.values()) + 1.0, held.count(False) + 1.0]
+    shares = [x / sum(shares) for x in shares]
+    start, move, emit = plain_rounds(op.first_model(np.array(shares)), [x for x, h in zip(sequences, held, strict=True) if not h], shares)
+    got = {r.doc_id: r.score for r in op.language_model_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(got) == len(texts) and any(held)
+    for i, (s, x) in enumerate(zip(split, sequences, strict=True)):
+        want = math.log10(sum(plain_forward(start, move, emit, x)[-1]))
+        want += sum(math.log10((rest.get(w, 0) + 1) / (sum(rest.values()) + len(rest) + 1)) for w in s if w not in symbol)
+        assert math.isclose(got[i], want, rel_tol=2e-5, abs_tol=2e-5), (i, got[i], want)
