@@ -226,8 +226,8 @@ def _time_major(lists: list[np.ndarray]):
     return flat, alive, offset
 
 
-def forward(m: Model, lists: list[np.ndarray]):
-    """Scaled forward recursion of sequences, longest first: natural log-likelihoods, and what `expected` needs."""
+def recursion(m: Model, lists: list[np.ndarray]):
+    """Scaled forward recursion of sequences, longest first: symbols, alive, offset, emissions, states' shares and scales."""
     flat, alive, offset = _time_major(lists)
     e = m.emit.take(flat, axis=0, mode="clip")
     a, c, ones, before = np.empty_like(e), np.empty(len(flat), e.dtype), np.ones(len(m.start), e.dtype), None
@@ -241,22 +241,28 @@ def forward(m: Model, lists: list[np.ndarray]):
         np.matmul(x, ones, out=s)
         x /= s[:, None]
         before = x
+    return flat, alive, offset, e, a, c
+
+
+def forward(m: Model, lists: list[np.ndarray]):
+    """Natural log-likelihoods of sequences, longest first, and what `expected` needs."""
+    run = recursion(m, lists)
+    flat, alive, offset, *_, c = run
     owner = np.arange(len(flat)) - np.repeat(offset[:-1], alive)
-    return np.bincount(owner, weights=np.log(c, dtype=float), minlength=len(lists)), (flat, alive, offset, e, a, c)
+    return np.bincount(owner, weights=np.log(c, dtype=float), minlength=len(lists)), run
 
 
 def expected(m: Model, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and (by symbol) emissions, by the scaled backward recursion."""
     flat, alive, offset, e, a, c = run
     states, back = len(m.start), np.ascontiguousarray(m.move.T)
-    e /= c[:, None]
     later, move = np.ones((int(alive[0]), states), e.dtype), np.zeros((states, states))
     at, n = offset.tolist(), alive.tolist()
     for t in range(len(n) - 1, 0, -1):  # `later` of sequences that end at a step is still 1 there
         i, j, k = at[t - 1], at[t], n[t]
         a[j : j + k] *= later[:k]
         ahead = e[j : j + k]
-        ahead *= later[:k]
+        ahead *= later[:k] / c[j : j + k, None]
         move += a[i : i + k].T @ ahead
         np.matmul(ahead, back, out=later[:k])
     k = n[0]
@@ -293,7 +299,7 @@ def baum_welch(rows: DataFrame, m: Model, shares: np.ndarray) -> Model:
         for batch in batches:
             lists = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
             for group in _groups(lists):
-                got = expected(lean, forward(lean, [lists[i] for i in group])[1])
+                got = expected(lean, recursion(lean, [lists[i] for i in group]))
                 start += got[0]
                 move += got[1]
                 total += got[2]
