@@ -93,3 +93,46 @@ def test_ranking_equals_plain_steps(monkeypatch):
     want = [1 / (1 + math.exp(-(x - got.threshold + math.log(op.ACCEPT / (1 - op.ACCEPT))))) for x in raw]
     assert np.allclose(got.scores(np.array(both)), want, rtol=1e-7)
     assert [s >= op.ACCEPT for s in want] == [x >= got.threshold for x in raw]
+
+
+def labelled(n, seed=4):
+    """n documents of a few words, every fifth of them bad."""
+    pick = random.Random(seed)
+    kinds = [["alpha", "beta", "Gamma,", "delta.", "7"], ["beta", "{}", "!!", "9#", "Gamma,"]]
+    return [(i, " ".join(pick.choice(kinds[i % 5 == 0]) for _ in range(pick.randint(3, 9))), int(i % 5 > 0)) for i in range(n)]
+
+
+def test_fit_learns_from_all_pairs(spark):
+    """At the weights, the slope of the mean loss over all pairs, listed one by one, is nothing."""
+    rows = labelled(150)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    got = op.fit(docs, labels)
+    x = op.features(*text_bytes(pa.array([r[1] for r in rows]))).astype(np.float32).astype(np.float64)
+    y = np.array([r[2] for r in rows])
+    scale = x.std(0)
+    scale[scale < 1e-9] = 1
+    assert np.allclose(got.mean, x.mean(0)) and np.allclose(got.scale, scale)
+    z = (x - x.mean(0)) / scale
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, op.N_FEATURES)
+    slope = -(d / (1 + np.exp(d @ got.weights))[:, None]).mean(0) + op.DECAY * got.weights
+    assert np.abs(slope).max() < 1e-5
+    s = np.sort(z @ got.weights)
+    assert np.isclose(got.threshold, (s[29] + s[30]) / 2)
+
+
+def test_fit_takes_every_labelled_document(spark):
+    """More of a class than were once learnt from; means and the threshold's rank are of all of them."""
+    rows = labelled(4500)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    got = op.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"))
+    x = op.features(*text_bytes(pa.array([r[1] for r in rows])))
+    assert np.allclose(got.mean, x.mean(0), rtol=1e-5, atol=1e-6)
+    s = ((x - got.mean) / got.scale) @ got.weights - got.threshold
+    assert (s < -1e-4).sum() <= 900 <= (s < 1e-4).sum()  # but for equal scores and features in single precision
+
+
+def test_rank_among_repeated_scores(spark):
+    s = [3.0, -1.0, 3.0, 3.0, 1e9, 2.0, -1e-300, 0.0]
+    rows = spark.createDataFrame([(v,) for v in s], "s double")
+    order = sorted(s)
+    assert [op._at_rank(rows, k) for k in range(1, 8)] == list(zip(order[:-1], order[1:], strict=True))
