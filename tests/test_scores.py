@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import dists, special
-from tidewater.operators import linear, logsums, pooled, resampling, signatures, sojourn, tiles
+from tidewater.operators import linear, logsums, pooled, resampling, signatures, sojourn, stats, tiles
 
 
 def value(spark, expression):
@@ -159,3 +159,27 @@ def test_generator_paths(spark):
             gaps.append(max(abs(np.mean(np.array(path) <= x) - np.mean(np.array(against) <= x)) for x in path + against))
         assert math.isclose(got["A", name]["mean_ks"], float(np.mean(gaps)), rel_tol=1e-12)
     assert got["B", "later"]["mean_ks"] == 0 and got["B", "later"]["pass_rate"] == 1
+
+
+def test_weighted_median_by_stretches(spark):
+    """A key's rows are dealt to many stretches; results are those of a plain pass over each key's rows in order."""
+    rng = np.random.default_rng(8)
+    rows = [("a", float(rng.integers(40)), float(rng.integers(0, 9))) for _ in range(400)] + [(None, float(x), float(rng.random())) for x in rng.normal(size=300)]
+    rows += [("b", float(rng.integers(30)), float(rng.integers(-3, 6))) for _ in range(200)] + [("none", float(x), 0.0) for x in (5, 1, 2, 8)] + [("null", float(x), None) for x in (4, 9, 1)]
+    rows += [("one", 2.5, 3.0), ("a", None, 50.0), ("late", 1.0, None), ("late", 2.0, 1.0)]
+    frame = spark.createDataFrame(rows, "k string, x double, w double")
+
+    def plain(key):
+        own = sorted((x, w or 0.0) for k, x, w in rows if k == key and x is not None)
+        total = sum(w for _, w in own)
+        if not total > 0:
+            return float(np.median([x for x, _ in own]))
+        return min(x for x, _ in own if sum(w for y, w in own if y <= x) >= total / 2)
+
+    for halvings in (1, 4, stats.HALVINGS):
+        got = stats.weighted_median(frame, "k", "x", "w", halvings)
+        assert got.columns == ["k", "weighted_median"]
+        assert {r["k"]: r["weighted_median"] for r in got.collect()} == {k: plain(k) for k in ("a", "b", None, "none", "null", "one", "late")}
+    plan = stats.weighted_median(frame, "k", "x", "w")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and not any("w_upto" in x and "windowspecdefinition(k" in x and "stretch" not in x for x in plan.splitlines())
+    assert stats.weighted_median(frame.limit(0), "k", "x", "w").collect() == []
