@@ -110,3 +110,26 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_hold_few_texts_at_once(spark):
+    """Texts reach Python in small batches, whatever the session had; wide ones would fill an executor's memory."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeats):
+            spark.conf.set(name, "10000")
+            docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+            got = stage(spark, docs, "")
+            assert got.count() == 3000
+            assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) <= corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(name, before)

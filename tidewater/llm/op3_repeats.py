@@ -26,6 +26,8 @@ from pyspark.sql.types import StructType
 from tidewater.llm.common import chunks, documents, mix, n_partitions, scratch, split_by_keys, text_bytes, windows, words, written
 
 WINDOW = 50
+#: Bytes of text whose windows are worked out at once; they take many times as much memory.
+_AT_ONCE = 1 << 20
 ADDED = ("kept_text", "kept_words", "removed_words")
 _LAST = (1 << 63) - 1
 _PACKED = "bucket int, ids binary, keys binary, counts binary, low binary, high binary, place_low binary, place_high binary"
@@ -138,7 +140,7 @@ def repeat_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def probes(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=_AT_ONCE):
                 h, _, _, at = words(*text_bytes(part.column("text")))
                 first, owner, place = _inside(at, half)
                 got = windows(h, half)[first]
@@ -148,7 +150,7 @@ def repeat_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def extended(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=_AT_ONCE):
                 h, _, _, at = words(*text_bytes(part.column("text")))
                 first, owner, place = _inside(at, window)
                 lists = part.column("places")
